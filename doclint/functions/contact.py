@@ -32,8 +32,11 @@ def capped_lines(text: Column, limit: int = fv.MAX_LINE_CHARS) -> Column:
     return F.regexp_replace(text, rf"(?md)^([^\n]{{{limit}}})[^\n]+", "$1")
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: (w != "") & (F.length(w) <= fv.MAX_TOKEN_CHARS))
+def words_with(text: Column, core: str) -> Column:
+    """White-space delimited words up to 320 characters that hold ``core`` (a pattern)."""
+    words = F.regexp_extract_all(text, F.lit(rf"(?<!\S)\S*{core}\S*"), F.lit(0))
+    split = F.flatten(F.transform(words, lambda w: F.split(w, f"[{SPACE_CLASS}]+")))
+    return F.filter(split, lambda w: (w != "") & (F.length(w) <= fv.MAX_TOKEN_CHARS))
 
 
 def clean_word(word: Column) -> Column:
@@ -43,9 +46,7 @@ def clean_word(word: Column) -> Column:
 
 def has_email(text: Column) -> Column:
     """Documents without an at-sign skip the word scan."""
-    found = F.exists(
-        F.filter(words_of(text), lambda w: F.contains(w, F.lit("@"))), lambda w: clean_word(w).rlike(EMAIL)
-    )
+    found = F.exists(words_with(text, "@"), lambda w: clean_word(w).rlike(EMAIL))
     return F.when(F.contains(text, F.lit("@")), found).otherwise(F.lit(False))
 
 
@@ -72,9 +73,8 @@ def has_phone(capped: Column) -> Column:
 
 def linkedin_state(text: Column) -> Column:
     """``url``, ``label`` or ``none``; only documents that can hold the name are split."""
-    gap = rf"[^a-z{SPACE_CLASS}]*"
-    spelled = "(?i)" + gap.join("linkedin")
-    words = F.transform(words_of(text), lambda w: F.lower(clean_word(w)))
+    spelled = "(?i:" + r"[^a-z\s]*".join("linkedin") + ")"
+    words = F.transform(words_with(text, spelled), lambda w: F.lower(clean_word(w)))
     state = let(
         words,
         lambda ws: F.when(

@@ -216,11 +216,21 @@ def count_phrase(padded: Column, phrase: str) -> Column:
 
 # ---- T8 ---------------------------------------------------------------------------------
 BULLET_CLASS = "[" + escape_regex(fv.BULLET_GLYPHS) + "]"
-BULLET_PREFIX = rf"^{BULLET_CLASS}[{SPACE_CLASS}]*"
+
+
+def starts_with_bullet(line: Column) -> Column:
+    """First character is a bullet glyph; ``line`` is already trimmed."""
+    return (line != "") & (F.instr(F.lit(fv.BULLET_GLYPHS), F.left(line, F.lit(1))) > 0)
 
 
 def is_bullet(line: Column) -> Column:
-    return F.trim(line).rlike(f"^{BULLET_CLASS}")
+    """T8."""
+    return let(trim_all(line), starts_with_bullet)
+
+
+def bullet_body(line: Column) -> Column:
+    """Trimmed line without its bullet."""
+    return F.when(starts_with_bullet(line), F.ltrim(F.substring(line, 2, 1_000_000), F.lit(ALL_SPACES))).otherwise(line)
 
 
 # ---- T9 ---------------------------------------------------------------------------------

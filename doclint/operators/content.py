@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.lexicon import DEFAULT, Lexicon, escape_regex, sql_text, trie_regex
 from ..functions.text import (
-    BULLET_CLASS, BULLET_PREFIX, LINE_ENDS, SPACE_CLASS, WORD_END, count_matches, count_tokens, let, one_of,
-    padded_tokens, stem_array, trim_all,
+    LINE_ENDS, SPACE_CLASS, WORD_END, bullet_body, count_matches, count_tokens, let, one_of, padded_tokens,
+    starts_with_bullet, stem_array, trim_all,
 )
 
 # Line patterns
@@ -29,17 +29,18 @@ def line_features(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     bodies = F.transform(
         F.filter(F.transform(F.split(text, "\n"), trim_all), lambda l: l != ""),
         lambda l: F.struct(
-            l.rlike(f"^{BULLET_CLASS}").alias("bullet"),
-            F.left(F.regexp_replace(l, BULLET_PREFIX, ""), F.lit(fv.MAX_BODY_CHARS)).alias("body"),
+            starts_with_bullet(l).alias("bullet"),
+            F.left(bullet_body(l), F.lit(fv.MAX_BODY_CHARS)).alias("body"),
         ),
     )
     tokens = F.transform(
         bodies,
         lambda b: F.struct(
             b["bullet"].alias("bullet"),
-            b["body"].rlike(METRIC).alias("metric"),
+            b["body"].rlike("[0-9]").alias("digits"),
+            b["body"].alias("body"),
             padded_tokens(b["body"]).alias("p"),
-            F.when(b["body"].rlike(LEAD_LABEL), let(F.regexp_replace(b["body"], LEAD_LABEL, ""), padded_tokens)).alias("unlabelled"),
+            F.when(F.contains(b["body"], F.lit(":")) & b["body"].rlike(LEAD_LABEL), let(F.regexp_replace(b["body"], LEAD_LABEL, ""), padded_tokens)).alias("unlabelled"),
         ),
     )
 
@@ -52,7 +53,9 @@ def line_features(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
         lambda x: F.struct(
             x["bullet"].alias("bullet"),
             (x["bullet"] & (count_tokens(x["p"]) > fv.MAX_BULLET_WORDS)).alias("long"),
-            (x["p"].rlike("^(?: [^ ]+){4}") & (x["metric"] | x["p"].rlike(NUMBER_TOKEN))).alias("quantified"),
+            (
+                x["digits"] & (count_tokens(x["p"]) >= 4) & (x["p"].rlike(NUMBER_TOKEN) | x["body"].rlike(METRIC))
+            ).alias("quantified"),
             opener(x).alias("verb"),
         ),
     )

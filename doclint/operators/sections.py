@@ -15,7 +15,9 @@ from ..functions import fixed_values as fv
 from ..functions.contact import capped_lines
 from ..functions.dates import DATE_RANGE
 from ..functions.lexicon import DEFAULT, Lexicon, escape_regex, trie_regex
-from ..functions.text import BULLET_CLASS, SPACE_CLASS, WORD_END, WORD_START, fold, let, one_of, trim_all
+from ..functions.text import (
+    ALL_SPACES, LINE_ENDS, SPACE_CLASS, WORD_END, WORD_START, fold, let, one_of, starts_with_bullet, trim_all,
+)
 
 HAS_TEXT = r"[\p{L}\p{N}]"
 _JOINERS = rf"\s*(?:&|/|,|\+|{WORD_START}and{WORD_END}|{WORD_START}e{WORD_END})\s*"
@@ -26,9 +28,10 @@ def heading_key(text: Column) -> Column:
     """Folded heading candidate without numbering, icons and trailing punctuation, or NULL."""
     def build(t: Column) -> Column:
         k = F.regexp_replace(fold(t), "^[^a-z]+", "")
-        k = F.regexp_replace(k, rf"[{SPACE_CLASS}:.\-–—|]+$", "")
+        k = F.rtrim(k, F.lit(ALL_SPACES + ":.-–—|"))
+        k = F.regexp_replace(k, r"\s+", " ")
         return let(
-            F.regexp_replace(k, rf"[{SPACE_CLASS}]+", " "),
+            let(k, lambda v: F.when(v.rlike(LINE_ENDS), F.regexp_replace(v, rf"[{SPACE_CLASS}]+", " ")).otherwise(v)),
             lambda key: F.when((key != "") & ~key.rlike("(?: [^ ]*){5}"), key),
         )
 
@@ -44,11 +47,12 @@ def _section_of_phrase(phrase: Column, lexicon: Lexicon) -> Column:
 
 def sections_of(key: Column, exact_only: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Sections named by a heading key (empty array if none)."""
-    parts = F.filter(F.split(key, _JOINERS), lambda p: p != "")
+    joined = key.rlike("[&/,+]|and|(?<![a-z0-9_])e(?![a-z0-9_])")
+    parts = F.when(joined, F.filter(F.split(key, _JOINERS), lambda p: p != "")).otherwise(F.array(key))
     compound = let(
         parts,
         lambda ps: F.when(
-            F.size(ps) > 1,
+            F.size(ps) > 1,  # "education & certifications" names both sections
             F.array_distinct(F.array_compact(F.transform(ps, lambda p: _section_of_phrase(p, lexicon)))),
         ).otherwise(F.array().cast("array<string>")),
     )
@@ -92,7 +96,7 @@ def heading_lines(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
         lambda x: F.struct(
             x["line"].alias("line"),
             x["t"].alias("t"),
-            x["t"].rlike(f"^{BULLET_CLASS}").alias("bullet"),
+            starts_with_bullet(x["t"]).alias("bullet"),
             heading_key(x["t"]).alias("whole"),
             F.when(
                 F.instr(x["t"], ":").between(2, 41), heading_key(F.substring_index(x["t"], ":", 1))
@@ -145,8 +149,8 @@ def line_codes(text: Column, folded_capped: Column) -> Column:
         F.arrays_zip(F.split(text, "\n").alias("l"), F.split(folded_capped, "\n").alias("f")),
         lambda z: (
             F.when(z["l"].rlike(HAS_TEXT), 1).otherwise(0)
-            + F.when(z["l"].rlike(rf"^[{SPACE_CLASS}]*{BULLET_CLASS}"), 2).otherwise(0)
-            + F.when(z["f"].rlike(DATE_RANGE), 4).otherwise(0)
+            + F.when(starts_with_bullet(F.ltrim(z["l"], F.lit(ALL_SPACES))), 2).otherwise(0)
+            + F.when(z["f"].rlike("19|20") & z["f"].rlike(DATE_RANGE), 4).otherwise(0)
         ),
     )
     return F.array_join(F.transform(flags, lambda n: n.cast("string")), "")

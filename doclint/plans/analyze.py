@@ -7,6 +7,7 @@ joins of pairs with documents and ads and the aggregation of keyword hits per pa
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +64,31 @@ def with_tokens(normalized: DataFrame) -> DataFrame:
     return normalized.withColumn("padded", padded_tokens(F.col("text")))
 
 
+@lru_cache(maxsize=8)
+def _feature_columns(lexicon: Lexicon) -> tuple[Column, ...]:
+    """Feature expressions over ``text``, ``padded``, ``folded_capped``, ``words``; built once."""
+    ready = F.col("words") >= fv.MIN_READABLE_WORDS
+    only = lambda expr: F.when(ready, expr)
+    return (
+        content_struct(F.col("text"), F.col("padded"), lexicon).alias("content"),
+        detect_language(F.col("text"), F.col("padded"), lexicon).alias("lang"),
+        only(count_years(F.col("padded"))).alias("years"),
+        only(count_first_person(F.col("padded"))).alias("first_person"),
+        only(count_garbled(F.col("text"))).alias("garbled"),
+        only(weak_phrases(F.col("padded"), lexicon)).alias("weak"),
+        only(contact_struct(F.col("text"))).alias("contact"),
+        only(contact_struct(F.nullif("header_footer_text", F.lit("")))).alias("hf"),
+        only(broken_url(F.col("text"))).alias("broken_url"),
+        only(personal_kinds(F.col("folded_capped"))).alias("personal"),
+        only(section_report(F.col("text"), F.col("folded_capped"), lexicon)).alias("sec"),
+    )
+
+
 def document_features(normalized: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """One feature row per normalized document (T7, T9, C*, S*, A*); no shuffle.
 
     Documents under ten words skip everything but the word count (F1).
     """
-    ready = F.col("words") >= fv.MIN_READABLE_WORDS
-    only = lambda expr: F.when(ready, expr)
     base = with_tokens(normalized) if "padded" not in normalized.columns else normalized
     staged = (
         base.withColumn("words", count_tokens(F.col("padded")))
@@ -80,17 +99,7 @@ def document_features(normalized: DataFrame, lexicon: Lexicon = DEFAULT) -> Data
     return (
         staged.select(
             "doc_id", "words", "layout", "truncated",
-            content_struct(F.col("text"), F.col("padded"), lexicon).alias("content"),
-            detect_language(F.col("text"), F.col("padded"), lexicon).alias("lang"),
-            only(count_years(F.col("padded"))).alias("years"),
-            only(count_first_person(F.col("padded"))).alias("first_person"),
-            only(count_garbled(F.col("text"))).alias("garbled"),
-            only(weak_phrases(F.col("padded"), lexicon)).alias("weak"),
-            only(contact_struct(F.col("text"))).alias("contact"),
-            only(contact_struct(F.nullif("header_footer_text", F.lit("")))).alias("hf"),
-            only(broken_url(F.col("text"))).alias("broken_url"),
-            only(personal_kinds(F.col("folded_capped"))).alias("personal"),
-            only(section_report(F.col("text"), F.col("folded_capped"), lexicon)).alias("sec"),
+            *_feature_columns(lexicon),
         )
         .select("*", "contact.*")
         .drop("contact")
