@@ -137,7 +137,7 @@ class Analysis:
     def findings(self) -> DataFrame:
         """``(doc_id, job_id, pos, id, severity, category, params)``."""
         return self.results.select(
-            "doc_id", "job_id", F.posexplode("findings").alias("pos", "f")
+            "doc_id", "job_id", F.posexplode_outer("findings").alias("pos", "f")
         ).select("doc_id", "job_id", "pos", "f.id", "f.severity", "f.category", "f.params")
 
 

@@ -458,7 +458,7 @@ def _(spark, d):
 
 @query("document_findings", res("SELECT doc_id, CAST(ord AS BIGINT) AS ord, CAST(sub AS BIGINT) AS sub, id, severity, category, params FROM docfind"))
 def _(spark, d):
-    rows = _scored(spark, d).select("doc_id", F.inline("findings"))
+    rows = _scored(spark, d).select("doc_id", F.inline_outer("findings"))
     return rows.select("doc_id", *big("ord", "sub"), "id", "severity", "category", sc.params_text(F.col("params")).alias("params"))
 
 
