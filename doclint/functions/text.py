@@ -44,6 +44,16 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def once(expr: Column) -> Column:
+    """A costly expression the optimizer must not copy.
+
+    A filter on a derived column is pushed below the projection by copying the column's whole
+    expression into it, over and over for nested ones.  Expressions that count as nondeterministic
+    stay where they are; the guard is always true.
+    """
+    return F.when(F.rand(0) >= 0, expr)
+
+
 def trim_all(text: Column) -> Column:
     """Trim every kind of white space, not only U+0020."""
     return F.btrim(text, F.lit(ALL_SPACES))

@@ -1,12 +1,14 @@
 """Positioned page runs to lines, layout flags and text.
 
 Input is ``runs(doc_id, page_no, page_width, run_no, str, x, y, width, height)``.  Whether a run
-joins a row depends on the first run of that row, so row numbers come from one linear pass per
-page (a page holds at most 20,000 runs); everything after that is windows and aggregates.
+joins a row depends on the first run of that row, so row numbers come from one streaming pass over
+sorted pages that holds a single row at a time; everything after that is windows and aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,28 +36,42 @@ def cap_pages(runs: DataFrame) -> DataFrame:
     )
 
 
-def _rows_of_page(page: pd.DataFrame) -> pd.DataFrame:
-    """Anchor runs to rows and drop runs drawn twice; one page, sorted once."""
-    page = page.sort_values(["y", "x", "run_no"], ascending=[False, True, True], kind="stable")
-    row_ids, row, anchor_y, anchor_h = [], -1, 0.0, 0.0
-    for y, h in zip(page["y"].to_numpy(), page["height"].to_numpy()):
-        tall = max(h or 10.0, anchor_h or 10.0)
-        if row < 0 or abs(anchor_y - y) > max(2.0, 0.5 * tall):
-            row, anchor_y, anchor_h = row + 1, y, h
-        row_ids.append(row)
-    page = page.assign(row_no=row_ids)
-    page["row_start"] = page.groupby("row_no")["x"].transform("min")
-    page["row_end"] = (page["x"] + page["width"]).groupby(page["row_no"]).transform("max")
-    page = page.sort_values(["row_no", "x"], kind="stable")
-    keep, last = [], (-1, "", 0.0)
-    for row_no, text, x in zip(page["row_no"], page["str"], page["x"]):
-        again = row_no == last[0] and text == last[1] and abs(x - last[2]) < 2
-        keep.append(not again)
-        if not again:
-            last = (row_no, text, x)
-    page = page[keep]
-    page = page.assign(ord=range(len(page)))
-    return page[["doc_id", "page_no", "page_width", "row_no", "str", "x", "width", "ord", "row_start", "row_end"]]
+def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of runs from pages sorted by (document, page, y down, x): one pass, one row in memory.
+
+    Each finished row is ordered by x and loses runs drawn twice (same text less than two units
+    from the run kept before it).
+    """
+    key, row_no, anchor_y, anchor_h, row = None, -1, 0.0, 0.0, []
+    out: list[tuple] = []
+
+    def close() -> None:
+        if not row:
+            return
+        start, end = min(r[1] for r in row), max(r[1] + r[2] for r in row)
+        kept = None
+        for text, x, width, page_width in sorted(row, key=lambda r: r[1]):
+            if kept is not None and kept[0] == text and abs(x - kept[1]) < 2:
+                continue
+            kept = (text, x)
+            out.append((*key, page_width, row_no, text, x, width, len(out), start, end))
+        row.clear()
+
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    for batch in batches:
+        columns = [batch[c].tolist() for c in ("doc_id", "page_no", "page_width", "str", "x", "y", "width", "height")]
+        for doc_id, page_no, page_width, text, x, y, width, height in zip(*columns):
+            tall = max(height or 10.0, anchor_h or 10.0)
+            new_page = key != (doc_id, page_no)
+            if new_page or abs(anchor_y - y) > max(2.0, 0.5 * tall):
+                close()
+                row_no = 0 if new_page else row_no + 1
+                key, anchor_y, anchor_h = (doc_id, page_no), y, height
+            row.append((text, x, width, page_width))
+        yield pd.DataFrame(out, columns=names)
+        out.clear()
+    close()
+    yield pd.DataFrame(out, columns=names)
 
 
 def page_rows(runs: DataFrame) -> DataFrame:
@@ -64,7 +80,8 @@ def page_rows(runs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint"), F.col("page_no").cast("int"), F.col("page_width").cast("double"),
         F.col("run_no").cast("int"), "str", *[F.col(n).cast("double") for n in ("x", "y", "width", "height")],
     )
-    return solid.groupBy("doc_id", "page_no").applyInPandas(_rows_of_page, _ROWS)
+    pages = solid.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", F.desc("y"), "x", "run_no")
+    return pages.mapInPandas(_anchor_rows, _ROWS)
 
 
 def page_lines(runs: DataFrame) -> DataFrame:

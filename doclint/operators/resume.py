@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.contact import display_url, safe_url
 from ..functions.dates import format_month, format_range, normalize_month
-from ..functions.text import let, strip_unsafe, trim_all
+from ..functions.text import let, once, strip_unsafe, trim_all
 
 LIM, LISTS = fv.FIELD_LIMITS, fv.LIST_LIMITS
 # Text limit per field of each list item (None marks a month string)
@@ -210,16 +210,16 @@ def import_resumes(raw: DataFrame, max_chars: int = fv.MAX_RESUME_JSON_CHARS, na
     ``error_code`` is ``too_large``, ``invalid_json`` or ``invalid_schema``; ``resume`` is NULL then.
     """
     sized = raw.withColumn("big", F.length("raw") > max_chars)
-    parsed = sized.withColumn("v", F.try_parse_json(F.when(~F.col("big"), F.col("raw"))))
+    parsed = sized.withColumn("v", once(F.try_parse_json(F.when(~F.col("big"), F.col("raw")))))
     v = F.col("v")
     version = F.when(_kind(_at(v, "version")).rlike("^(?:BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$.version", "double"))
     community = F.lit(False) if native_only else _is_object(_at(v, "basics"))
     layout = F.when(~_is_object(v), "none").when(version == fv.RESUME_VERSION, "native").when(community, "community").otherwise("none")
     read = parsed.withColumn("layout", layout).withColumn(
         "raw_resume",
-        F.when(F.col("layout") == "native", _native(v)).when(F.col("layout") == "community", _community(v, F.col("lang"))),
+        once(F.when(F.col("layout") == "native", _native(v)).when(F.col("layout") == "community", _community(v, F.col("lang")))),
     )
-    checked = read.withColumn("ok", F.coalesce(_valid(F.col("raw_resume")), F.lit(False)))
+    checked = read.withColumn("ok", once(F.coalesce(_valid(F.col("raw_resume")), F.lit(False))))
     return checked.select(
         "doc_id",
         F.when(F.col("ok"), _finish(F.col("raw_resume"))).alias("resume"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.contact import broken_url, capped_lines, contact_struct, personal_kinds
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.text import count_tokens, detect_language, fold, normalize_struct, normalize_text, padded_tokens
+from ..functions.text import count_tokens, detect_language, fold, normalize_struct, normalize_text, once, padded_tokens
 from ..operators import keywords as kw
 from ..operators import scoring as sc
 from ..operators.content import content_struct, count_first_person, count_garbled, count_years, weak_phrases
@@ -70,17 +70,17 @@ def _feature_columns(lexicon: Lexicon) -> tuple[Column, ...]:
     ready = F.col("words") >= fv.MIN_READABLE_WORDS
     only = lambda expr: F.when(ready, expr)
     return (
-        content_struct(F.col("text"), F.col("padded"), lexicon).alias("content"),
+        once(content_struct(F.col("text"), F.col("padded"), lexicon)).alias("content"),
         detect_language(F.col("text"), F.col("padded"), lexicon).alias("lang"),
         only(count_years(F.col("padded"))).alias("years"),
         only(count_first_person(F.col("padded"))).alias("first_person"),
         only(count_garbled(F.col("text"))).alias("garbled"),
         only(weak_phrases(F.col("padded"), lexicon)).alias("weak"),
-        only(contact_struct(F.col("text"))).alias("contact"),
+        once(only(contact_struct(F.col("text")))).alias("contact"),
         only(contact_struct(F.nullif("header_footer_text", F.lit("")))).alias("hf"),
         only(broken_url(F.col("text"))).alias("broken_url"),
         only(personal_kinds(F.col("folded_capped"))).alias("personal"),
-        only(section_report(F.col("text"), F.col("folded_capped"), lexicon)).alias("sec"),
+        once(only(section_report(F.col("text"), F.col("folded_capped"), lexicon))).alias("sec"),
     )
 
 

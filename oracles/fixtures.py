@@ -7,6 +7,8 @@ Every view grows with its tables.  ``~`` stands for a line feed inside the recip
 
 from __future__ import annotations
 
+import re
+
 PUA = "\ue001\ue002\ue003"
 
 # one row per customer with order statistics
@@ -216,7 +218,7 @@ def spark_view(spark, sf_dir: str, name: str):
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     for table in ("customer", "orders", "supplier", "nation"):
-        if f" {table} " in sql or f" {table}\n" in sql:
+        if re.search(rf"\b{table}\b", sql):
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(sql)
 
