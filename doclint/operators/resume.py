@@ -222,7 +222,7 @@ def import_resumes(raw: DataFrame, max_chars: int = fv.MAX_RESUME_JSON_CHARS, na
     checked = read.withColumn("ok", once(F.coalesce(_valid(F.col("raw_resume")), F.lit(False))))
     return checked.select(
         "doc_id",
-        F.when(F.col("ok"), _finish(F.col("raw_resume"))).alias("resume"),
+        once(F.when(F.col("ok"), _finish(F.col("raw_resume")))).alias("resume"),
         F.when(F.col("big"), "too_large").when(v.isNull(), "invalid_json").when(~F.col("ok"), "invalid_schema").alias("error_code"),
     )
 
