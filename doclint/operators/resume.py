@@ -227,6 +227,16 @@ def import_resumes(raw: DataFrame, max_chars: int = fv.MAX_RESUME_JSON_CHARS, na
     )
 
 
+def valid_resumes(imported: DataFrame) -> DataFrame:
+    """``(doc_id, resume)`` of the accepted records.
+
+    A generator drops the others: a plain filter would make the optimizer derive constraints
+    through every expression of the import.
+    """
+    kept = F.when(F.col("error_code").isNull(), F.array("resume"))
+    return imported.select("doc_id", F.explode(kept).alias("resume"))
+
+
 def set_aside(stored: DataFrame) -> DataFrame:
     """``(doc_id, status, backup)``; unreadable stored records are kept, cut to the limit."""
     known = stored.withColumn("raw", F.coalesce("raw", F.lit("")))
@@ -260,58 +270,58 @@ def _bullets(items: Column) -> Column:
     return F.transform(F.filter(items, lambda s: F.trim(s) != ""), lambda s: F.concat(F.lit("• "), s))
 
 
-def render_text(resume: Column) -> Column:
-    """Plain text in template order; empty sections are left out."""
-    lang = resume["meta"]["language"]
-    basics = resume["basics"]
-    links = F.transform(
-        F.concat(F.array(basics["url"]), F.transform(basics["profiles"], lambda p: p["url"])),
-        lambda u: display_url(safe_url(u)),
-    )
-    contact = F.array_join(
-        F.concat(_present(basics["email"], basics["phone"], basics["location"]), F.array_compact(links)), " | "
-    )
-    joined = lambda sep, *parts: F.array_join(_present(*parts), sep)
-    solid = lambda arr: F.filter(F.flatten(arr), lambda s: s != "")
+def render_resumes(resumes: DataFrame) -> DataFrame:
+    """Adds ``text``, plain text in template order without empty sections, to ``(…, resume)`` rows.
 
-    def with_lang(items: Column, fn) -> Column:
-        return F.zip_with(items, F.array_repeat(lang, F.size(items)), fn)
-
-    work = solid(with_lang(resume["work"], lambda w, l: F.concat(
-        F.array(
-            joined(" — ", w["position"], w["company"]),
-            joined(" | ", w["location"], format_range(w["startDate"], w["endDate"], w["current"], l)),
-        ),
-        _bullets(w["highlights"]),
-    )))
-    education = solid(with_lang(resume["education"], lambda e, l: F.array(
-        joined(", ", e["studyType"], e["area"]),
-        joined(" | ", e["institution"], format_range(e["startDate"], e["endDate"], F.lit(False), l)),
-    )))
+    Three projections: dates and links, the lines of each section, the whole text.  Each works on
+    columns of the one before, which keeps the expressions shallow.
+    """
+    r = F.col("resume")
+    lang = r["meta"]["language"]
+    both = lambda items, fn: F.zip_with(items, F.array_repeat(lang, F.size(items)), fn)
+    pieces = resumes.withColumns({
+        "_work_dates": once(both(r["work"], lambda w, l: format_range(w["startDate"], w["endDate"], w["current"], l))),
+        "_edu_dates": once(both(r["education"], lambda e, l: format_range(e["startDate"], e["endDate"], F.lit(False), l))),
+        "_cert_dates": once(both(r["certificates"], lambda c, l: format_month(c["date"], l))),
+        "_links": once(F.transform(
+            F.concat(F.array(r["basics"]["url"]), F.transform(r["basics"]["profiles"], lambda p: p["url"])), lambda u: display_url(safe_url(u))
+        )),
+        "_project_links": once(F.transform(r["projects"], lambda p: display_url(safe_url(p["url"])))),
+    })
+    joined = lambda sep, *parts: F.array_join(_present(*parts), sep)
+    solid = lambda items: F.filter(items, lambda s: s != "")
+    basics = r["basics"]
+    work = F.zip_with(r["work"], "_work_dates", lambda w, d: F.concat(
+        F.array(joined(" — ", w["position"], w["company"]), joined(" | ", w["location"], d)), _bullets(w["highlights"])
+    ))
+    education = F.zip_with(r["education"], "_edu_dates", lambda e, d: F.array(
+        joined(", ", e["studyType"], e["area"]), joined(" | ", e["institution"], d)
+    ))
     skills = F.transform(
-        F.filter(resume["skills"], lambda s: (s["name"] != "") | (F.size(s["keywords"]) > 0)),
+        F.filter(r["skills"], lambda s: (s["name"] != "") | (F.size(s["keywords"]) > 0)),
         lambda s: F.concat(
             F.when(s["name"] != "", F.concat(s["name"], F.lit(": "))).otherwise(""),
             F.array_join(F.filter(s["keywords"], lambda k: F.trim(k) != ""), ", "),
         ),
     )
-    projects = solid(F.transform(resume["projects"], lambda p: F.concat(
-        F.array(joined(" | ", p["name"], display_url(safe_url(p["url"])))), _present(p["description"]), _bullets(p["highlights"])
-    )))
-    certificates = F.filter(
-        with_lang(resume["certificates"], lambda c, l: joined(" | ", c["name"], c["issuer"], format_month(c["date"], l))), lambda s: s != ""
+    projects = F.zip_with(r["projects"], "_project_links", lambda p, u: F.concat(
+        F.array(joined(" | ", p["name"], u)), _present(p["description"]), _bullets(p["highlights"])
+    ))
+    certificates = F.zip_with(r["certificates"], "_cert_dates", lambda c, d: joined(" | ", c["name"], c["issuer"], d))
+    languages = F.transform(r["languages"], lambda l: joined(" — ", l["language"], l["fluency"]))
+    contact = F.concat(_present(basics["email"], basics["phone"], basics["location"]), F.array_compact("_links"))
+    blocks = {
+        "summary": _present(basics["summary"]), "experience": solid(F.flatten(work)), "education": solid(F.flatten(education)),
+        "skills": skills, "projects": solid(F.flatten(projects)), "certifications": solid(certificates), "languages": solid(languages),
+    }
+    sectioned = pieces.withColumns(
+        {"_contact": once(F.array_join(contact, " | "))} | {f"_{sid}": once(lines) for sid, lines in blocks.items()}
     )
-    languages = F.filter(F.transform(resume["languages"], lambda l: joined(" — ", l["language"], l["fluency"])), lambda s: s != "")
 
-    def section(sid: str, lines: Column) -> Column:
+    def section(sid: str) -> Column:
         title = F.when(lang == "pt", fv.SECTION_LABELS["pt"][sid]).otherwise(fv.SECTION_LABELS["en"][sid])
-        head = F.array(F.lit(""), title)
-        return let(lines, lambda ls: F.when(F.size(ls) > 0, F.concat(head, ls)).otherwise(F.array().cast("array<string>")))
-
-    out = F.concat(
-        _present(basics["name"], basics["label"]), let(contact, lambda c: _present(c)),
-        section("summary", _present(basics["summary"])), section("experience", work), section("education", education),
-        section("skills", skills), section("projects", projects), section("certifications", certificates),
-        section("languages", languages),
-    )
-    return trim_all(F.array_join(out, "\n"))
+        none = F.array().cast("array<string>")
+        return F.when(F.size(f"_{sid}") > 0, F.concat(F.array(F.lit(""), title), F.col(f"_{sid}"))).otherwise(none)
+
+    out = F.concat(_present(basics["name"], basics["label"], F.col("_contact")), *[section(sid) for sid in blocks])
+    return sectioned.select(*resumes.columns, trim_all(F.array_join(out, "\n")).alias("text"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.resume import valid_resumes
 from ..operators.scoring import params_text
 
 
@@ -54,7 +55,7 @@ def write_reports(reports: DataFrame, folder: str, mode: str = "overwrite") -> N
 
 def write_resumes(imported: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Valid records as JSON lines, the rest as a quarantine table."""
-    imported.filter("error_code IS NULL").select("doc_id", "resume").write.mode(mode).json(f"{folder}/resumes")
+    valid_resumes(imported).write.mode(mode).json(f"{folder}/resumes")
     imported.filter("error_code IS NOT NULL").select("doc_id", "error_code").write.mode(mode).parquet(f"{folder}/resumes_rejected")
 
 

@@ -261,8 +261,7 @@ def _(spark, d):
 
 @query("resume_render", _RENDER)
 def _(spark, d):
-    ok = _imported(spark, d).filter("error_code IS NULL")
-    return ok.select("doc_id", rs.has_content(F.col("resume")).alias("has_content"), rs.render_text(F.col("resume")).alias("text"))
+    return rs.render_resumes(rs.valid_resumes(_imported(spark, d))).select("doc_id", rs.has_content(F.col("resume")).alias("has_content"), "text")
 
 
 # ---- messages and reports -------------------------------------------------------------------
