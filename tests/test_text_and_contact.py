@@ -32,7 +32,8 @@ def test_stem(spark):
 
 
 def test_phrase_count(spark):
-    assert one(spark, n=tx.count_phrase(F.lit(" a a a "), "a a")).n == 2
+    r = one(spark, pair=tx.count_phrase(F.lit(" a a a "), "a a"), single=tx.count_phrase(F.lit(" a a a "), "a"))
+    assert (r.pair, r.single) == (1, 3)
 
 
 def test_phones(spark):
