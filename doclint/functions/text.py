@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as fv
 from .lexicon import DEFAULT, Lexicon, escape_regex, trie_regex
 
-# White space in the sense of the reference text rules (Java's \s is ASCII only).
+# White space in the Unicode sense (the \s of Java patterns is ASCII only).
 SPACE_CLASS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 # The same characters for trimming, which only looks at both ends.
 ALL_SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
