@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import html_text, pii, quality_rules
 
 QUERIES = {
+    "op6_pii": pii.query,
     "op7_quality_rules": quality_rules.query,
+    "op10_html_text": html_text.query,
 }
 ORACLES = {
     "op7_quality_rules": quality_rules.oracle_sql(),
