@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import html_text, pii, quality_rules
+from . import html_text, pii, quality_model, quality_rules, secret_scan
 
 QUERIES = {
+    "op1_quality": quality_model.query,
     "op6_pii": pii.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_secrets": secret_scan.query,
     "op10_html_text": html_text.query,
 }
 ORACLES = {

@@ -31,16 +31,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(raw: np.ndarray, bounds: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the n + 1 word offsets of the texts. No word crosses a text."""
-    inside = np.zeros(len(raw) + 1, bool)
-    inside[:-1] = ~apart[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[bounds] = True
-    before = np.zeros(len(raw) + 1, bool)
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge))
-    ends = np.flatnonzero(before & (~inside | edge))
+def word_spans(raw: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the n + 1 word offsets of the texts. No word crosses a text.
+
+    ``kinds``: 256 small numbers, or separators as booleans. A word is a run of bytes of one kind other than 0.
+    """
+    if kinds.dtype == bool:
+        kinds = (~kinds).astype(np.uint8)
+    kind = np.zeros(len(raw) + 2, np.uint8)
+    kind[1:-1] = kinds[raw]
+    turn = kind[1:] != kind[:-1]
+    turn[bounds] = True
+    starts = np.flatnonzero(turn & (kind[1:] > 0))
+    ends = np.flatnonzero(turn & (kind[:-1] > 0))
     return starts, ends, np.searchsorted(starts, bounds)
 
 
