@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import html_text, pii, quality_model, quality_rules, secret_scan
+from . import bpe, decontaminate, html_text, pii, quality_model, quality_rules, secret_scan, token_counts
 
 QUERIES = {
     "op1_quality": quality_model.query,
+    "op4_bpe": bpe.query,
+    "op5_token_counts": token_counts.query,
     "op6_pii": pii.query,
     "op7_quality_rules": quality_rules.query,
     "op8_secrets": secret_scan.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_html_text": html_text.query,
 }
 ORACLES = {

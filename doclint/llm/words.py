@@ -59,15 +59,20 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(values, first))
 
 
-def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``k`` words, and the text of each; a text with fewer words, but some, is one run."""
-    n = np.diff(offsets)
-    doc = np.repeat(np.arange(len(n)), n)
+def runs_of(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``k`` words from each place on, and whether these lie in one text."""
     acc = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
     for j in range(k):
         acc = mix(acc * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + len(acc)])
-    whole = doc[: len(acc)] == doc[k - 1 :][: len(acc)]
-    runs, of = acc[whole], doc[: len(acc)][whole]
+    end = np.repeat(offsets[1:], np.diff(offsets))
+    return acc, np.arange(len(acc)) + k <= end[: len(acc)]
+
+
+def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``k`` words, and the text of each; a text with fewer words, but some, is one run."""
+    n = np.diff(offsets)
+    acc, whole = runs_of(hashes, offsets, k)
+    runs, of = acc[whole], np.repeat(np.arange(len(n)), n)[: len(acc)][whole]
     few = np.flatnonzero((n > 0) & (n < k))
     if len(few):
         extra = np.zeros(len(few), np.uint64)

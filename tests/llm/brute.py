@@ -47,3 +47,28 @@ def secrets_base(text: str | None) -> list[tuple[str, int, int]]:
 
 def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def alnum_words(text: str | None) -> list[bytes]:
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode("utf-8", "replace").lower())
+
+
+def contamination(texts: list[str | None], items: list[tuple[str, str | None]]) -> list[tuple]:
+    """n_words, n_hit and the sorted ids, per text."""
+    windows: dict[tuple, set[str]] = {}
+    for item, text in items:
+        w = alnum_words(text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
+    sizes = {len(w) for w in windows}
+    out = []
+    for text in texts:
+        w, hit, ids = alnum_words(text), set(), set()
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                found = windows.get(tuple(w[i : i + size]))
+                if found:
+                    hit.update(range(i, i + size))
+                    ids |= found
+        out.append((len(w), len(hit), sorted(ids)))
+    return out
