@@ -72,3 +72,36 @@ def contamination(texts: list[str | None], items: list[tuple[str, str | None]])
                     ids |= found
         out.append((len(w), len(hit), sorted(ids)))
     return out
+
+
+def shingle_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode("utf-8", "replace").lower())
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard_components(rows: list[tuple[int, str | None]], k: int, threshold: int) -> dict[int, tuple[int, int]]:
+    """Set size and least doc_id of the component, by doc_id; all pairs that share a shingle are compared."""
+    sets = [shingle_set(t, k) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    holders: dict = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        near = {j for x in s for j in holders[x] if j < i}
+        for j in near:
+            if root(i) != root(j):
+                both = len(s & sets[j])
+                if 100 * both >= threshold * (len(s) + len(sets[j]) - both):
+                    parent[root(i)] = root(j)
+    least: dict[int, int] = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc), doc)
+    return {doc: (len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(rows)}
