@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, ngram_join, pii, quality_model, quality_rules, secret_scan, token_counts
+from . import bpe, decontaminate, html_text, ngram_join, pii, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality": quality_model.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_ngram_join": ngram_join.query,
     "op4_bpe": bpe.query,
     "op5_token_counts": token_counts.query,

@@ -105,3 +105,22 @@ def jaccard_components(rows: list[tuple[int, str | None]], k: int, threshold: in
     for i, (doc, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), doc), doc)
     return {doc: (len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(rows)}
+
+
+def without_repeats(texts: list[str | None], length: int) -> list[tuple[int, int, int, bytes]]:
+    """n_bytes, n_removed, n_spans and the kept bytes, per text."""
+    raw = [(t or "").encode() for t in texts]
+    seen: dict[bytes, int] = {}
+    for t in raw:
+        for i in range(len(t) - length + 1):
+            h = hashlib.blake2b(t[i : i + length], digest_size=12).digest()
+            seen[h] = seen.get(h, 0) + 1
+    out = []
+    for t in raw:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[hashlib.blake2b(t[i : i + length], digest_size=12).digest()] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return out
