@@ -1,22 +1,54 @@
-"""A training-data pipeline: quality rules, n-gram Jaccard join, benchmark decontamination, PII, BPE."""
+"""A training-data pipeline over ``documents``: each stage calls one operator and works on what the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doclint.llm import quality_rules
+from doclint.llm import bpe, decontaminate, ngram_join, pii, quality_rules
+from doclint.llm.common import cut, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy rejects go."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 80 per cent of the union) one document stays."""
+    return ngram_join.keep_first(docs, k=5, threshold=80)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked; ``n_chars``, where there is one, follows the text."""
+    masked = pii.redact(docs, pii.fit(docs))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids``."""
+    tokenizer = bpe.Tokenizer(spark, bpe.public_path(), bpe.frequent_words(docs))
+    return bpe.encode(docs, tokenizer).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("ngram_join", near_duplicates),
+    ("decontaminate", benchmarks),
+    ("pii", personal_data),
+    ("bpe", encoded),
+]
+#: SQL has no byte-pair encoding and no classifier; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else cut(docs), sf_dir)
     return docs

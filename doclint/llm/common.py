@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` and a column that names each row by its file and its place there, the same however often it is read.
+
+    A table that is not read from Parquet files is written first.
+    """
+    place = F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        df.select(place)
+    except AnalysisException:
+        df = cut(df)
+    return df, place
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, slices, table, text_of, utf8
+from .common import cut, placed, slices, table, text_of, utf8
 from .components import components
 
 BUCKETS = 18
@@ -287,5 +287,17 @@ def join(docs: DataFrame, k: int = 4, threshold: int = 85, text: str = "text", k
     return out.select("doc_id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """The documents without near duplicates, with their own columns: of each component the row of the least doc_id stays.
+
+    Rows without words stay. Rows are told apart by their place in their file, so of repeated rows one stays.
+    """
+    named, place = placed(docs)
+    ident = F.struct(F.col("doc_id").alias("doc_id"), place.alias("place"))
+    found = join(named.select(ident.alias("doc_id"), "text"), k, threshold)
+    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.place").alias("_dropped"))
+    return named.join(dropped, place == F.col("_dropped"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -24,13 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import words
-from .common import cut, slices, table, text_of, utf8
+from .common import cut, placed, slices, table, text_of, utf8
 
 GRAM, STRETCH, BATCHES = 32, 256, 2
 PLACE = np.uint64((1 << 28) - 1)
@@ -88,13 +87,9 @@ def cells(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[Bytes, dict
 
 
 def with_row_ids(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``file, row, doc_id, text``: file and row name a row for good, however often it is read. A table not read from files is written first."""
-    try:
-        df = docs.select("_metadata.file_path", "_metadata.row_index", F.col(key).alias("doc_id"), text_of(text).alias("text"))
-    except AnalysisException:
-        stored = cut(docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")))
-        df = stored.select("_metadata.file_path", "_metadata.row_index", "doc_id", "text")
-    return df.select(F.xxhash64("file_path").alias("file"), F.col("row_index").alias("row"), "doc_id", "text")
+    """``file, row, doc_id, text``: file and row name a row for good."""
+    named, place = placed(docs.select(F.col(key), F.col(text)))
+    return named.select(place.alias("at"), F.col(key).alias("doc_id"), text_of(text).alias("text")).select("at.file", "at.row", "doc_id", "text")
 
 
 def _level(entries: DataFrame) -> DataFrame:
