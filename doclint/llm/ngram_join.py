@@ -24,6 +24,7 @@ do not count, unless all are null. Other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, placed, slices, table, text_of, utf8
+from .common import cut, placed, shared_folder, slices, table, text_of, utf8
 from .components import components
 
 BUCKETS = 18
@@ -172,79 +173,100 @@ def width(n: int) -> int:
     return max(64, 1 << (4 * n - 1).bit_length())
 
 
-def class_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``key, n, members, bits`` of the wanted classes. Each task sends a class once, so copies do not pile up."""
+def class_table(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``key, n, bits, text`` of the wanted classes as a table bucketed by key, so comparisons never shuffle it again.
+
+    Each task sends a class once, so copies do not pile up.
+    """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
             raw, bounds = utf8(b.column(0))
             for i, j in slices(bounds):
-                keys = keys_of(*sets_of(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k))
-                keep = []
-                for at, key in enumerate(keys):
+                runs, offsets = sets_of(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+                keep, keys, bits = [], [], []
+                for at, key in enumerate(keys_of(runs, offsets)):
                     if key is not None and key not in seen:
                         seen.add(key)
                         keep.append(at)
+                        keys.append(key)
+                        own = runs[offsets[at] : offsets[at + 1]]
+                        bits.append(bitmap(own, width(len(own))).tobytes())
                 if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in keep], pa.binary()), b.column(0).slice(i, j - i).take(pa.array(keep))], ["key", "text"])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(keys, pa.binary()), pa.array(np.diff(offsets)[keep], pa.int64()), pa.array(bits, pa.binary()),
+                        b.column(0).slice(i, j - i).take(pa.array(keep)),
+                    ], ["key", "n", "bits", "text"])
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, bounds = utf8(b.column(1))
-            for i, j in slices(bounds):
-                runs, offsets = sets_of(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
-                own = [runs[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(i, j - i), pa.array(np.diff(offsets), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()),
-                    pa.array([bitmap(x, width(len(x))).tobytes() for x in own], pa.binary()),
-                ], ["key", "n", "members", "bits"])
-
-    found = rows.select("text").mapInArrow(texts, "key binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    return cut(found.mapInArrow(members, "key binary, n long, members binary, bits binary"))
-
-
-def linked(a: np.ndarray, b: np.ndarray, a_bits: np.ndarray, b_bits: np.ndarray, threshold: int) -> bool:
-    """Whether two sets link: the signatures' bound first, then the exact overlap."""
-    least = -(-threshold * (len(a) + len(b)) // (100 + threshold))
-    while len(a_bits) > len(b_bits):
-        a_bits = a_bits[: len(a_bits) // 2] | a_bits[len(a_bits) // 2 :]
-    while len(b_bits) > len(a_bits):
-        b_bits = b_bits[: len(b_bits) // 2] | b_bits[len(b_bits) // 2 :]
-    if min(len(a) - int(np.bitwise_count(a_bits & ~b_bits).sum()), len(b) - int(np.bitwise_count(b_bits & ~a_bits).sum())) < least:
-        return False
+    spark = rows.sparkSession
+    found = rows.select("text").mapInArrow(texts, "key binary, n long, bits binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"doclint_classes_{uuid.uuid4().hex}"
+    found.repartition(buckets, "key").write.bucketBy(buckets, "key").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def least_overlap(n: int, threshold: int) -> int:
+    """The least overlap of two linked sets with n members in all."""
+    return -(-threshold * n // (100 + threshold))
+
+
+def may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """The signatures' bound: a bit set in one alone is a member of that one alone. Wider signatures are folded first."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    bound = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+    return bound >= least_overlap(n_a + n_b, threshold)
+
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """The exact overlap of two sorted sets."""
     both = np.concatenate((a, b))
     both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum()) >= least
+    return int((both[1:] == both[:-1]).sum()) >= least_overlap(len(both), threshold)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``a, b`` that link."""
-    left = sets.select(F.col("key").alias("a"), F.col("members").alias("am"), F.col("bits").alias("ab"))
-    right = sets.select(F.col("key").alias("b"), F.col("members").alias("bm"), F.col("bits").alias("bb"))
+def verified(pairs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs ``a, b`` that link: signatures are compared first, and only what passes has its texts read."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sides(df: DataFrame, columns: list[str]) -> DataFrame:
+        for side in ("b", "a"):
+            df = df.join(classes.select(F.col("key").alias(side), *(F.col(c).alias(side + c) for c in columns)), side)
+        return df
+
+    def by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             ok = [
-                linked(np.frombuffer(am.as_py(), np.uint64), np.frombuffer(bm.as_py(), np.uint64), np.frombuffer(ab.as_py(), np.uint8), np.frombuffer(bb.as_py(), np.uint8), threshold)
-                for am, bm, ab, bb in zip(at["am"], at["bm"], at["ab"], at["bb"], strict=True)
+                may_link(n, m, np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8), threshold)
+                for n, m, x, y in zip(at["an"].to_pylist(), at["bn"].to_pylist(), at["abits"], at["bbits"], strict=True)
             ]
-            if any(ok):
-                yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def by_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            ok = []
+            for x, y in zip(at["atext"], at["btext"], strict=True):
+                raw, bounds = utf8(pa.array([x.as_py(), y.as_py()], pa.string()))
+                runs, offsets = sets_of(raw, bounds, k)
+                ok.append(linked(runs[: offsets[1]], runs[offsets[1] :], threshold))
+            yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a binary, b binary")
+    schema = "a binary, b binary"
+    left = cut(sides(pairs, ["n", "bits"]).mapInArrow(by_signature, schema))
+    return cut(sides(left, ["text"]).mapInArrow(by_members, schema))
 
 
 def _size_ok(threshold: int):
     return 100 * F.least("an", "bn") >= threshold * F.greatest("an", "bn")
 
 
-def _with_labels(tokens: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Tokens that still join different components; ``label`` is the component so far."""
-    if labels is None:
-        return tokens.withColumn("label", F.col("key"))
-    named = tokens.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+def _still_open(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tokens that join different components; ``label`` is the component so far."""
+    named = cut(tokens.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
     open_tokens = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token")
     return named.join(open_tokens, "token", "left_semi")
 
@@ -252,26 +274,26 @@ def _with_labels(tokens: DataFrame, labels: DataFrame | None) -> DataFrame:
 def links(rows: DataFrame, signed: DataFrame, k: int, threshold: int) -> DataFrame:
     """``key, label`` for all classes that link with another one."""
     tokens = cut(shared_tokens(signed))
-    sets = class_sets(rows, tokens.select("key").distinct(), k)
+    classes = class_table(rows, tokens.select("key").distinct(), k)
     edges, labels, tried = None, None, None
+    at_hand = tokens.withColumn("label", F.col("key"))
     for r in range(STARS):
-        at_hand = _with_labels(tokens, labels)
         order = F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("leader"), F.col("n").alias("an"), F.col("label").alias("al"))
         leaders = at_hand.groupBy("token").agg(F.min(order).alias("first")).select("token", "first.leader", "first.an", "first.al")
         pairs = at_hand.join(leaders, "token").filter(F.col("al") != F.col("label")).withColumn("bn", F.col("n")).filter(_size_ok(threshold))
         pairs = cut(pairs.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct())
-        found = cut(verified(pairs, sets, threshold))
+        found = verified(pairs, classes, k, threshold)
         tried = pairs if tried is None else tried.union(pairs)
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
-    rest = _with_labels(tokens, labels)
+        at_hand = cut(_still_open(tokens, labels))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("int")
-    left = rest.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("key").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("label").alias("al"))
-    right = rest.select("token", band.alias("band"), F.col("key").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("label").alias("bl"))
+    left = at_hand.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("key").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("label").alias("al"))
+    right = at_hand.select("token", band.alias("band"), F.col("key").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("label").alias("bl"))
     overlap = F.least("aat", "bat") + 1 + F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) - 1
     crossed = left.join(right, ["token", "band"]).filter((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))).filter(_size_ok(threshold))
     crossed = crossed.filter((100 + threshold) * overlap >= threshold * (F.col("an") + F.col("bn"))).select("a", "b").distinct()
-    found = cut(verified(cut(crossed.join(tried, ["a", "b"], "left_anti")), sets, threshold))
+    found = verified(cut(crossed.join(tried, ["a", "b"], "left_anti")), classes, k, threshold)
     return components(edges.union(found))
 
 

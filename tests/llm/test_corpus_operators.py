@@ -57,8 +57,9 @@ def test_signature_bound_never_rejects_a_link():
         b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.95], rng.integers(0, 400, rng.integers(0, 8)).astype(np.uint64))))
         if len(b):
             both = len(np.intersect1d(a, b))
-            got = ngram_join.linked(a, b, ngram_join.bitmap(a, ngram_join.width(len(a))), ngram_join.bitmap(b, ngram_join.width(len(b))), 85)
-            assert got == (100 * both >= 85 * (len(a) + len(b) - both))
+            links = 100 * both >= 85 * (len(a) + len(b) - both)
+            bits = [ngram_join.bitmap(x, ngram_join.width(len(x))) for x in (a, b)]
+            assert ngram_join.linked(a, b, 85) == links and (ngram_join.may_link(len(a), len(b), *bits, 85) or not links)
 
 
 def test_components(spark):
