@@ -15,11 +15,11 @@ word of any length is merged exactly. Other columns are not read; ids outside th
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -330,7 +330,7 @@ def build_lexicon(vocabulary: Vocabulary, words: list[bytes]) -> np.ndarray:
 
 def publish(spark: SparkSession, numbers: np.ndarray) -> str:
     """Hands the transducer to all executors as a file; returns its name for :func:`mapped`."""
-    name = f"lexicon-{hashlib.sha256(numbers.tobytes()).hexdigest()[:24]}.npy"
+    name = f"lexicon-{uuid.uuid4().hex}.npy"
     path = os.path.join(tempfile.mkdtemp(prefix="doclint-"), name)  # the driver serves it from here
     np.save(path, numbers)
     spark.sparkContext.addFile(path)
