@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from . import words
 from .common import cut, placed, slices, table, text_of, utf8
 
-GRAM, STRETCH, BATCHES = 32, 256, 2
+GRAM, STRETCH, PART, BATCHES = 32, 256, 32, 2
 PLACE = np.uint64((1 << 28) - 1)
 INVERSE = np.uint64(pow(int(words.BASE), -1, 1 << 64))
 
@@ -83,7 +83,7 @@ def cells(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[Bytes, dict
     begin = anchor[first] - stretch[first] * STRETCH
     common = length - min(STRETCH, length - GRAM + 1) + 1
     core = hashes.of(begin, begin + common) + stretch[first].astype(np.uint64)
-    return hashes, {"text": text[first], "first": starts[first], "last": starts[last], "core": core, "full": hashes.of(starts[first], starts[last] + length)}
+    return hashes, {"text": text[first], "first": starts[first], "last": starts[last], "anchor": anchor[first], "core": core, "full": hashes.of(starts[first], starts[last] + length)}
 
 
 def with_row_ids(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -145,7 +145,7 @@ def entries_of(rows: DataFrame, length: int) -> DataFrame:
 
 
 def placed_cells(rows: DataFrame, length: int) -> DataFrame:
-    """``core, full, file, row, first, last``: all cells with their place in their text."""
+    """``core, full, file, row, first, last, anchor``: all cells with their place in their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,34 +158,70 @@ def placed_cells(rows: DataFrame, length: int) -> DataFrame:
                     at = pa.array(c["text"])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(c["core"].view(np.int64)), pa.array(c["full"].view(np.int64)), b.column(0).slice(i, j - i).take(at), b.column(1).slice(i, j - i).take(at),
-                        pa.array(c["first"] - own[c["text"]], pa.int32()), pa.array(c["last"] - own[c["text"]], pa.int32()),
-                    ], ["core", "full", "file", "row", "first", "last"])
+                        *(pa.array(c[x] - own[c["text"]], pa.int32()) for x in ("first", "last", "anchor")),
+                    ], ["core", "full", "file", "row", "first", "last", "anchor"])
 
-    return rows.select("file", "row", "text").mapInArrow(run, "core long, full long, file long, row long, first int, last int")
+    return rows.select("file", "row", "text").mapInArrow(run, "core long, full long, file long, row long, first int, last int, anchor int")
 
 
-def repeated_strings(rows: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
-    """``file, row, first, last`` of runs of string starts in undecided cells whose strings occur in another extent of the core."""
+def cell_parts(rows: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
+    """``core, full, file, row, first, last, strings``: undecided cells cut into parts of ``PART`` string starts.
+
+    Parts are counted from the anchor, so equal strings fall into parts of the same place; the strings come as fingerprints.
+    """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, bounds = utf8(b.column(2))
             for x in range(b.num_rows):
                 hashes = Bytes(raw[bounds[x] : bounds[x + 1]])
-                for c in b.column(3)[x].as_py():
-                    at = np.arange(c["first"], c["last"] + 1)
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, c["core"])), pa.array(hashes.of(at, at + length).view(np.int64)), b.column(0).slice(x, 1).take(pa.array(np.zeros(n, np.int64))),
-                        b.column(1).slice(x, 1).take(pa.array(np.zeros(n, np.int64))), pa.array(at, pa.int32()),
-                    ], ["core", "string", "file", "row", "at"])
+                first, last, anchor = (b.column(3)[x].values.field(c).to_numpy() for c in ("first", "last", "anchor"))
+                cell = np.repeat(np.arange(len(first)), last - first + 1)
+                at = np.arange(len(cell)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[cell]
+                part = (anchor[cell] - at) // PART
+                new = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]))))
+                end = np.append(new[1:], len(at)) - 1
+                begin = anchor[cell[new]] - part[new] * PART
+                core = hashes.of(begin, begin + length - PART + 1) + part[new].astype(np.uint64)
+                full = hashes.of(at[new], at[end] + length)
+                strings = hashes.of(at, at + length).astype("<u8")
+                same = pa.array(np.full(len(new), x))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), b.column(0).take(same), b.column(1).take(same), pa.array(at[new], pa.int32()),
+                    pa.array(at[end], pa.int32()), pa.array([strings[i : j + 1].tobytes() for i, j in zip(new, end, strict=True)], pa.binary()),
+                ], ["core", "full", "file", "row", "first", "last", "strings"])
+
+    lists = undecided.groupBy("file", "row").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("cells"))  # at most a text's own
+    joined = rows.select("file", "row", "text").join(lists, ["file", "row"])
+    return joined.mapInArrow(run, "core long, full long, file long, row long, first int, last int, strings binary")
+
 
-    lists = undecided.groupBy("file", "row").agg(F.collect_list(F.struct("core", "first", "last")).alias("cells"))  # at most a text's own
-    each = cut(rows.select("file", "row", "text").join(lists, ["file", "row"]).mapInArrow(hashed, "core long, string long, file long, row long, at int"))
+def repeated_strings(rows: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
+    """``file, row, first, last`` of runs of string starts in undecided cells whose strings occur in another extent of the core.
+
+    Parts are decided as cells are, by core and extent; only strings of a part with an extent of its own and a core that
+    others share are compared one by one.
+    """
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = (b.column(4).to_numpy() - b.column(3).to_numpy() + 1).astype(np.int64)
+            of = pa.array(np.repeat(np.arange(b.num_rows), n))
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b.column(3).to_numpy(), n)
+            strings = np.frombuffer(b"".join(b.column(5).to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(strings), b.column(1).take(of), b.column(2).take(of), pa.array(at, pa.int32())], ["core", "string", "file", "row", "at"])
+
+    same_core, same_full = W.partitionBy("core"), W.partitionBy("core", "full")
+    # one cell stands for each extent, so an extent met twice here is a part that several extents of the cell share
+    parts = cell_parts(rows, undecided, length).withColumns({"low": F.min("full").over(same_core), "high": F.max("full").over(same_core)})
+    parts = cut(parts.withColumn("n", F.count("*").over(same_full)).filter("low != high OR n > 1").drop("low", "high"))
+    mixed = parts.select("core", "full", "n").groupBy("core").agg(F.min("full").alias("low"), F.max("full").alias("high")).filter("low != high").select("core")
+    singles = parts.join(mixed, "core", "left_semi").select("core", "file", "row", "first", "last", "strings")
+    each = cut(singles.mapInArrow(unpacked, "core long, string long, file long, row long, at int"))
     twice = each.groupBy("core", "string").agg(F.count("*").alias("c")).filter("c > 1").select("core", "string")
     # every holder of a string that several extents share is removed, however many there are
-    ends = each.join(twice, ["core", "string"], "left_semi")
-    return ends.select("file", "row", F.col("at").alias("first"), F.col("at").alias("last"))
+    ends = each.join(twice, ["core", "string"], "left_semi").select("file", "row", F.col("at").alias("first"), F.col("at").alias("last"))
+    return parts.filter("n > 1").select("file", "row", "first", "last").unionByName(ends)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -199,8 +235,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES, t
     open_cells = index.filter("n > 1 OR extents > 1")
     met = cut(placed_cells(long_rows, length).join(open_cells, ["core", "full"]))
     whole = met.filter("n > 1").select("file", "row", "first", "last")
-    one_each = met.filter("extents > 1").groupBy("core", "full").agg(F.min(F.struct("file", "row", "first", "last")).alias("c"))
-    parts = repeated_strings(long_rows, one_each.select("core", "c.*"), length)
+    one_each = met.filter("extents > 1").groupBy("core", "full").agg(F.min(F.struct("file", "row", "first", "last", "anchor")).alias("c"))
+    parts = repeated_strings(long_rows, one_each.select("c.*"), length)
     runs = whole.unionByName(parts).groupBy("file", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # at most a text's own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
