@@ -27,16 +27,11 @@ OPENERS = "^[<(\\[{\"'`]+"
 CLOSERS = "[>)\\]}\"'`,;:.!?]+$"
 
 
-def capped_lines(text: Column, limit: int = fv.MAX_LINE_CHARS) -> Column:
-    """Every line cut to ``limit`` characters, in one pass over the document."""
-    return F.regexp_replace(text, rf"(?md)^([^\n]{{{limit}}})[^\n]+", "$1")
-
-
 def words_with(text: Column, core: str) -> Column:
-    """White-space delimited words up to 320 characters that hold ``core`` (a pattern)."""
+    """White-space delimited words that hold ``core`` (a pattern)."""
     words = F.regexp_extract_all(text, F.lit(rf"(?<!\S)\S*{core}\S*"), F.lit(0))
     split = F.flatten(F.transform(words, lambda w: F.split(w, f"[{SPACE_CLASS}]+")))
-    return F.filter(split, lambda w: (w != "") & (F.length(w) <= fv.MAX_TOKEN_CHARS))
+    return F.filter(split, lambda w: w != "")
 
 
 def clean_word(word: Column) -> Column:
@@ -62,13 +57,13 @@ def is_phone(candidate: Column) -> Column:
     )
 
 
-def phone_candidates(capped: Column) -> Column:
-    return F.regexp_extract_all(capped, F.lit(PHONE_CANDIDATE), F.lit(0))
+def phone_candidates(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PHONE_CANDIDATE), F.lit(0))
 
 
-def has_phone(capped: Column) -> Column:
-    """C2 on a document whose lines are already capped."""
-    return F.exists(phone_candidates(capped), lambda c: is_phone(F.trim(c)))
+def has_phone(text: Column) -> Column:
+    """C2 on a whole document."""
+    return F.exists(phone_candidates(text), lambda c: is_phone(F.trim(c)))
 
 
 def linkedin_state(text: Column) -> Column:
@@ -95,15 +90,15 @@ def broken_url(text: Column) -> Column:
     found = F.get(
         F.filter(
             F.transform(candidates, lambda c: F.regexp_replace(c, OPENERS, "")),
-            lambda c: F.length(c).between(6, fv.MAX_TOKEN_CHARS) & (c.rlike(URL_CUT) | c.rlike(PROFILE_CUT)),
+            lambda c: (F.length(c) >= 6) & (c.rlike(URL_CUT) | c.rlike(PROFILE_CUT)),
         ),
         F.lit(0),
     )
     return F.when(text.rlike("[-_/] *\n"), found)
 
 
-def personal_kinds(folded_capped: Column) -> Column:
-    """Kinds of personal data on folded, capped lines, in fixed order."""
+def personal_kinds(folded: Column) -> Column:
+    """Kinds of personal data on folded lines, in fixed order."""
     # Per kind, (literals of which one must occur, pattern)
     word = lambda w: f"{w}{WORD_END}"
     rules = {
@@ -134,11 +129,11 @@ def personal_kinds(folded_capped: Column) -> Column:
     for kind in fv.PERSONAL_KINDS:
         test = F.lit(False)
         for literals, pattern in rules[kind]:
-            hit = folded_capped.rlike(pattern)
+            hit = folded.rlike(pattern)
             if literals:
                 present = F.lit(False)
                 for literal in literals:
-                    present = present | F.contains(folded_capped, F.lit(literal))
+                    present = present | F.contains(folded, F.lit(literal))
                 hit = present & hit
             test = test | hit
         hits.append(F.when(test, F.lit(kind)))
@@ -153,7 +148,7 @@ def contact_struct(text: Column) -> Column:
             text,
             lambda t: F.struct(
                 has_email(t).alias("email"),
-                has_phone(capped_lines(t)).alias("phone"),
+                has_phone(t).alias("phone"),
                 linkedin_state(t).alias("linkedin"),
             ),
         ),
@@ -193,7 +188,7 @@ def safe_url(value: Column) -> Column:
         return F.when(ok, F.concat(scheme, F.lit("://"), host, shown_port, path))
 
     cleaned = trim_all(strip_unsafe(value))
-    return let(cleaned, lambda s: F.when((s != "") & (F.length(s) <= fv.FIELD_LIMITS["url"]), build(s)))
+    return let(cleaned, lambda s: F.when(s != "", build(s)))
 
 
 def display_url(href: Column) -> Column:

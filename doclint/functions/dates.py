@@ -19,9 +19,9 @@ DATE_RANGE = (
 )
 
 
-def count_date_range_lines(folded_capped: Column) -> Column:
+def count_date_range_lines(folded: Column) -> Column:
     """Number of lines that state a period."""
-    return F.regexp_count(folded_capped, F.lit(rf"(?md)^[^\n]*?{DATE_RANGE}[^\n]*$"))
+    return F.regexp_count(folded, F.lit(rf"(?md)^[^\n]*?{DATE_RANGE}[^\n]*$"))
 
 
 def is_date_like(segment: Column) -> Column:
@@ -69,7 +69,7 @@ def normalize_month(value: Column) -> Column:
             .otherwise(""),
         )
 
-    return let(let(trim_all(value), lambda t: F.left(fold(t), F.lit(30))), parse)
+    return let(let(trim_all(value), fold), parse)
 
 
 def format_month(value: Column, lang: Column) -> Column:

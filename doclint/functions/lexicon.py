@@ -69,34 +69,6 @@ def trie_regex(words: list[str]) -> str:
     return render(root)
 
 
-def _inflect(endings: dict[str, str]) -> list[str]:
-    out = []
-    for pattern, roots in endings.items():
-        for root in roots.split():
-            out.extend(root + ("" if e == "-" else e) for e in pattern.split())
-    return out
-
-
-def default_job_noise() -> list[str]:
-    return list(dict.fromkeys(_inflect(fv.NOISE_ENDINGS) + fv.NOISE_INVARIANT))
-
-
-def default_action_verbs() -> list[str]:
-    def past(base: str) -> str:
-        return base + "d" if base.endswith("e") else base + "ed"
-
-    def gerund(base: str) -> str:
-        return (base[:-1] if base.endswith("e") else base) + "ing"
-
-    english = (
-        [form for base in fv.VERBS_EN_BASE_AND_PAST for form in (base, past(base))]
-        + [past(base) for base in fv.VERBS_EN_PAST]
-        + [gerund(base) for base in fv.VERBS_EN_GERUND]
-        + fv.VERBS_EN_IRREGULAR
-    )
-    return list(dict.fromkeys(english + _inflect(fv.VERB_ENDINGS_PT)))
-
-
 @dataclass(frozen=True)
 class Skill:
     label: str
@@ -136,8 +108,8 @@ class Lexicon:
     stopwords_en: list[str] = field(default_factory=lambda: list(fv.STOPWORDS_EN))
     stopwords_pt: list[str] = field(default_factory=lambda: list(fv.STOPWORDS_PT))
     ambiguous_stopwords: list[str] = field(default_factory=lambda: list(fv.LANGUAGE_AMBIGUOUS))
-    job_noise: list[str] = field(default_factory=default_job_noise)
-    action_verbs: list[str] = field(default_factory=default_action_verbs)
+    job_noise: list[str] = field(default_factory=lambda: list(fv.JOB_NOISE))
+    action_verbs: list[str] = field(default_factory=lambda: list(fv.ACTION_VERBS))
     weak_phrases: list[str] = field(default_factory=lambda: list(fv.WEAK_PHRASES))
     section_synonyms: dict[str, list[str]] = field(default_factory=lambda: dict(fv.SECTION_SYNONYMS))
     nonstandard_headings: dict[str, str] = field(default_factory=lambda: dict(fv.NONSTANDARD_HEADINGS))

@@ -88,23 +88,14 @@ def _clean_lines(text: Column) -> Column:
     return trim_all(s)
 
 
-def normalize_text(text: Column, max_chars: int = fv.MAX_TEXT_CHARS) -> Column:
-    """Cleaned, line-oriented, bounded text."""
-    cleaned = _clean_lines(compose_compat(F.left(F.coalesce(text, F.lit("")), F.lit(2 * max_chars))))
-    return F.left(cleaned, F.lit(max_chars))
+def normalize_text(text: Column) -> Column:
+    """Cleaned, line-oriented text, whole."""
+    return _clean_lines(compose_compat(F.coalesce(text, F.lit(""))))
 
 
-def normalize_struct(text: Column, max_chars: int = fv.MAX_TEXT_CHARS) -> Column:
-    """T1 with its flag: ``struct<text, truncated>``; true if either cut removed something."""
-    raw = F.coalesce(text, F.lit(""))
-    cleaned = _clean_lines(compose_compat(F.left(raw, F.lit(2 * max_chars))))
-    return let(
-        cleaned,
-        lambda c: F.struct(
-            F.left(c, F.lit(max_chars)).alias("text"),
-            ((F.length(c) > max_chars) | (F.length(raw) > 2 * max_chars)).alias("truncated"),
-        ),
-    )
+def normalize_struct(text: Column, long_chars: int = fv.LONG_TEXT_CHARS) -> Column:
+    """T1 with its flag: ``struct<text, truncated>``.  The text stays whole; the flag only reports a length past ``long_chars``."""
+    return let(normalize_text(text), lambda c: F.struct(c.alias("text"), (F.length(c) > long_chars).alias("truncated")))
 
 
 # ---- T3 ---------------------------------------------------------------------------------
@@ -240,12 +231,12 @@ def is_bullet(line: Column) -> Column:
 
 def bullet_body(line: Column) -> Column:
     """Trimmed line without its bullet."""
-    return F.when(starts_with_bullet(line), F.ltrim(F.substring(line, 2, 1_000_000), F.lit(ALL_SPACES))).otherwise(line)
+    return F.when(starts_with_bullet(line), F.ltrim(F.substr(line, F.lit(2)), F.lit(ALL_SPACES))).otherwise(line)
 
 
 # ---- T9 ---------------------------------------------------------------------------------
 def language_from_parts(sample: Column, padded_sample: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """T9 from the first 20,000 characters and their padded tokens."""
+    """T9 from the text and its padded tokens."""
     skip = set(lexicon.ambiguous_stopwords)
     en_words = trie_regex([w for w in lexicon.stopwords_en if w not in skip])
     pt_words = trie_regex([w for w in lexicon.stopwords_pt if w not in skip])
@@ -263,12 +254,5 @@ def language_from_parts(sample: Column, padded_sample: Column, lexicon: Lexicon
 
 
 def detect_language(text: Column, padded: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """``padded`` is reused unless the text is longer than the sample."""
-    sample = F.left(text, F.lit(fv.LANGUAGE_SAMPLE_CHARS))
-    padded_sample = F.when(F.length(text) <= fv.LANGUAGE_SAMPLE_CHARS, padded).otherwise(
-        let(sample, padded_tokens)
-    )
-    return let(
-        F.struct(sample.alias("s"), padded_sample.alias("p")),
-        lambda v: language_from_parts(v["s"], v["p"], lexicon),
-    )
+    """T9 on the whole text."""
+    return language_from_parts(text, padded, lexicon)

@@ -30,7 +30,7 @@ def line_features(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
         F.filter(F.transform(F.split(text, "\n"), trim_all), lambda l: l != ""),
         lambda l: F.struct(
             starts_with_bullet(l).alias("bullet"),
-            F.left(bullet_body(l), F.lit(fv.MAX_BODY_CHARS)).alias("body"),
+            bullet_body(l).alias("body"),
         ),
     )
     tokens = F.transform(

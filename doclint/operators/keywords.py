@@ -1,8 +1,8 @@
 """Job keywords and their match against documents.
 
 Both sides are indexed once: a job ad becomes at most 32 weighted keywords, a document becomes
-counted terms.  Pairs then join the two by key.  Job ads are bounded (20,000 characters), so
-windows per job never grow with the data; documents only aggregate by (document, key).
+counted terms.  Pairs then join the two by key.  Windows run within one ad;
+documents only aggregate by (document, key).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ BIGRAM_FACTOR = 1.5
 MAX_TERM_WEIGHT = 4.0
 STUFFING_COUNT, STUFFING_SHARE, STUFFING_PENALTY, STUFFING_CAP = 10, 0.03, 10, 30
 SHORT_JOB_TOKENS = 40
+#: Copies of an ad's packed keywords; its pairs are dealt over them.
+SALTS = 16
 
 
 # ---- K1 ---------------------------------------------------------------------------------
@@ -167,7 +169,7 @@ def job_term_mentions(lines: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame
             lambda t, s: F.struct(t.alias("t"), s.alias("s"), _usable(t, lexicon).alias("ok")),
         ),
     )
-    neighbours = F.arrays_zip(F.col("tagged").alias("a"), F.slice("tagged", 2, 1_000_000).alias("b"))
+    neighbours = F.arrays_zip(F.col("tagged").alias("a"), F.slice("tagged", F.lit(2), F.size("tagged")).alias("b"))
     pairs = tagged.select("job_id", "line_no", "weight", F.posexplode(neighbours).alias("pos", "z")).filter("z.a.ok")
     mention = lambda key, display, n, w: F.struct(
         key.alias("key"), display.alias("display"), F.lit(n).alias("n_stems"), w.alias("w")
@@ -247,16 +249,12 @@ def job_keywords(jobs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
 
 
 # ---- K12 --------------------------------------------------------------------------------
-def document_terms(docs: DataFrame, lexicon: Lexicon = DEFAULT, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, kind, key, n)`` from normalized documents with ``text`` and ``padded``.
-
-    ``vocabulary`` (``kind, key``), if given, must be small enough to broadcast: see
-    :func:`small_vocabulary`.  Terms outside it are dropped before the shuffle.
-    """
+def document_terms(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """``(doc_id, kind, key, n)`` from normalized documents with ``text`` and ``padded``."""
     base = docs.select("doc_id", "text", "padded")
     stems = base.select("doc_id", stem_array(F.filter(F.split(F.trim("padded"), " "), lambda t: t != "")).alias("stems"))
     follow = F.zip_with(
-        "stems", F.slice("stems", 2, 1_000_000), lambda a, b: F.when(a != b, F.concat_ws(" ", a, b))
+        "stems", F.slice("stems", F.lit(2), F.size("stems")), lambda a, b: F.when(a != b, F.concat_ws(" ", a, b))
     )
     # a stem repeated side by side counts non-overlapping pairs only
     doubled = F.transform(
@@ -272,8 +270,6 @@ def document_terms(docs: DataFrame, lexicon: Lexicon = DEFAULT, vocabulary: Data
             F.concat(term(F.col("stems"), "term1"), term(F.array_compact(follow), "term2"), term(doubled, "term2"))
         ).alias("t"),
     ).select("doc_id", "t.kind", "t.key")
-    if vocabulary is not None:
-        terms = terms.join(F.broadcast(vocabulary), ["kind", "key"], "left_semi").select("doc_id", "kind", "key")
     skills = skill_counts(base, ["doc_id"], lexicon).select(
         "doc_id", F.lit("skill").alias("kind"), F.col("skill").alias("key"), "n"
     )
@@ -281,29 +277,22 @@ def document_terms(docs: DataFrame, lexicon: Lexicon = DEFAULT, vocabulary: Data
     return counted.unionByName(skills)
 
 
-def small_vocabulary(keywords: DataFrame, max_keys: int = 200_000) -> DataFrame | None:
-    """Distinct term keys of all ads if there are at most ``max_keys``, else None.
-
-    The check reads at most ``max_keys + 1`` rows; beyond it documents keep all their terms and
-    the match runs as a shuffled join, with the same result.
-    """
-    keys = keywords.filter("kind <> 'skill'").select("kind", "key").distinct()
-    return keys if keys.limit(max_keys + 1).count() <= max_keys else None
-
-
 # ---- K13-K16 ----------------------------------------------------------------------------
 def keyword_hits(pairs: DataFrame, keywords: DataFrame, terms: DataFrame, doc_words: DataFrame) -> DataFrame:
     """One row per (document, job, keyword) with its count and flags.
 
-    ``doc_words`` is ``(doc_id, words)``.  Keywords travel packed, one row per ad, so a job shared
-    by many pairs is joined once per pair and unpacked afterwards.
+    ``doc_words`` is ``(doc_id, words)``.  A pair listed twice counts once.  Keywords travel packed,
+    one row per ad (at most 32 keywords), in ``SALTS`` copies, so the pairs of a popular ad are
+    spread over that many tasks.
     """
     packed = keywords.groupBy("job_id").agg(
         F.collect_list(F.struct("rank", "kind", "term", "key", "weight", "milli")).alias("kws")
     )
+    copies = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pairs.select("doc_id", "job_id").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     wanted = (
-        pairs.join(doc_words, "doc_id")
-        .join(packed, "job_id")
+        salted.join(doc_words, "doc_id")
+        .join(copies, ["job_id", "salt"])
         .select("doc_id", "job_id", "words", F.inline("kws"))
     )
     joined = wanted.join(terms, ["doc_id", "kind", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv
 from ..functions.text import let, normalize_text
 
 # Part names and markup
@@ -117,10 +116,7 @@ def route_parts(parts: DataFrame) -> DataFrame:
     )
     in_role = Window.partitionBy("doc_id", "role").orderBy("part_no")
     ranked = parts.withColumn("role", role).filter("role IS NOT NULL").withColumn("rn", F.row_number().over(in_role))
-    return ranked.filter(
-        ((F.col("role") != "body") | (F.col("rn") == 1))
-        & ((F.col("role") != "margin") | (F.col("rn") <= fv.MAX_HEADER_FOOTER_PARTS))
-    ).drop("rn")
+    return ranked.filter((F.col("role") != "body") | (F.col("rn") == 1)).drop("rn")
 
 
 def package_documents(parts: DataFrame) -> DataFrame:
@@ -144,7 +140,7 @@ def package_documents(parts: DataFrame) -> DataFrame:
     return full.select(
         "doc_id",
         F.when(~bad, F.coalesce("text", F.lit(""))).alias("text"),
-        F.when(~bad, normalize_text(F.col("margin_text"), fv.MAX_HEADER_FOOTER_CHARS)).alias("header_footer_text"),
+        F.when(~bad, normalize_text(F.col("margin_text"))).alias("header_footer_text"),
         F.struct(
             F.coalesce("tables", F.lit(0)).cast("int").alias("tables"),
             F.coalesce("text_boxes", F.lit(0)).cast("int").alias("text_boxes"),

@@ -23,17 +23,10 @@ _ROWS = (
 )
 
 
-def cap_pages(runs: DataFrame) -> DataFrame:
-    """First ten pages, at most 20,000 runs per page, default width, no blank runs."""
+def all_pages(runs: DataFrame) -> DataFrame:
+    """Every page and run, with the default width where a page has none."""
     width = F.when(F.coalesce("page_width", F.lit(0.0)) == 0, fv.DEFAULT_PAGE_WIDTH).otherwise(F.abs("page_width"))
-    order = Window.partitionBy("doc_id", "page_no").orderBy("run_no")
-    return (
-        runs.filter(F.col("page_no") <= fv.MAX_PDF_PAGES)
-        .withColumn("page_width", width)
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= fv.MAX_PDF_RUNS_PER_PAGE)
-        .drop("rn")
-    )
+    return runs.withColumn("page_width", width)
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +69,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def page_rows(runs: DataFrame) -> DataFrame:
     """Runs with ``row_no``, duplicates of the previous kept run removed."""
-    solid = cap_pages(runs).filter(trim_all(F.col("str")) != "").select(
+    solid = all_pages(runs).filter(trim_all(F.col("str")) != "").select(
         F.col("doc_id").cast("bigint"), F.col("page_no").cast("int"), F.col("page_width").cast("double"),
         F.col("run_no").cast("int"), "str", *[F.col(n).cast("double") for n in ("x", "y", "width", "height")],
     )
@@ -151,5 +144,5 @@ def run_documents(runs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
             F.lit(0).alias("tables"), F.lit(0).alias("text_boxes"), F.lit(0).alias("images"),
             F.coalesce("columns", F.lit(False)).alias("columns"), F.col("page_count").cast("int").alias("page_count"),
         ).alias("layout"),
-        (F.col("page_count") > fv.MAX_PDF_PAGES).alias("truncated"), F.lit(None).cast("string").alias("error_code"),
+        (F.col("page_count") > fv.LONG_PAGES).alias("truncated"), F.lit(None).cast("string").alias("error_code"),
     )

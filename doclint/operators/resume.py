@@ -15,7 +15,7 @@ from ..functions.contact import display_url, safe_url
 from ..functions.dates import format_month, format_range, normalize_month
 from ..functions.text import let, once, strip_unsafe, trim_all
 
-LIM, LISTS = fv.FIELD_LIMITS, fv.LIST_LIMITS
+LISTS = fv.LIST_LIMITS
 # Text limit per field of each list item (None marks a month string)
 ITEMS = {
     "work": {"company": "medium", "position": "medium", "location": "medium", "startDate": None, "endDate": None},
@@ -91,8 +91,8 @@ def _loose_items(v: Column, name: str) -> Column:
                 .otherwise(_kind(end) == "VOID").alias("current")
             )
         if name in STRING_LISTS:
-            key, _, cap = STRING_LISTS[name]
-            listed = F.filter(F.transform(F.slice(_array(x, key), 1, LISTS[cap]), _loose), lambda s: s != "")
+            key = STRING_LISTS[name][0]
+            listed = F.filter(F.transform(_array(x, key), _loose), lambda s: s != "")
             listed = F.coalesce(listed, F.array().cast("array<string>"))
             if name == "work":
                 summary = _loose(_at(x, "summary"))
@@ -103,14 +103,14 @@ def _loose_items(v: Column, name: str) -> Column:
             fields.append(listed.alias(key))
         return F.struct(*fields)
 
-    return F.transform(F.filter(F.slice(F.coalesce(_array(v, name), F.array().cast("array<variant>")), 1, LISTS[name]), _is_object), item)
+    return F.transform(F.filter(F.coalesce(_array(v, name), F.array().cast("array<variant>")), _is_object), item)
 
 
 def _profiles(v: Column, loose: bool) -> Column:
     read = (lambda x, f: _loose(_at(x, f))) if loose else (lambda x, f: _string(_at(x, f)))
     items = _array(v, "profiles")
     if loose:
-        items = F.filter(F.slice(F.coalesce(items, F.array().cast("array<variant>")), 1, LISTS["profiles"]), _is_object)
+        items = F.filter(F.coalesce(items, F.array().cast("array<variant>")), _is_object)
     return F.transform(items, lambda x: F.struct(read(x, "network").alias("network"), read(x, "url").alias("url")))
 
 
@@ -140,22 +140,22 @@ def _community(v: Column, lang: Column) -> Column:
 
 
 # ---- R1 finishing -----------------------------------------------------------------------
-def _cut(text: Column, limit: int) -> Column:
-    return F.left(trim_all(strip_unsafe(F.left(text, F.lit(2 * limit)))), F.lit(limit))
+def _clean(text: Column) -> Column:
+    return trim_all(strip_unsafe(text))
 
 
 def _finish(raw: Column) -> Column:
     def item(name: str):
         def build(x: Column) -> Column:
             fields = [
-                (normalize_month(F.left(x[f], F.lit(40))) if kind is None else _cut(x[f], LIM[kind])).alias(f)
+                (normalize_month(x[f]) if kind is None else _clean(x[f])).alias(f)
                 for f, kind in ITEMS[name].items()
             ]
             if name == "work":
                 fields.append(x["current"].alias("current"))
             if name in STRING_LISTS:
-                key, kind, _ = STRING_LISTS[name]
-                fields.append(F.transform(x[key], lambda s: _cut(s, LIM[kind])).alias(key))
+                key = STRING_LISTS[name][0]
+                fields.append(F.transform(x[key], _single(_clean)).alias(key))
             return F.struct(*fields)
 
         return build
@@ -165,22 +165,23 @@ def _finish(raw: Column) -> Column:
         F.lit(fv.RESUME_VERSION).alias("version"),
         F.struct(raw["language"].alias("language"), raw["template"].alias("template")).alias("meta"),
         F.struct(
-            *[_cut(basics[f], LIM[kind]).alias(f) for f, kind in BASICS.items()],
+            *[_clean(basics[f]).alias(f) for f in BASICS],
             F.transform(
                 basics["profiles"],
-                lambda p: F.struct(_cut(p["network"], LIM["short"]).alias("network"), _cut(p["url"], LIM["url"]).alias("url")),
+                lambda p: F.struct(_clean(p["network"]).alias("network"), _clean(p["url"]).alias("url")),
             ).alias("profiles"),
         ).alias("basics"),
         *[F.transform(raw[name], item(name)).alias(name) for name in ITEMS],
     )
 
 
-def _valid(raw: Column) -> Column:
+def _valid(raw: Column, native: Column) -> Column:
+    """Native records also keep to the list lengths of their schema."""
     ok = raw["language"].isin("en", "pt") & raw["template"].isin("classic", "modern")
     basics = raw["basics"]
     for f in BASICS:
         ok = ok & basics[f].isNotNull()
-    ok = ok & (F.size(basics["profiles"]) <= LISTS["profiles"])
+    ok = ok & (~native | (F.size(basics["profiles"]) <= LISTS["profiles"]))
     ok = ok & ~F.exists(basics["profiles"], lambda p: p["network"].isNull() | p["url"].isNull())
     for name, fields in ITEMS.items():
         def broken(x: Column, name=name, fields=fields) -> Column:
@@ -191,11 +192,11 @@ def _valid(raw: Column) -> Column:
                 bad = bad | x["current"].isNull()
             if name in STRING_LISTS:
                 key, _, cap = STRING_LISTS[name]
-                bad = bad | x[key].isNull() | (F.size(x[key]) > LISTS[cap]) | F.exists(x[key], lambda s: s.isNull())
+                bad = bad | x[key].isNull() | (native & (F.size(x[key]) > LISTS[cap])) | F.exists(x[key], lambda s: s.isNull())
             return bad
 
         check = lambda x, b=broken: b(x)
-        ok = ok & (F.size(raw[name]) <= LISTS[name]) & ~F.exists(raw[name], _single(check))
+        ok = ok & (~native | (F.size(raw[name]) <= LISTS[name])) & ~F.exists(raw[name], _single(check))
     return F.coalesce(ok, F.lit(False))
 
 
@@ -204,12 +205,13 @@ def _single(fn):
     return lambda x: fn(x)
 
 
-def import_resumes(raw: DataFrame, max_chars: int = fv.MAX_RESUME_JSON_CHARS, native_only: bool = False) -> DataFrame:
+def import_resumes(raw: DataFrame, max_chars: int | None = None, native_only: bool = False, keep_raw: bool = False) -> DataFrame:
     """``(doc_id, resume, error_code)`` from ``(doc_id, raw, lang)``.
 
-    ``error_code`` is ``too_large``, ``invalid_json`` or ``invalid_schema``; ``resume`` is NULL then.
+    ``error_code`` is ``invalid_json`` or ``invalid_schema``, or ``too_large`` where the caller sets
+    ``max_chars``; ``resume`` is NULL then.  ``keep_raw`` adds the record itself.
     """
-    sized = raw.withColumn("big", F.length("raw") > max_chars)
+    sized = raw.withColumn("big", F.length("raw") > max_chars if max_chars is not None else F.lit(False))
     parsed = sized.withColumn("v", once(F.try_parse_json(F.when(~F.col("big"), F.col("raw")))))
     v = F.col("v")
     version = F.when(_kind(_at(v, "version")).rlike("^(?:BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$.version", "double"))
@@ -219,11 +221,12 @@ def import_resumes(raw: DataFrame, max_chars: int = fv.MAX_RESUME_JSON_CHARS, na
         "raw_resume",
         once(F.when(F.col("layout") == "native", _native(v)).when(F.col("layout") == "community", _community(v, F.col("lang")))),
     )
-    checked = read.withColumn("ok", once(F.coalesce(_valid(F.col("raw_resume")), F.lit(False))))
+    checked = read.withColumn("ok", once(F.coalesce(_valid(F.col("raw_resume"), F.col("layout") == "native"), F.lit(False))))
     return checked.select(
         "doc_id",
         once(F.when(F.col("ok"), _finish(F.col("raw_resume")))).alias("resume"),
         F.when(F.col("big"), "too_large").when(v.isNull(), "invalid_json").when(~F.col("ok"), "invalid_schema").alias("error_code"),
+        *(["raw"] if keep_raw else []),
     )
 
 
@@ -238,14 +241,11 @@ def valid_resumes(imported: DataFrame) -> DataFrame:
 
 
 def set_aside(stored: DataFrame) -> DataFrame:
-    """``(doc_id, status, backup)``; unreadable stored records are kept, cut to the limit."""
+    """``(doc_id, status, backup)``; unreadable stored records are kept whole."""
     known = stored.withColumn("raw", F.coalesce("raw", F.lit("")))
-    read = import_resumes(known.filter("raw <> ''"), fv.MAX_STORED_CHARS, native_only=True)
-    joined = known.join(read.select("doc_id", "error_code"), "doc_id", "left")
+    read = import_resumes(known, native_only=True, keep_raw=True)
     status = F.when(F.col("raw") == "", "empty").when(F.col("error_code").isNull(), "ok").otherwise("unreadable")
-    return joined.select(
-        "doc_id", status.alias("status"), F.when(status == "unreadable", F.left("raw", F.lit(fv.MAX_STORED_CHARS))).alias("backup")
-    )
+    return read.select("doc_id", status.alias("status"), F.when(status == "unreadable", F.col("raw")).alias("backup"))
 
 
 def has_content(resume: Column) -> Column:

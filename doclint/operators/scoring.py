@@ -168,7 +168,7 @@ def document_findings() -> Column:
             ("linkedin = 'label'", finding(15, "contact.linkedinHidden", "info", k)),
             otherwise=finding(15, "contact.linkedinMissing", "info", k),
         ),
-        _when(("broken_url IS NOT NULL", finding(16, "contact.brokenUrl", "warning", k, url="left(broken_url, 80)"))),
+        _when(("broken_url IS NOT NULL", finding(16, "contact.brokenUrl", "warning", k, url="broken_url"))),
         _when(("size(personal) > 0", finding(17, "contact.personalData", "warning", k, items="array_join(personal, ',')"))),
         _when((
             "size(array_except(sec.found, sec.empty)) > 0",
@@ -178,7 +178,7 @@ def document_findings() -> Column:
     empties = f"transform(sec.empty, (x, i) -> {finding(19, 'sections.empty', 'warning', s, sub='i', section='x')})"
     glyphs = (
         "transform(sec.decorated, (x, i) -> "
-        + finding(20, "sections.decorated", "warning", s, sub="i", heading="left(x.heading, 60)", section="x.section") + ")"
+        + finding(20, "sections.decorated", "warning", s, sub="i", heading="x.heading", section="x.section") + ")"
     )
     absent = lambda sid: (
         f"(NOT array_contains(sec.empty, '{sid}') AND NOT array_contains(sec.found, '{sid}') "
@@ -194,12 +194,12 @@ def document_findings() -> Column:
     creative = (
         "transform(sec.nonstandard, (x, i) -> "
         + finding(
-            23, "sections.nonstandard", "info", s, sub="i", heading="left(x.heading, 60)",
+            23, "sections.nonstandard", "info", s, sub="i", heading="x.heading",
             suggestion=section_label_sql("x.suggestion", "lang"),
         ) + ")"
     )
     q, v, b, qt, vt = "content.quantified", "content.action_verbs", "content.bullets", "quantified_target", "verb_target"
-    phrases = "array_join(transform(slice(weak, 1, 5), w -> concat('“', w.phrase, '”')), ', ')"
+    phrases = "array_join(transform(weak, w -> concat('“', w.phrase, '”')), ', ')"
     content = _pack([
         _when(
             (f"{q} >= {qt}", finding(24, "content.quantified", "pass", t, count=q)),
@@ -254,12 +254,12 @@ def pair_findings() -> Column:
             "n_missing > 0",
             finding(
                 35, "keywords.missing", "(CASE WHEN keyword_score >= 70 THEN 'info' ELSE 'warning' END)", k,
-                terms="array_join(slice(missing, 1, 8), ', ')",
+                terms="array_join(missing, ', ')",
             ),
         )),
     ])
     stuffed = (
-        "transform(slice(stuffed, 1, 3), (x, i) -> "
+        "transform(stuffed, (x, i) -> "
         + finding(36, "keywords.stuffing", "warning", k, sub="i", term="x.term", count="x.n") + ")"
     )
     return F.expr(

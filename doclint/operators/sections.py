@@ -1,6 +1,6 @@
 """Section headings, spans and credit (S1-S8), computed inside the document row.
 
-A document is bounded (60,000 characters), so the whole block stays a narrow projection:
+A document is one row, so the whole block stays a narrow projection:
 no line leaves its row and nothing is shuffled.  Lines that can be headings are few; all
 nested work runs on those.  Facts about all lines are kept as one character per line
 (:func:`line_codes`), which turns "is there text between two lines" into a substring test.
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.contact import capped_lines
 from ..functions.dates import DATE_RANGE
 from ..functions.lexicon import DEFAULT, Lexicon, escape_regex, trie_regex
 from ..functions.text import (
@@ -143,10 +142,10 @@ def heading_lines(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     )
 
 
-def line_codes(text: Column, folded_capped: Column) -> Column:
+def line_codes(text: Column, folded: Column) -> Column:
     """One character per line: bit 1 = has text, bit 2 = bullet, bit 3 = states a period."""
     flags = F.transform(
-        F.arrays_zip(F.split(text, "\n").alias("l"), F.split(folded_capped, "\n").alias("f")),
+        F.arrays_zip(F.split(text, "\n").alias("l"), F.split(folded, "\n").alias("f")),
         lambda z: (
             F.when(z["l"].rlike(HAS_TEXT), 1).otherwise(0)
             + F.when(starts_with_bullet(F.ltrim(z["l"], F.lit(ALL_SPACES))), 2).otherwise(0)
@@ -161,7 +160,7 @@ def _spans(headings: Column, codes: Column) -> Column:
     blocks = F.filter(headings, lambda h: ~h["inline"])
 
     def block_spans(bs: Column) -> Column:
-        follow = F.slice(F.transform(bs, lambda b: b["line"]), 2, 1_000_000)
+        follow = F.slice(F.transform(bs, lambda b: b["line"]), F.lit(2), F.size(bs))
         paired = F.arrays_zip(bs.alias("b"), follow.alias("next"))
         carried = F.zip_with(
             paired,
@@ -209,7 +208,7 @@ def _in_enum_order(present: Column) -> Column:
     return F.filter(F.array(*[F.lit(s) for s in fv.SECTIONS]), lambda s: F.array_contains(present, s))
 
 
-def section_report(text: Column, folded_capped: Column, lexicon: Lexicon = DEFAULT) -> Column:
+def section_report(text: Column, folded: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """S3-S6 as one struct.
 
     ``found``, ``decorated`` (heading, section), ``nonstandard`` (heading, suggestion), ``empty``,
@@ -217,7 +216,7 @@ def section_report(text: Column, folded_capped: Column, lexicon: Lexicon = DEFAU
     experience span), ``has_experience``.
     """
     base = F.struct(
-        heading_lines(text, lexicon).alias("headings"), line_codes(text, folded_capped).alias("codes")
+        heading_lines(text, lexicon).alias("headings"), line_codes(text, folded).alias("codes")
     )
 
     def with_spans(b: Column) -> Column:
@@ -278,10 +277,8 @@ def section_report(text: Column, folded_capped: Column, lexicon: Lexicon = DEFAU
 
 
 def with_sections(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Adds ``folded_capped`` (folded text, lines capped) and ``sec`` to normalized documents."""
-    return docs.withColumn("capped", capped_lines(F.col("text"))).withColumn(
-        "folded_capped", fold(F.col("capped"))
-    ).withColumn("sec", section_report(F.col("text"), F.col("folded_capped"), lexicon))
+    """Adds ``folded`` and ``sec`` to normalized documents."""
+    return docs.withColumn("folded", fold(F.col("text"))).withColumn("sec", section_report(F.col("text"), F.col("folded"), lexicon))
 
 
 def credit(sec: Column, section: str) -> Column:

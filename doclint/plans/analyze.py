@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.contact import broken_url, capped_lines, contact_struct, personal_kinds
+from ..functions.contact import broken_url, contact_struct, personal_kinds
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.text import count_tokens, detect_language, fold, normalize_struct, normalize_text, once, padded_tokens
 from ..operators import keywords as kw
@@ -66,7 +66,7 @@ def with_tokens(normalized: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def _feature_columns(lexicon: Lexicon) -> tuple[Column, ...]:
-    """Feature expressions over ``text``, ``padded``, ``folded_capped``, ``words``; built once."""
+    """Feature expressions over ``text``, ``padded``, ``folded``, ``words``; built once."""
     ready = F.col("words") >= fv.MIN_READABLE_WORDS
     only = lambda expr: F.when(ready, expr)
     return (
@@ -79,8 +79,8 @@ def _feature_columns(lexicon: Lexicon) -> tuple[Column, ...]:
         once(only(contact_struct(F.col("text")))).alias("contact"),
         only(contact_struct(F.nullif("header_footer_text", F.lit("")))).alias("hf"),
         only(broken_url(F.col("text"))).alias("broken_url"),
-        only(personal_kinds(F.col("folded_capped"))).alias("personal"),
-        once(only(section_report(F.col("text"), F.col("folded_capped"), lexicon))).alias("sec"),
+        only(personal_kinds(F.col("folded"))).alias("personal"),
+        once(only(section_report(F.col("text"), F.col("folded"), lexicon))).alias("sec"),
     )
 
 
@@ -92,8 +92,7 @@ def document_features(normalized: DataFrame, lexicon: Lexicon = DEFAULT) -> Data
     base = with_tokens(normalized) if "padded" not in normalized.columns else normalized
     staged = (
         base.withColumn("words", count_tokens(F.col("padded")))
-        .withColumn("capped", capped_lines(F.col("text")))
-        .withColumn("folded_capped", fold(F.col("capped")))
+        .withColumn("folded", fold(F.col("text")))
     )
     qt, vt = sc.targets()
     return (
@@ -147,13 +146,11 @@ def analyze(
     pairs: DataFrame | None = None,
     lexicon: Lexicon = DEFAULT,
     cut=lambda df, name: df,
-    restrict_vocabulary: bool = False,
 ) -> Analysis:
     """Full analysis of documents, optionally against job ads.
 
     ``cut(df, name)`` may persist an intermediate table (see :mod:`doclint.sources.sinks`); by
-    default the plan stays lazy.  ``restrict_vocabulary`` checks the size of the ads' vocabulary
-    and, when it is small, drops other document terms before they are shuffled.
+    default the plan stays lazy.
     """
     normalized = cut(with_tokens(normalize_documents(docs)), "documents_normalized")
     scored = cut(score_documents(document_features(normalized, lexicon)), "documents_scored")
@@ -167,15 +164,14 @@ def analyze(
         )
         return Analysis(results, None, None, scored)
 
-    ads = jobs.select("job_id", normalize_text(F.col("text"), fv.MAX_JOB_CHARS).alias("text"))
+    ads = jobs.select("job_id", normalize_text(F.col("text")).alias("text"))
     job_kw = cut(kw.job_keywords(ads, lexicon), "job_keywords")
     job_info = kw.job_summary(ads, detect_language(F.col("text"), F.col("padded"), lexicon))
     ready = scored.filter(sc.readable()).select("doc_id", "words")
-    vocabulary = kw.small_vocabulary(job_kw) if restrict_vocabulary else None
-    wanted_pairs = pairs.select("doc_id", "job_id")
+    wanted_pairs = pairs.select("doc_id", "job_id").distinct()
     hits = cut(
         kw.keyword_hits(
-            wanted_pairs, job_kw, kw.document_terms(normalized, lexicon, vocabulary), ready
+            wanted_pairs, job_kw, kw.document_terms(normalized, lexicon), ready
         ),
         "keyword_hits",
     )

@@ -23,14 +23,16 @@ CP1252 = {
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, content)``; contents of refused files are never read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    """``(path, length, content)``; the filter on the length reaches the scan, so an empty file's content is not read."""
+    found = spark.read.format("binaryFile").load(path)
+    full = found.filter("length > 0").select("path", "length", "content")
+    return full.unionByName(found.filter("length = 0").select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
-def admit(files: DataFrame) -> DataFrame:
-    """Adds ``error_code`` for empty and oversized files from their length alone."""
-    code = F.when(F.col("length") == 0, "empty_file").when(F.col("length") > fv.MAX_FILE_BYTES, "too_large")
-    return files.withColumn("error_code", code)
+def admit(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Adds ``error_code`` for empty files, and for those over ``max_bytes`` where the caller sets it."""
+    large = F.col("length") > max_bytes if max_bytes is not None else F.lit(False)
+    return files.withColumn("error_code", F.when(F.col("length") == 0, "empty_file").when(large, "too_large"))
 
 
 def extension(path: Column) -> Column:
@@ -102,5 +104,5 @@ def assemble(*branches: DataFrame) -> DataFrame:
         part = complete_documents(ok)
         out = part if out is None else out.unionByName(part)
     return out.withColumn(
-        "header_footer_text", normalize_text(F.col("header_footer_text"), fv.MAX_HEADER_FOOTER_CHARS)
+        "header_footer_text", normalize_text(F.col("header_footer_text"))
     )

@@ -64,11 +64,11 @@ def resumes(spark, d):
 
 def jobs(spark, d):
     raw = fx.spark_view(spark, d, "synth_jobs")
-    return raw.select("job_id", tx.normalize_text(F.col("text"), fv.MAX_JOB_CHARS).alias("text"))
+    return raw.select("job_id", tx.normalize_text(F.col("text")).alias("text"))
 
 
-def capped(df):
-    return df.withColumn("capped", ct.capped_lines(F.col("text"))).withColumn("folded_capped", tx.fold(F.col("capped")))
+def with_folded(df):
+    return df.withColumn("folded", tx.fold(F.col("text")))
 
 
 def big(*names):
@@ -81,7 +81,7 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", "text")
 
 
-@query("normalize_truncated", f"SELECT doc_id, length({S.norm('text', 500).replace('left(trim(', 'trim(').rsplit(', 500)', 1)[0]}) > 500 OR length(text) > 1000 AS truncated FROM documents")
+@query("normalize_truncated", f"SELECT doc_id, length({S.norm('text')}) > 500 AS truncated FROM documents")
 def _(spark, d):
     raw = fx.spark_view(spark, d, "documents")
     return raw.select("doc_id", tx.normalize_struct(F.col("text"), 500)["truncated"].alias("truncated"))
@@ -157,7 +157,7 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", ct.has_email(F.col("text")).alias("email"))
 
 
-_CONV = S.contact_ctes(f"(SELECT conv_id || ':' || turn AS doc_id, {S.norm('text', fv.MAX_TEXT_CHARS)} AS text FROM conversations)", "cv_")
+_CONV = S.contact_ctes(f"(SELECT conv_id || ':' || turn AS doc_id, {S.norm('text')} AS text FROM conversations)", "cv_")
 
 
 @query("conversation_contact", S.query(_CONV, "SELECT doc_id, email, phone, linkedin FROM cv_contact"))
@@ -169,7 +169,7 @@ def _(spark, d):
 
 @query("phone_candidates", doc("SELECT doc_id, c AS candidate, ok AS is_phone FROM phones"))
 def _(spark, d):
-    found = capped(documents(spark, d)).select("doc_id", F.explode(ct.phone_candidates(F.col("capped"))).alias("c"))
+    found = with_folded(documents(spark, d)).select("doc_id", F.explode(ct.phone_candidates(F.col("text"))).alias("c"))
     return found.select("doc_id", F.trim("c").alias("candidate"), ct.is_phone(F.trim("c")).alias("is_phone"))
 
 
@@ -178,7 +178,7 @@ def _(spark, d):
     both = documents(spark, d).select("doc_id", "text").unionByName(
         resumes(spark, d).select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text")
     )
-    return capped(both).select("doc_id", ct.has_phone(F.col("capped")).alias("phone"))
+    return with_folded(both).select("doc_id", ct.has_phone(F.col("text")).alias("phone"))
 
 
 @query("linkedin_state", res("SELECT doc_id, linkedin FROM contact"))
@@ -193,7 +193,7 @@ def _(spark, d):
 
 @query("personal_data", res("SELECT doc_id, kinds FROM pii"))
 def _(spark, d):
-    return capped(resumes(spark, d)).select("doc_id", F.array_join(ct.personal_kinds(F.col("folded_capped")), ",").alias("kinds"))
+    return with_folded(resumes(spark, d)).select("doc_id", F.array_join(ct.personal_kinds(F.col("folded")), ",").alias("kinds"))
 
 
 @query("hidden_contact", res("SELECT doc_id, hf_email AND NOT email AS email_hidden, hf_phone AND NOT phone AS phone_hidden FROM feat"))
@@ -213,16 +213,16 @@ def _(spark, d):
 
 _URL_VARIANTS = """SELECT page_id, v, CASE v WHEN 0 THEN url WHEN 1 THEN replace(replace(url, 'https://', ''), 'http://', '')
     WHEN 2 THEN concat('javascript:', url) WHEN 3 THEN concat('  ', replace(url, '://', '://user:pw@')) WHEN 4 THEN upper(replace(replace(url, 'https://', ''), 'http://', '')) ELSE 'localhost' END AS raw
-    FROM pages, (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k"""
+    FROM (SELECT page_id, url, unnest(range(0, 6)) AS v FROM pages) p"""
 _SAFE_SQL = f"""SELECT page_id, v, CASE WHEN ok THEN scheme || '://' || lower(host) || CASE WHEN tail = '' THEN '/' ELSE tail END END AS href FROM (
     SELECT page_id, v, lower(split_part(u, '://', 1)) AS scheme, regexp_extract(u, '://([^/?#]*)', 1) AS host, regexp_extract(u, '://[^/?#]*(.*)$', 1) AS tail,
-      regexp_matches(u, '(?i)^https?://') AND NOT contains(regexp_extract(u, '://([^/?#]*)', 1), '@') AND contains(regexp_extract(u, '://([^/?#]*)', 1), '.') AND length(t) <= 300 AS ok
+      regexp_matches(u, '(?i)^https?://') AND NOT contains(regexp_extract(u, '://([^/?#]*)', 1), '@') AND contains(regexp_extract(u, '://([^/?#]*)', 1), '.') AS ok
     FROM (SELECT page_id, v, t, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') THEN t ELSE 'https://' || t END AS u FROM (SELECT page_id, v, trim(raw) AS t FROM ({_URL_VARIANTS}) r) a) b) c"""
 
 
 def _url_rows(spark, d):
     fx.spark_view(spark, d, "pages").createOrReplaceTempView("pages")
-    return spark.sql(_URL_VARIANTS)
+    return spark.sql(_URL_VARIANTS.replace("unnest(range(0, 6))", "explode(sequence(0, 5))"))
 
 
 @query("safe_url", _SAFE_SQL)
@@ -288,7 +288,7 @@ def _(spark, d):
 
 @query("date_range_lines", res("SELECT doc_id, n FROM datedall"))
 def _(spark, d):
-    return capped(resumes(spark, d)).select("doc_id", count_date_range_lines(F.col("folded_capped")).cast("bigint").alias("n"))
+    return with_folded(resumes(spark, d)).select("doc_id", count_date_range_lines(F.col("folded")).cast("bigint").alias("n"))
 
 
 # ---- sections -----------------------------------------------------------------------------

@@ -55,7 +55,7 @@ def _(spark, d):
         "doc_id", F.expr(f"concat('s3://bucket/a.b/', doc_id, '.', {arms(0, chr(39) + 'txt' + chr(39))})").alias("path"),
         F.expr(arms(1, "encode(text, 'UTF-8')")).alias("content"),
     ).withColumn("length", F.octet_length("content").cast("bigint"))
-    return fl.classify(fl.admit(files)).select("doc_id", "format", "error_code")
+    return fl.classify(fl.admit(files, 5 * 1024 * 1024)).select("doc_id", "format", "error_code")
 
 
 @query("text_decode", "SELECT doc_id, text, CASE WHEN doc_id % 5 = 4 THEN 'invalid_text' END AS error_code FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE text END AS text FROM documents) x")
@@ -204,7 +204,7 @@ _REC = f"""SELECT k AS doc_id, CASE WHEN k % 25 = 0 THEN 'invalid_json' WHEN k %
       CASE WHEN k % 35 = 0 THEN 'community' ELSE 'invalid_schema' END END AS state, k, name, segment, n, y0, y1 FROM {STATS}"""
 _RECS = f"SELECT *, state IS NULL AND k % 2 = 0 AS loose, COALESCE(state = 'community', false) AS mixed, state IS NULL AND k % 2 = 1 AS strict FROM ({_REC}) x"
 _IMPORT = f"""SELECT doc_id, CASE WHEN NOT mixed THEN state END AS error_code,
-    CASE WHEN loose THEN name WHEN strict OR mixed THEN left(repeat(name, CAST(1 + k % 11 AS INT)), 120) END AS name,
+    CASE WHEN loose THEN name WHEN strict OR mixed THEN repeat(name, CAST(1 + k % 11 AS INT)) END AS name,
     CASE WHEN loose THEN CASE WHEN k % 8 = 0 THEN '42' ELSE 'Analyst' END WHEN strict OR mixed THEN '' END AS label,
     CASE WHEN loose THEN 'Lisbon, PT' WHEN strict THEN 'Recife' WHEN mixed THEN '' END AS location,
     CASE WHEN loose OR strict OR mixed THEN y0 || '-03' END AS start_month,
@@ -222,10 +222,10 @@ _RENDER = f"""SELECT doc_id, true AS has_content, CASE WHEN loose THEN name || c
       || {_HEADS['education']} 'BSc, Statistics' || chr(10) || 'State University | 1991 – ' || CASE WHEN pt THEN '12/1995' ELSE 'Dec 1995' END
       || {_HEADS['skills']} 'Data: Python, 42, SQL' || {_HEADS['certifications']} 'Cert | Org | ' || CASE WHEN pt THEN '03/2020' ELSE 'Mar 2020' END
       || {_HEADS['languages']} 'English — Fluent'
-    ELSE left(repeat(name, CAST(1 + k % 11 AS INT)), 120) || chr(10) || 'p' || k || '@example.com | +55 11 4002-8922' || CASE WHEN strict THEN ' | Recife' ELSE '' END || ' | example.com/a'
+    ELSE repeat(name, CAST(1 + k % 11 AS INT)) || chr(10) || 'p' || k || '@example.com | +55 11 4002-8922' || CASE WHEN strict THEN ' | Recife' ELSE '' END || ' | example.com/a'
       || {_HEADS['experience']} 'Lead — ' || segment || chr(10) || 'Recife | ' || {_MARCH} || CASE WHEN mixed THEN '' WHEN pt THEN ' – Atual' ELSE ' – Present' END || chr(10) || '• Built things'
       || {_HEADS['skills']} 'Go, Rust' || {_HEADS['projects']} 'Tool | tool.example.com/x' || chr(10) || 'A tool' || chr(10) || '• Used by ' || n || ' teams'
-      || {_HEADS['languages']} CASE WHEN k % 37 = 0 THEN rtrim(repeat('English — Good' || chr(10), 10), chr(10)) ELSE 'English — Good' || chr(10) || 'German' END END AS text
+      || {_HEADS['languages']} CASE WHEN k % 37 = 0 THEN repeat('English — Good' || chr(10), 10) || 'German' ELSE 'English — Good' || chr(10) || 'German' END END AS text
     FROM (SELECT *, k % 3 = 0 AS pt FROM ({_RECS}) r) z WHERE loose OR strict OR mixed"""
 
 

@@ -125,10 +125,10 @@ FROM (SELECT s.s_suppkey AS j, s.s_nationkey AS nationkey, n.n_name AS nation
       FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey) s
 """
 
-# applicants meet the ads of their own nation
+# applicants answer the ad of the supplier of each order's first item
 SYNTH_PAIRS = """
-SELECT c.c_custkey AS doc_id, s.s_suppkey AS job_id
-FROM customer c JOIN supplier s ON s.s_nationkey = c.c_nationkey
+SELECT DISTINCT o.o_custkey AS doc_id, l.l_suppkey AS job_id
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1
 """
 
 # ---- structured records -------------------------------------------------------------------
@@ -181,24 +181,24 @@ UNION ALL SELECT k, 6, 'word/media/image2.png', '' FROM ({CUSTOMER_STATS}) s WHE
 
 # ---- positioned page runs: one "document" per customer, one row of runs per order ---------
 SYNTH_RUNS = """
-SELECT b.doc_id, b.page_no, 600.0 AS page_width, CAST(b.line_no * 10 + r.run_no AS INT) AS run_no,
+SELECT r.doc_id, r.page_no, 600.0 AS page_width, CAST(r.line_no * 10 + r.run_no AS INT) AS run_no,
        CASE r.run_no
-         WHEN 0 THEN concat('Order of ', b.status)
-         WHEN 1 THEN CASE WHEN b.doc_id % 3 = 0 THEN 'priority and price list' ELSE concat(b.prio, ' lot') END
-         WHEN 2 THEN CASE WHEN b.doc_id % 3 = 1 THEN concat('Jan ', CAST(b.y AS STRING), ' – Present') ELSE 'shipped to the north' END
+         WHEN 0 THEN concat('Order of ', r.status)
+         WHEN 1 THEN CASE WHEN r.doc_id % 3 = 0 THEN 'priority and price list' ELSE concat(r.prio, ' lot') END
+         WHEN 2 THEN CASE WHEN r.doc_id % 3 = 1 THEN concat('Jan ', CAST(r.y AS STRING), ' – Present') ELSE 'shipped to the north' END
          WHEN 3 THEN 'st'
-         ELSE concat('Order of ', b.status) END AS str,
-       CAST(CASE WHEN b.doc_id % 5 = 4 AND b.line_no % 2 = 0 THEN 280.0 ELSE 0.0 END
-            + CASE r.run_no WHEN 0 THEN 20.0 WHEN 1 THEN CASE WHEN b.doc_id % 4 = 0 THEN 84.5 ELSE 88.0 END WHEN 2 THEN 400.0 WHEN 3 THEN 520.5 ELSE 20.5 END AS DOUBLE) AS x,
-       CAST(700.0 - 20.0 * b.line_no + CASE WHEN r.run_no = 3 THEN 3.0 WHEN r.run_no = 1 THEN -1.5 ELSE 0.0 END AS DOUBLE) AS y,
+         ELSE concat('Order of ', r.status) END AS str,
+       CAST(CASE WHEN r.doc_id % 5 = 4 AND r.line_no % 2 = 0 THEN 280.0 ELSE 0.0 END
+            + CASE r.run_no WHEN 0 THEN 20.0 WHEN 1 THEN CASE WHEN r.doc_id % 4 = 0 THEN 84.5 ELSE 88.0 END WHEN 2 THEN 400.0 WHEN 3 THEN 520.5 ELSE 20.5 END AS DOUBLE) AS x,
+       CAST(700.0 - 20.0 * r.line_no + CASE WHEN r.run_no = 3 THEN 3.0 WHEN r.run_no = 1 THEN -1.5 ELSE 0.0 END AS DOUBLE) AS y,
        CAST(CASE r.run_no WHEN 0 THEN 64.0 WHEN 1 THEN 120.0 WHEN 2 THEN 120.0 WHEN 3 THEN 8.0 ELSE 64.0 END AS DOUBLE) AS width,
-       CAST(CASE WHEN r.run_no = 3 THEN 6.0 WHEN b.doc_id % 7 = 0 THEN 0.0 ELSE 10.0 END AS DOUBLE) AS height
-FROM (SELECT o_custkey AS doc_id, 1 + CAST(floor((ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) / 5.0) AS INT) AS page_no,
+       CAST(CASE WHEN r.run_no = 3 THEN 6.0 WHEN r.doc_id % 7 = 0 THEN 0.0 ELSE 10.0 END AS DOUBLE) AS height
+FROM (SELECT b.*, unnest(range(0, 5)) AS run_no FROM (SELECT o_custkey AS doc_id, 1 + CAST(floor((ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) / 5.0) AS INT) AS page_no,
              CAST((ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 5 AS INT) AS line_no,
              lower(o_orderstatus) AS status, lower(o_orderpriority) AS prio, YEAR(o_orderdate) AS y
       FROM orders) b
-JOIN (SELECT 0 AS run_no UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) r
-  ON (r.run_no IN (0, 1) OR (r.run_no = 2 AND b.line_no % 3 <> 2) OR (r.run_no = 3 AND b.line_no % 4 = 0) OR (r.run_no = 4 AND b.line_no % 2 = 1))
+) r
+WHERE r.run_no IN (0, 1) OR (r.run_no = 2 AND r.line_no % 3 <> 2) OR (r.run_no = 3 AND r.line_no % 4 = 0) OR (r.run_no = 4 AND r.line_no % 2 = 1)
 """
 
 VIEWS = {
@@ -217,10 +217,10 @@ def spark_view(spark, sf_dir: str, name: str):
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
-    for table in ("customer", "orders", "supplier", "nation"):
+    for table in ("customer", "orders", "supplier", "nation", "lineitem"):
         if re.search(rf"\b{table}\b", sql):
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(sql)
+    return spark.sql(sql.replace("unnest(range(0, 5))", "explode(sequence(0, 4))"))
 
 
 def resume_documents(spark, sf_dir: str):

@@ -77,15 +77,14 @@ def stem_chain(source: str, out: str) -> list[tuple[str, str]]:
     ]
 
 
-def norm(x: str, limit: int) -> str:
-    s = f"left({x}, {2 * limit})"
-    s = f"regexp_replace({s}, '\\r\\n?', {NL}, 'g')"
+def norm(x: str) -> str:
+    s = f"regexp_replace({x}, '\\r\\n?', {NL}, 'g')"
     s = f"regexp_replace({s}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{2066}}-\\x{{2069}}\\x{{FEFF}}]', '', 'g')"
     s = f"regexp_replace({s}, '[\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
     s = f"regexp_replace({s}, '[ \\t]+', ' ', 'g')"
     s = f"regexp_replace({s}, ' ?\\n ?', {NL}, 'g')"
     s = f"regexp_replace({s}, '\\n{{3,}}', {NL} || {NL}, 'g')"
-    return f"left(trim({s}, ' ' || {NL}), {limit})"
+    return f"trim({s}, ' ' || {NL})"
 
 
 def lang_case(en: str, pt: str) -> str:
@@ -95,22 +94,22 @@ def lang_case(en: str, pt: str) -> str:
     )
 
 
-def text_ctes(source: str, key: str = "doc_id", limit: int = fv.MAX_TEXT_CHARS) -> list[tuple[str, str]]:
+def text_ctes(source: str, key: str = "doc_id") -> list[tuple[str, str]]:
     """norm / lines / tokens / language of a text source with columns (key, text, ...)."""
     en = [w for w in fv.STOPWORDS_EN if w not in fv.LANGUAGE_AMBIGUOUS]
     pt = [w for w in fv.STOPWORDS_PT if w not in fv.LANGUAGE_AMBIGUOUS]
     return [
-        ("norm", f"SELECT * EXCLUDE (text), {norm('text', limit)} AS text FROM ({source}) r"),
+        ("norm", f"SELECT * EXCLUDE (text), {norm('text')} AS text FROM ({source}) r"),
         ("lines", f"""SELECT {key}, unnest(string_split(text, {NL})) AS line,
             generate_subscripts(string_split(text, {NL}), 1) - 1 AS line_no FROM norm"""),
         ("toklist", f"SELECT {key}, {toks('text')} AS toks FROM norm"),
         ("tokens", f"SELECT {key}, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM toklist"),
         ("words", f"SELECT {key}, len(toks) AS words FROM toklist"),
-        ("sample", f"SELECT {key}, unnest({toks(f'left(text, {fv.LANGUAGE_SAMPLE_CHARS})')}) AS token FROM norm"),
+        ("sample", f"SELECT {key}, token FROM tokens"),
         ("lang_n", f"""SELECT n.{key},
             COALESCE(SUM(CASE WHEN token IN {in_list(en)} THEN 1 ELSE 0 END), 0) AS en,
             COALESCE(SUM(CASE WHEN token IN {in_list(pt)} THEN 1 ELSE 0 END), 0)
-              + LEAST(20, ANY_VALUE(len(regexp_extract_all(left(text, {fv.LANGUAGE_SAMPLE_CHARS}), '[ãõçÃÕÇ]')))) AS pt
+              + LEAST(20, ANY_VALUE(len(regexp_extract_all(text, '[ãõçÃÕÇ]')))) AS pt
             FROM norm n LEFT JOIN sample s ON s.{key} = n.{key} GROUP BY n.{key}"""),
         ("lang", f"SELECT {key}, {lang_case('en', 'pt')} AS lang FROM lang_n"),
     ]
@@ -128,11 +127,11 @@ def contact_ctes(source: str, prefix: str = "", key: str = "doc_id") -> list[tup
     email = r"(?i)[a-z0-9._%+-]{1,64}@[a-z0-9-]{1,63}(\.[a-z0-9-]{1,63}){0,8}\.[a-z]{2,24}"
     return [
         (f"{p}ws", f"""SELECT {key}, {word_clean('w')} AS w FROM (
-            SELECT {key}, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM {source}) x WHERE w <> '' AND length(w) <= 320"""),
+            SELECT {key}, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM {source}) x WHERE w <> ''"""),
         (f"{p}wsum", f"""SELECT {key}, bool_or(regexp_full_match(w, '{email}')) AS email,
             bool_or(contains(lower(w), 'linkedin.com/in/') OR contains(lower(w), 'linkedin.com/pub/')) AS li_url,
             bool_or(regexp_replace(lower(w), '[^a-z]', '', 'g') = 'linkedin') AS li_label FROM {p}ws GROUP BY {key}"""),
-        (f"{p}cand", f"""SELECT {key}, trim(unnest(regexp_extract_all(left(l, 200), '\\+?\\(?\\d[\\d\\s().-]{{6,18}}\\d'))) AS c
+        (f"{p}cand", f"""SELECT {key}, trim(unnest(regexp_extract_all(l, '\\+?\\(?\\d[\\d\\s().-]{{6,18}}\\d'))) AS c
             FROM (SELECT {key}, unnest(string_split(text, {NL})) AS l FROM {source}) x"""),
         (f"{p}phones", f"""SELECT {key}, c, length(regexp_replace(c, '\\D', '', 'g')) BETWEEN 8 AND 15
               AND NOT regexp_matches(c, '^\\d{{3}}\\.\\d{{3}}\\.\\d{{3}}-\\d{{2}}$|^\\d{{2}}\\.\\d{{3}}\\.\\d{{3}}/?\\d{{4}}-\\d{{2}}$')
@@ -151,13 +150,13 @@ BROKEN = [
     ("broken_c", f"""SELECT doc_id, line_no, regexp_replace(list_extract(string_split(rtrim(line), ' '), -1), '^[<(\\[{{"''`]+', '') AS tok,
         LEAD(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM lines"""),
     ("broken", """SELECT doc_id, arg_min(tok, line_no) AS url FROM broken_c
-        WHERE length(tok) BETWEEN 6 AND 320 AND regexp_matches(ltrim(nxt), '(?i)^[a-z0-9]')
+        WHERE length(tok) >= 6 AND regexp_matches(ltrim(nxt), '(?i)^[a-z0-9]')
           AND (regexp_matches(tok, '(?i)^(https?://)?(www\\.)?[a-z0-9-]{1,63}(\\.[a-z0-9-]{1,63}){1,8}/\\S{0,200}[-_]$')
                OR regexp_matches(tok, '(?i)linkedin\\.com/(in|pub)/$')) GROUP BY doc_id"""),
 ]
 
 PII = [
-    ("pii_l", f"SELECT doc_id, trim({fold('left(line, 200)')}) AS l FROM lines"),
+    ("pii_l", f"SELECT doc_id, trim({fold('line')}) AS l FROM lines"),
     ("pii_f", """SELECT doc_id,
         bool_or(regexp_matches(l, '(^|\\D)\\d{3}\\.\\d{3}\\.\\d{3}-\\d{2}(\\D|$)') OR regexp_matches(l, '\\bcpf\\b')) AS f1,
         bool_or(regexp_matches(l, '\\brg\\b[^a-z0-9]{0,6}\\d')) AS f2,
@@ -181,7 +180,7 @@ DATE_RX = (
 _ALLOWED = in_list(fv.LONE_GLYPHS_ALLOWED)
 CONTENT = [
     ("body", f"""SELECT doc_id, line_no, regexp_matches(trim(line), '^{GLYPHS}') AS bullet,
-        left(regexp_replace(trim(line), '^{GLYPHS}\\s*', ''), 400) AS body FROM lines WHERE trim(line) <> ''"""),
+        regexp_replace(trim(line), '^{GLYPHS}\\s*', '') AS body FROM lines WHERE trim(line) <> ''"""),
     ("btok", f"""SELECT *, {toks('body')} AS t,
         {toks("regexp_replace(body, '^[' || chr(92) || 'p{L}]{2,20}(' || chr(92) || 's[' || chr(92) || 'p{L}]{2,20})?:' || chr(92) || 's+', '')")} AS v FROM body"""),
     ("bline", f"""SELECT doc_id, line_no, bullet, bullet AND len(t) > 35 AS long,
@@ -211,8 +210,8 @@ CONTENT = [
     ("weak_n", """SELECT doc_id, phrase, rank, (length(p) - length(replace(p, ' ' || needle || ' ', ''))) // (length(needle) + 2) AS n
         FROM padded2, weak_d WHERE contains(p, ' ' || needle || ' ')"""),
     ("weak", """SELECT doc_id, SUM(n) AS total, string_agg(phrase || '=' || n, ';' ORDER BY n DESC, rank) AS listed,
-        array_to_string(list_slice(list('“' || phrase || '”' ORDER BY n DESC, rank), 1, 5), ', ') AS quoted FROM weak_n GROUP BY doc_id"""),
-    ("dated", f"SELECT doc_id, line_no, regexp_matches({fold('left(line, 200)')}, '{DATE_RX}') AS d FROM lines"),
+        array_to_string(list('“' || phrase || '”' ORDER BY n DESC, rank), ', ') AS quoted FROM weak_n GROUP BY doc_id"""),
+    ("dated", f"SELECT doc_id, line_no, regexp_matches({fold('line')}, '{DATE_RX}') AS d FROM lines"),
 ]
 
 # ---- sections -----------------------------------------------------------------------------
@@ -356,18 +355,18 @@ DOC_FINDINGS = " UNION ALL ".join([
     _f(15, "contact.linkedin", "pass", "contact", R + "linkedin = 'url'"),
     _f(15, "contact.linkedinHidden", "info", "contact", R + "linkedin = 'label'"),
     _f(15, "contact.linkedinMissing", "info", "contact", R + "linkedin = 'none'"),
-    _f(16, "contact.brokenUrl", "warning", "contact", R + "broken IS NOT NULL", kv(url="left(broken, 80)")),
+    _f(16, "contact.brokenUrl", "warning", "contact", R + "broken IS NOT NULL", kv(url="broken")),
     _f(17, "contact.personalData", "warning", "contact", R + "kinds <> ''", kv(items="kinds")),
     _f(18, "sections.found", "pass", "sections", R + "filled IS NOT NULL", kv(sections="filled")),
     _f(19, "sections.empty", "warning", "sections", R + "is_empty", kv(section="section"),
        "ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY sec_rank) - 1", "(SELECT c.*, s.ready FROM credit c JOIN scored s USING (doc_id) WHERE c.is_empty) z"),
-    _f(20, "sections.decorated", "warning", "sections", "ready", kv(heading="left(heading, 60)", section="section"),
+    _f(20, "sections.decorated", "warning", "sections", "ready", kv(heading="heading", section="section"),
        "ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY line_no, pos) - 1", "(SELECT d.*, s.ready FROM deco d JOIN scored s USING (doc_id)) z"),
     _f(21, "sections.missing", "warning", "sections", R + "credit = 0 AND NOT is_empty AND section IN ('experience', 'education', 'skills')",
        kv(section="section"), "CASE section WHEN 'experience' THEN 0 WHEN 'education' THEN 1 ELSE 2 END", "(SELECT c.*, s.ready FROM credit c JOIN scored s USING (doc_id)) z"),
     _f(22, "sections.summaryMissing", "info", "sections", R + "credit = 0 AND NOT is_empty AND section = 'summary'",
        source="(SELECT c.*, s.ready FROM credit c JOIN scored s USING (doc_id)) z"),
-    _f(23, "sections.nonstandard", "info", "sections", "ready", kv(heading="left(heading, 60)", suggestion=_LABEL_CASE("suggestion", "lang")),
+    _f(23, "sections.nonstandard", "info", "sections", "ready", kv(heading="heading", suggestion=_LABEL_CASE("suggestion", "lang")),
        "ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY line_no) - 1", "(SELECT o.*, s.ready, s.lang FROM oddf o JOIN scored s USING (doc_id)) z"),
     _f(24, "content.quantified", "pass", "content", R + "quantified >= qt", kv(count="quantified")),
     _f(24, "content.quantifiedLow", "warning", "content", R + "quantified < qt", kv(count="quantified", target="qt")),
@@ -430,7 +429,7 @@ _EXCLUDED = sorted(set(fv.STOPWORDS_EN) | set(fv.STOPWORDS_PT) | set(LEX.job_noi
 
 
 def job_ctes() -> list[tuple[str, str]]:
-    src = text_ctes(fx.SYNTH_JOBS, "job_id", fv.MAX_JOB_CHARS)
+    src = text_ctes(fx.SYNTH_JOBS, "job_id")
     rename = {n: "j_" + n for n, _ in src}
     out = []
     for name, sql in src:
@@ -499,7 +498,7 @@ MATCH = [
         COUNT(*) FILTER (WHERE stuffed) AS n_stuffed, SUM(milli) AS total, COALESCE(SUM(milli) FILTER (WHERE matched AND NOT stuffed), 0) AS hit,
         string_agg(term, ', ' ORDER BY weight DESC, rank) FILTER (WHERE matched) AS matched,
         string_agg(term, ', ' ORDER BY weight DESC, rank) FILTER (WHERE NOT matched) AS missing,
-        array_to_string(list_slice(list(term ORDER BY weight DESC, rank) FILTER (WHERE NOT matched), 1, 8), ', ') AS missing8
+        array_to_string(list(term ORDER BY weight DESC, rank) FILTER (WHERE NOT matched), ', ') AS missing8
         FROM hits GROUP BY doc_id, job_id"""),
     ("match", """SELECT *, CAST(GREATEST(0, floor(CASE WHEN total = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(hit AS DOUBLE) / total * 100 END
         - LEAST(n_stuffed * 10, 30) + 0.5)) AS INTEGER) AS keyword_score FROM match0"""),
@@ -522,7 +521,7 @@ TOTALS = [
           'keywords', {kv(matched='n_matched', total='n_keywords', percent='keyword_score')} FROM totals WHERE ready AND keyword_score IS NOT NULL
         UNION ALL SELECT doc_id, job_id, 35, 0, 'keywords.missing', CASE WHEN keyword_score >= 70 THEN 'info' ELSE 'warning' END, 'keywords',
           {kv(terms='missing8')} FROM totals WHERE ready AND n_missing > 0
-        UNION ALL SELECT doc_id, job_id, 36, sub, 'keywords.stuffing', 'warning', 'keywords', {kv(term='term', count='n')} FROM stuffed WHERE sub < 3"""),
+        UNION ALL SELECT doc_id, job_id, 36, sub, 'keywords.stuffing', 'warning', 'keywords', {kv(term='term', count='n')} FROM stuffed"""),
 ]
 
 
