@@ -10,7 +10,7 @@ nothing further. Two classes link when ``100 * |A & B| >= threshold * |A | B|``,
    many comparisons as it has members.
 3. Only classes that share such a shingle and are still in different components are compared with each other, in tiles of
    one shingle and one size band (sizes of linked sets differ by the threshold at most, hence lie in the same or the next
-   band), with a bound by size and position first.
+   band), with bounds by size, position and parity sketch before a pair leaves the tile.
 
 A comparison first takes hashed bitmap signatures, as wide as the size band asks for: bits set in one and not in the other
 bound the overlap from above. Pairs that pass are intersected exactly as sorted arrays. No pair that could link is skipped
@@ -37,6 +37,7 @@ from .common import cut, placed, shared_folder, slices, table, text_of, utf8
 from .components import components
 
 BUCKETS = 18
+SKETCH = 4
 STARS = 2
 SLICES = 64
 
@@ -62,6 +63,14 @@ def keys_of(runs: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     return [both[16 * i : 16 * i + 16] if n else None for i, n in enumerate(np.diff(offsets).tolist())]
 
 
+def sketches(runs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``SKETCH`` longs for each set: every member flips one bit, so bits that differ between two sets bound their difference from below."""
+    bits = SKETCH * 64
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    flips = np.bincount(of * bits + (words.mix(runs) & np.uint64(bits - 1)).astype(np.int64), minlength=(len(offsets) - 1) * bits)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view("<i8")
+
+
 def need(n: np.ndarray | int, threshold: int):
     """The least overlap of a set of n with any set it links with."""
     return (threshold * n + 99) // 100
@@ -98,7 +107,7 @@ def bucket_fill(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, levels: np.ndarray, k: int, threshold: int) -> DataFrame:
-    """``doc_id, key, n, prefix``: class key, set size, and the shingles of the prefix, rarest first."""
+    """``doc_id, key, n, sketch, prefix``: class key, set size, parity sketch, and the shingles of the prefix, rarest first."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +122,13 @@ def signatures(rows: DataFrame, levels: np.ndarray, k: int, threshold: int) -> D
                 length = np.where(n > 0, n - need(n, threshold) + 1, 0)
                 place = np.arange(int(length.sum())) + np.repeat(offsets[:-1] - (np.cumsum(length) - length), length)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(ranked[place].view(np.int64)))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * SKETCH, pa.int32()), pa.array(sketches(runs, offsets).ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(keys_of(runs, offsets), pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "key", "n", "prefix"]
+                    [b.column(0).slice(i, j - i), pa.array(keys_of(runs, offsets), pa.binary()), pa.array(n, pa.int64()), sketch, lists], ["doc_id", "key", "n", "sketch", "prefix"]
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, key binary, n long, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key binary, n long, sketch array<long>, prefix array<long>")
 
 
 def shared_tokens(signed: DataFrame) -> DataFrame:
@@ -287,12 +297,19 @@ def links(rows: DataFrame, signed: DataFrame, k: int, threshold: int) -> DataFra
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
         at_hand = cut(_still_open(tokens, labels))
+    sketch = signed.filter("n > 0").select("key", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH))).dropDuplicates(["key"])
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("int")
-    left = at_hand.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("key").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("label").alias("al"))
-    right = at_hand.select("token", band.alias("band"), F.col("key").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("label").alias("bl"))
+    tiled = at_hand.join(sketch, "key").withColumn("band", band)
+    side = lambda x: [F.col(c).alias(x + c) for c in ("key", "n", "at", "label", *(f"s{i}" for i in range(SKETCH)))]
+    left = tiled.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), *side("a"))  # the smaller set meets its own and the next band
+    right = tiled.select("token", F.col("band").alias("tile"), *side("b"))
+    both = F.col("an") + F.col("bn")
+    ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("akey") < F.col("bkey")))
     overlap = F.least("aat", "bat") + 1 + F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) - 1
-    crossed = left.join(right, ["token", "band"]).filter((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))).filter(_size_ok(threshold))
-    crossed = crossed.filter((100 + threshold) * overlap >= threshold * (F.col("an") + F.col("bn"))).select("a", "b").distinct()
+    differ = sum((F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(SKETCH)), F.lit(0))
+    possible = _size_ok(threshold) & ((100 + threshold) * overlap >= threshold * both) & ((100 + threshold) * differ <= (100 - threshold) * both)
+    crossed = left.join(right, ["token", "tile"]).filter(ordered & (F.col("alabel") != F.col("blabel")) & possible)
+    crossed = crossed.select(F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
     found = verified(cut(crossed.join(tried, ["a", "b"], "left_anti")), classes, k, threshold)
     return components(edges.union(found))
 

@@ -62,6 +62,16 @@ def test_signature_bound_never_rejects_a_link():
             assert ngram_join.linked(a, b, 85) == links and (ngram_join.may_link(len(a), len(b), *bits, 85) or not links)
 
 
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)) for _ in range(40)]
+    sets += [np.unique(np.concatenate((s[: len(s) // 2], sets[0]))) for s in sets[:10]]
+    found = ngram_join.sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert int(np.bitwise_count((found[i] ^ found[j]).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (200, 201)]
     found = {r.key: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
