@@ -141,18 +141,14 @@ class Lexicon:
 
     @cached_property
     def blocked_next(self) -> list[tuple[str, str]]:
-        """(label, next token): the pair starts a longer skill, so the bare label does not count."""
-        out = []
-        for label in self.exact_case_labels:
-            head = tokenize_entry(label)[0]
-            for skill in self.skills:
-                if skill.label == label:
-                    continue
-                for alias in skill.scan_aliases:
-                    tokens = tokenize_entry(alias)
-                    if len(tokens) >= 2 and tokens[0] == head:
-                        out.append((label, tokens[1]))
-        return sorted(set(out))
+        """(label, next token): the pair opens a longer alias of another skill, so the bare label does not count."""
+        second: dict[str, set[tuple[str, str]]] = {}
+        for phrase, skill, n in self.alias_rows:
+            if n > 1:
+                head, follower = phrase.split(" ")[:2]
+                second.setdefault(head, set()).add((follower, skill))
+        heads = {label: tokenize_entry(label)[0] for label in self.exact_case_labels}
+        return sorted({(label, follower) for label, head in heads.items() for follower, skill in second.get(head, ()) if skill != label})
 
     @cached_property
     def weak_rows(self) -> list[tuple[str, str, int]]:

@@ -71,19 +71,20 @@ def label_hits(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """K4/K5: exact-case labels that are no sentence opener and do not start a longer skill."""
     words = [label for label in lexicon.exact_case_labels if label not in fv.LIST_ITEM_LABELS]
     items = [label for label in lexicon.exact_case_labels if label in fv.LIST_ITEM_LABELS]
-    any_word = "|".join(escape_regex(w) for w in words)
+    any_word = "|".join(escape_regex(w) for w in sorted(words, key=len, reverse=True)) or "(?!)"
+    first = "".join(sorted({w[0] for w in words})) or "A"
+    label = rf"(?:{any_word})(?![\w#+-])"
     start = rf"^[ \t{escape_regex(fv.LABEL_LINE_START)}]{{0,400}}"
     pattern = (
-        rf"(?m)(?=[A-Z])(?<![\w.#+-])(?=(?:{any_word})(?![\w#+-]))"
-        rf"(?:(?<![.!?]\s{{1,3}})(?<!{start})|(?<={start})(?=\w+\s*[,/|;]))(?=(\w+[\s\S]{{0,40}}))\w+"
+        rf"(?m)(?=[{escape_regex(first)}])(?<![\w.#+-])(?={label})"
+        rf"(?:(?<![.!?]\s{{1,3}})(?<!{start})|(?<={start})(?={label}\s*[,/|;]))(?=({label}[\s\S]{{0,40}})){label}"
     )
     context = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     blocked = [f"{label} {following}" for label, following in lexicon.blocked_next]
 
     def split_context(c: Column) -> Column:
-        label = F.regexp_extract(c, r"^(\w+)", 1)
         return let(
-            label,
+            F.regexp_extract(c, rf"^({any_word})(?![\w#+-])", 1),
             lambda l: F.struct(
                 l.alias("label"),
                 F.get(let(F.substring(c, F.length(l) + 1, F.lit(40)), tokenize), F.lit(0)).alias("next"),

