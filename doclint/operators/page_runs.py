@@ -7,9 +7,11 @@ sorted pages that holds a single row at a time; everything after that is windows
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ..functions import fixed_values as fv
 from ..functions.dates import is_date_like
 from ..functions.text import trim_all
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 _ROWS = (
     "doc_id bigint, page_no int, page_width double, row_no int, str string, x double, width double, ord int, "
     "row_start double, row_end double"

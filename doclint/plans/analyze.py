@@ -7,7 +7,6 @@ joins of pairs with documents and ads and the aggregation of keyword hits per pa
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,9 +63,8 @@ def with_tokens(normalized: DataFrame) -> DataFrame:
     return normalized.withColumn("padded", padded_tokens(F.col("text")))
 
 
-@lru_cache(maxsize=8)
 def _feature_columns(lexicon: Lexicon) -> tuple[Column, ...]:
-    """Feature expressions over ``text``, ``padded``, ``folded``, ``words``; built once."""
+    """Feature expressions over ``text``, ``padded``, ``folded``, ``words``."""
     ready = F.col("words") >= fv.MIN_READABLE_WORDS
     only = lambda expr: F.when(ready, expr)
     return (

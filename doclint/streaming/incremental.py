@@ -7,7 +7,6 @@ a batch overwrites its own partition, which makes retries harmless.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..plans.analyze import analyze
@@ -22,8 +21,8 @@ def lint_new_documents(
     stream = spark.readStream.schema(schema).parquet(source)
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        rows = analyze(batch, lexicon=lexicon).results.withColumn("batch_id", F.lit(batch_id))
-        rows.drop("matched", "missing", "batch_id").write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        rows = analyze(batch, lexicon=lexicon).results
+        rows.drop("matched", "missing").write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
