@@ -211,6 +211,7 @@ def import_resumes(raw: DataFrame, max_chars: int | None = None, native_only: bo
     ``error_code`` is ``invalid_json`` or ``invalid_schema``, or ``too_large`` where the caller sets
     ``max_chars``; ``resume`` is NULL then.  ``keep_raw`` adds the record itself.
     """
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of repeated keys counts
     sized = raw.withColumn("big", F.length("raw") > max_chars if max_chars is not None else F.lit(False))
     parsed = sized.withColumn("v", once(F.try_parse_json(F.when(~F.col("big"), F.col("raw")))))
     v = F.col("v")

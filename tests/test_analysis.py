@@ -125,3 +125,11 @@ def test_nothing_is_cut(spark):
     long_line = "x" * 500 + " write to someone@example.com or call (415) 555-0100 " + "y " * 40_000
     r = normalize_documents(spark.createDataFrame([(1, long_line)], "doc_id long, text string")).first()
     assert len(r.text) == len(long_line.strip())
+
+
+def test_the_last_of_repeated_json_keys_counts(spark):
+    from doclint.operators import resume as rs
+
+    raw = '{"basics": {"name": "First", "name": "Second"}, "work": [], "work": []}'
+    r = rs.import_resumes(spark.createDataFrame([(1, raw, "en")], "doc_id long, raw string, lang string")).first()
+    assert r.error_code is None and r.resume.basics.name == "Second"
