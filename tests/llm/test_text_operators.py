@@ -93,6 +93,7 @@ def test_bpe_equals_the_library(spark):
     docs = edge_cases.frame(spark)
     tokenizer = bpe.Tokenizer(spark, bpe.public_path(), bpe.frequent_words(docs))
     both = bpe.decode(bpe.encode(docs, tokenizer), tokenizer).collect()
+    assert by_id(bpe.encode(docs, tokenizer, round_trip=True).collect()) == by_id(both)
     for r, (doc, text) in zip(by_id(both), inputs(), strict=True):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert (r.doc_id, r.ids, r.decoded) == (doc, ids, library.decode(ids, skip_special_tokens=False))
