@@ -10,7 +10,7 @@ nothing further. Two classes link when ``100 * |A & B| >= threshold * |A | B|``,
    many comparisons as it has members.
 3. Only classes that share such a shingle and are still in different components are compared with each other, in tiles of
    one shingle and one size band (sizes of linked sets differ by the threshold at most, hence lie in the same or the next
-   band), with bounds by size, position and parity sketch before a pair leaves the tile.
+   band), with bounds by size, by position (as at the first shared shingle) and by parity sketch before a pair leaves the tile.
 
 A comparison first takes hashed bitmap signatures, as wide as the size band asks for: bits set in one and not in the other
 bound the overlap from above. Pairs that pass are intersected exactly as sorted arrays. No pair that could link is skipped
@@ -301,13 +301,15 @@ def links(rows: DataFrame, signed: DataFrame, k: int, threshold: int) -> DataFra
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("int")
     tiled = at_hand.join(sketch, "key").withColumn("band", band)
     side = lambda x: [F.col(c).alias(x + c) for c in ("key", "n", "at", "label", *(f"s{i}" for i in range(SKETCH)))]
-    left = tiled.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), *side("a"))  # the smaller set meets its own and the next band
+    short = tiled.filter((100 + threshold) * (F.col("n") - F.col("at")) >= 2 * threshold * F.col("n"))  # the smaller set needs a shorter prefix
+    left = short.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), *side("a"))  # the smaller set meets its own and the next band
     right = tiled.select("token", F.col("band").alias("tile"), *side("b"))
     both = F.col("an") + F.col("bn")
     ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("akey") < F.col("bkey")))
-    overlap = F.least("aat", "bat") + 1 + F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) - 1
+    # at the first shingle that two linked sets share, each still has as many members to come as they must share
+    enough = lambda n, at: (100 + threshold) * (F.col(n) - F.col(at)) >= threshold * both
     differ = sum((F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(SKETCH)), F.lit(0))
-    possible = _size_ok(threshold) & ((100 + threshold) * overlap >= threshold * both) & ((100 + threshold) * differ <= (100 - threshold) * both)
+    possible = _size_ok(threshold) & enough("an", "aat") & enough("bn", "bat") & ((100 + threshold) * differ <= (100 - threshold) * both)
     crossed = left.join(right, ["token", "tile"]).filter(ordered & (F.col("alabel") != F.col("blabel")) & possible)
     crossed = crossed.select(F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
     found = verified(cut(crossed.join(tried, ["a", "b"], "left_anti")), classes, k, threshold)
