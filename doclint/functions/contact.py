@@ -24,7 +24,7 @@ ONLY_YEARS = r"^(?:\D*(?<!\d)(?:19|20)\d{2}(?!\d))+\D*$"
 URL_CUT = r"(?i)^(?:https?://)?(?:www\.)?[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}/\S{0,200}[-_]$"
 PROFILE_CUT = r"(?i)linkedin\.com/(?:in|pub)/$"
 OPENERS = "^[<(\\[{\"'`]+"
-CLOSERS = "[>)\\]}\"'`,;:.!?]+$"
+CLOSERS = "(?<![>)\\]}\"'`,;:.!?])[>)\\]}\"'`,;:.!?]++$"  # tried only where a run of them begins
 
 
 def words_with(text: Column, core: str) -> Column:

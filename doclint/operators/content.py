@@ -45,7 +45,7 @@ def line_features(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     )
 
     def opener(x: Column) -> Column:
-        word = F.regexp_extract(F.coalesce(x["unlabelled"], x["p"]), r"^ (?:co )?+([^ ]+)(?: [^ ]+){2,} $", 1)
+        word = F.regexp_extract(F.coalesce(x["unlabelled"], x["p"]), r"^ (?:co )?+([^ ]+)(?: [^ ]++){2,}+ $", 1)
         return let(word, lambda w: F.when(one_of(w, lexicon.action_verbs), w))
 
     return F.transform(

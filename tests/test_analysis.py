@@ -133,3 +133,18 @@ def test_the_last_of_repeated_json_keys_counts(spark):
     raw = '{"basics": {"name": "First", "name": "Second"}, "work": [], "work": []}'
     r = rs.import_resumes(spark.createDataFrame([(1, raw, "en")], "doc_id long, raw string, lang string")).first()
     assert r.error_code is None and r.resume.basics.name == "Second"
+
+
+@pytest.mark.parametrize("text", [
+    "a" * 100_000 + "@" + "b." * 50_000 + " " + "1 " * 50_000,
+    "a." * 20_000 + "1" * 10_000 + "\n" + "•x " * 5_000,
+    "a@" + ")" * 60_000 + "x",
+])
+def test_hostile_texts_are_read_whole_in_bounded_time(spark, text):
+    import time
+
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.time()
+    assert analyze(docs).results.count() == 1 and normalize_documents(docs).first().text == text.strip()
+    analyze(docs).results.collect()
+    assert time.time() - started < 60
