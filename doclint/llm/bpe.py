@@ -38,7 +38,7 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 #: At most so many corpus words enter the lexicon.
 WORDS = 200_000
-CACHED = 250_000
+CACHED = 500_000
 SLICE = 1 << 20
 NEVER = np.iinfo(np.int32).max
 
