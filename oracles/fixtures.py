@@ -125,10 +125,10 @@ FROM (SELECT s.s_suppkey AS j, s.s_nationkey AS nationkey, n.n_name AS nation
       FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey) s
 """
 
-# applicants answer the ad of the supplier of each order's first item
+# applicants answer the ads of all suppliers of their orders
 SYNTH_PAIRS = """
 SELECT DISTINCT o.o_custkey AS doc_id, l.l_suppkey AS job_id
-FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
 """
 
 # ---- structured records -------------------------------------------------------------------
