@@ -3,9 +3,10 @@
 The standard library's parser streams each page once. Block elements cut the page into lines; every line has its text and
 the number of tags met since the line before, hence a text-to-tag ratio. Ratios are smoothed along the page by a Gaussian
 kernel, and a threshold (a share of their standard deviation) clusters lines into content and the rest. Lines in what the
-markup declares as menu, advert, form, comment and the like are never content. A content region is an article or main
-element with a line of the content cluster, kept whole; a page without such elements gives its content lines themselves,
-and a page whose articles hold no content line gives its articles.
+markup declares as menu, advert, form, comment and the like are never content; inside an article, headings and names of
+several words that are not all words of that list declare nothing. Every line of the content cluster is kept, inside and
+outside articles. An article or main element with at least half of its characters in such lines is a content region and
+kept whole; a page without any content line gives its articles.
 
 Defined results: a null or empty page, or one without content, gives an empty text. Repeated rows are handled one by one.
 Other columns of the input are neither read nor returned, so their names cannot clash. Broken markup never fails: the
@@ -48,11 +49,21 @@ BOILERPLATE = re.compile(
     r"pagination|pager|copyright|legal|disclaimer|skip|toolbar|complementary|contentinfo|dialog|form)(?:$|[\s_-])",
     re.I,
 )
+NAME_WORDS = re.compile(r"[_-]+")
 WHITE = re.compile(r"\s+")
 SIGMA = 1.0
 THRESHOLD = 0.5
 
 
+def declares(tag: str, name: str, value: str, inside: bool) -> bool:
+    """Whether a class, id or role value names boilerplate; ``inside`` an article, only whole names count, and not on headings."""
+    if not BOILERPLATE.search(value):
+        return False
+    if not inside or name == "role":
+        return True
+    return tag not in HEADINGS and any(all(BOILERPLATE.search(w) for w in NAME_WORDS.split(v.strip("_-"))) for v in value.split())
+
+
 class Lines(HTMLParser):
     """Collects ``(text, tags, region)`` per line; region is -1 in declared boilerplate, the article's number from 1, else 0."""
 
@@ -100,7 +111,7 @@ class Lines(HTMLParser):
                 declared = -1
             if declared >= 0 and tag not in ("main", "body", "html"):
                 for name, value in attrs:
-                    if value and (name == "class" or name == "id" or name == "role") and BOILERPLATE.search(value):
+                    if value and (name == "class" or name == "id" or name == "role") and declares(tag, name, value, declared > 0):
                         declared = -1
                     elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                         declared = -1
@@ -113,7 +124,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCK:
+        if tag in BLOCK or tag == "head":
             self.end_line()
         stack = self.stack
         if stack[-1][0] == tag:
@@ -158,11 +169,12 @@ def main_text(html: str | None) -> str:
     deviation = math.sqrt(sum((r - mean) ** 2 for r in ratios) / max(1, len(ratios)))
     threshold = min(mean, THRESHOLD * deviation)
     content = [region >= 0 and r >= threshold for (_, _, region), r in zip(lines, ratios, strict=True)]
-    regions = {region for (_, _, region), on in zip(lines, content, strict=True) if on and region > 0}
-    if parser.articles and any(region > 0 for _, _, region in lines):
-        regions = regions or {region for _, _, region in lines if region > 0}
-        return "\n".join(text for text, _, region in lines if region in regions)
-    return "\n".join(text for (text, _, _), on in zip(lines, content, strict=True) if on)
+    if not any(content):
+        return "\n".join(text for text, _, region in lines if region > 0)
+    weight: dict[int, int] = {}
+    for (text, _, region), on in zip(lines, content, strict=True):
+        weight[region] = weight.get(region, 0) + (len(text) if on else -len(text))
+    return "\n".join(text for (text, _, region), on in zip(lines, content, strict=True) if on or (region > 0 and weight[region] >= 0))
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
