@@ -6,7 +6,8 @@ A document can contain a window only if it contains every token of it, so joinin
 rarest, misses nothing. The place of the token in the window fixes where the window would have to start: windows that would
 leave the document are dropped by length and position, the words of the rest are compared, and their bytes last.
 
-The benchmark is split by a hash of item_id into blocks of about ``BLOCK`` bytes of text. One block's index is broadcast at
+The benchmark is split by a hash of item_id and text into blocks of about ``BLOCK`` bytes of text, after rows that are equal
+in both are made one. One block's index is broadcast at
 a time and documents pass all blocks, so a larger benchmark costs more passes, never more memory. Documents do not shuffle.
 
 Defined results: a null or empty text, or one of separators only, has no words and no hits; such an item has no window.
@@ -141,14 +142,14 @@ def occurrences(w: Words, index: dict) -> tuple[np.ndarray, np.ndarray]:
 def flag(docs: DataFrame, benchmark: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """The documents with all their columns, and ``n_words``, ``hits`` (places of hit words) and ``items`` (ids, sorted), the new names after ``prefix``."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_of("text").alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_of("text").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // BLOCK))
     out = docs.withColumns({
         f"{prefix}n_words": F.lit(0).cast("long"), f"{prefix}hits": F.array().cast("array<int>"), f"{prefix}items": F.array().cast("array<string>"),
     })
     for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # about BLOCK bytes
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK bytes
         index = build_index(docs, [(r["item_id"], r["text"]) for r in mine], text)
         out = _join(out, spark.sparkContext.broadcast(index), text, prefix)
     return out
