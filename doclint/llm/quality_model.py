@@ -7,7 +7,8 @@ dealt to ``SHARDS`` tasks; each runs per-coordinate FTRL-proximal over its rows
 one array of fixed size, so scoring is a sparse dot product per text, without a shuffle.
 
 Defined results: a text without words (null, empty) scores by the bias alone. Labels that are null, or whose doc_id is
-null, teach nothing; a doc_id labelled twice counts once, with its least label. Without any labels every score is 0.5.
+null, teach nothing; a doc_id labelled twice counts once, with its least label, and one with several rows teaches with its
+least text alone. Without any labels every score is 0.5.
 Repeated rows are scored alike. Labels, lang, source and doc_id are no inputs of a score; other columns are not read.
 """
 
@@ -89,6 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", may_learn:
     share = min(1.0, MAX_TRAIN / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col("doc_id").alias("key"), text_of().alias("text")).join(F.broadcast(chosen), "key")  # MAX_TRAIN bounds it
+    rows = rows.groupBy("key", "y").agg(F.min("text").alias("text"))  # and these rows, however often a document is repeated
     dealt = rows.select("key", "text", "y").repartition(SHARDS, "key").sortWithinPartitions(F.xxhash64(F.col("key").cast("string")), "text").select("text", "y")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
