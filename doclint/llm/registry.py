@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversation_repair, decontaminate, html_text, ngram_join, periodic_runs, pii, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts
+from . import bpe, conversation_repair, decontaminate, html_text, language_mixture, ngram_join, periodic_runs, pii, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality": quality_model.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secret_scan.query,
     "op9_decontaminate": decontaminate.query,
     "op10_html_text": html_text.query,
+    "op11_language_mixture": language_mixture.query,
     "op12_conversation_repair": conversation_repair.query,
     "op13_periodic_runs": periodic_runs.query,
 }
