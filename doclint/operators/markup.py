@@ -1,16 +1,17 @@
 """WordprocessingML parts to text and layout signals (L1-L4).
 
 Input is ``doc_parts(doc_id, part_no, part_name, xml)``: unpacked parts of a document package.
-Parts are cut into tokens, and the "inside a fallback" and "inside a run" depths are running
-sums over the token order, clamped at zero by subtracting the running minimum.  Only the four
-columns those windows need are shuffled per part; the text of skipped tokens is dropped first.
+A part is read inside its row: its tokens pass through one state machine that carries the fallback
+depth, the run depth, whether text is shown, and the layout counts.  Text and layout come from that
+one pass without any shuffle; a package costs one, of its parts' results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import fold_in_blocks
 from ..functions.text import let, normalize_text
 
 # Part names and markup
@@ -18,7 +19,10 @@ BODY_PART = r"^word/document\d*\.xml$"
 HEADER_FOOTER_PART = r"^word/(?:header|footer)\d*\.xml$"
 MEDIA_PART = r"^word/media/[^/]+$"
 CONTENT_TYPES = "[Content_Types].xml"
-TOKEN = r"<[^<>]*>|[^<]+|<"
+NAMES = r"mc:Fallback|w:(?:r|t|tab|noBreakHyphen|br|cr|p|tc|tbl|txbxContent|cols)"
+# group 1: the tags that count, and text; other tags and a lone "<" match without it
+TOKEN = rf"(</?(?:{NAMES})(?![\w:.-])[^<>]*>|[^<]+)|<[^<>]*>|<"
+WIDE_COLUMNS = r'(?<![A-Za-z0-9_])w:num="(\d{1,3})"'
 ENTITY = r"&(?:#x[0-9a-fA-F]{1,6}|#[0-9]{1,7}|lt|gt|amp|quot|apos);"
 
 
@@ -47,104 +51,105 @@ def decode_entities(text: Column) -> Column:
     return let(text, lambda t: F.when(F.contains(t, F.lit("&")), build(t)).otherwise(t))
 
 
-def part_tokens(parts: DataFrame) -> DataFrame:
-    """Markup tokens outside fallback copies: ``(doc_id, part_no, pos, token, name, closing, self_closing)``."""
-    tokens = parts.select("doc_id", "part_no", F.posexplode(F.regexp_extract_all("xml", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    is_tag = F.col("token").startswith("<")
-    tags = tokens.filter(~is_tag | ((F.length("token") >= 3) & ~F.substring("token", 2, 1).isin("?", "!")))
-    named = tags.select(
-        "doc_id", "part_no", "pos", "token",
-        F.when(is_tag, F.regexp_extract("token", r"^</?([\w:.-]+)", 1)).alias("name"),
-        (is_tag & F.col("token").startswith("</")).alias("closing"),
-        (is_tag & F.col("token").endswith("/>")).alias("self_closing"),
+def read_part(xml: Column) -> Column:
+    """L1 and L3: ``struct<text, tables, text_boxes, columns>`` of one part."""
+
+    def step(state: Column, token: Column) -> Column:
+        is_tag = token.startswith("<")
+        name = F.when(is_tag, F.regexp_extract(token, rf"^</?({NAMES})(?![\w:.-])", 1))
+        closing, self_closing = token.startswith("</"), token.endswith("/>")
+        facts = F.struct(name.alias("name"), closing.alias("closing"), self_closing.alias("single"), (is_tag & ~closing).alias("opens"))
+        return let(facts, lambda f: F.struct(_next(state, f, token).alias("state"), _shown(state, f, token).alias("out")))
+
+    begin = F.struct(
+        F.lit(0).alias("fallback"), F.lit(0).alias("run"), F.lit(False).alias("in_text"),
+        F.lit(0).alias("tables"), F.lit(0).alias("boxes"), F.lit(False).alias("columns"),
     )
-    order = Window.partitionBy("doc_id", "part_no").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    mark = (F.col("name") == "mc:Fallback") & ~F.col("self_closing")
-    stepped = named.withColumn("mark", F.coalesce(mark, F.lit(False))).withColumn(
-        "raw", F.sum(F.when(F.col("mark"), F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)).over(upto)
+    tokens = F.filter(F.regexp_extract_all(xml, F.lit(TOKEN), F.lit(1)), lambda t: t != "")
+    return let(fold_in_blocks(tokens, begin, "array<string>", step), lambda r: F.struct(
+        F.array_join(r["out"], "").alias("text"), r["state"]["tables"].alias("tables"),
+        r["state"]["boxes"].alias("text_boxes"), r["state"]["columns"].alias("columns"),
+    ))
+
+
+def _depth(before: Column, f: Column) -> Column:
+    """One deeper or, never below zero, one up."""
+    return F.when(f["closing"], F.greatest(before - 1, F.lit(0))).otherwise(before + 1)
+
+
+def _next(state: Column, f: Column, token: Column) -> Column:
+    """The state after a token; inside a fallback only fallback tags count."""
+    name, seen = f["name"], state["fallback"] == 0
+    wide = F.coalesce(F.nullif(F.regexp_extract(token, WIDE_COLUMNS, 1), F.lit("")).cast("int"), F.lit(1)) > 1
+    moved = F.struct(
+        F.when((name == "mc:Fallback") & ~f["single"], _depth(state["fallback"], f)).otherwise(state["fallback"]).alias("fallback"),
+        F.when(seen & (name == "w:r") & ~f["single"], _depth(state["run"], f)).otherwise(state["run"]).alias("run"),
+        F.when(seen & (name == "w:t"), f["opens"] & ~f["single"]).otherwise(state["in_text"]).alias("in_text"),
+        (state["tables"] + F.when(seen & f["opens"] & (name == "w:tbl"), 1).otherwise(0)).alias("tables"),
+        (state["boxes"] + F.when(seen & f["opens"] & (name == "w:txbxContent"), 1).otherwise(0)).alias("boxes"),
+        F.when(seen & f["opens"] & (name == "w:cols"), state["columns"] | wide).otherwise(state["columns"]).alias("columns"),
     )
-    depth = F.col("raw") - F.least(F.lit(0), F.min("raw").over(upto))
-    return stepped.withColumn("depth", depth).filter("depth = 0 AND NOT mark").drop("raw", "depth", "mark")
+    return F.when(name.isNull(), state).otherwise(moved)
 
 
-def part_text(parts: DataFrame) -> DataFrame:
-    """L1: ``(doc_id, part_no, text)`` of every part that holds any markup."""
-    tokens = part_tokens(parts)
-    order = Window.partitionBy("doc_id", "part_no").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    run_step = F.when((F.col("name") == "w:r") & ~F.col("self_closing"), F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)
-    in_text = F.last(
-        F.when(F.col("name") == "w:t", ~F.col("closing") & ~F.col("self_closing")), ignorenulls=True
-    ).over(upto)
-    state = tokens.withColumn("raw", F.sum(run_step).over(upto)).withColumn(
-        "run", F.col("raw") - F.least(F.lit(0), F.min("raw").over(upto))
-    ).withColumn("in_text", F.coalesce(in_text, F.lit(False)))
-    name, opened = F.col("name"), ~F.col("closing")
+def _shown(state: Column, f: Column, token: Column) -> Column:
+    """What a token adds to the text: no or one string."""
+    name, in_run = f["name"], f["opens"] & (state["run"] > 0)
     out = (
-        F.when(name.isNull(), F.when(F.col("in_text"), decode_entities(F.col("token"))))
-        .when((name == "w:tab") & opened & (F.col("run") > 0), "\t")
-        .when((name == "w:noBreakHyphen") & opened & (F.col("run") > 0), "-")
-        .when(name.isin("w:br", "w:cr") & opened & (F.col("run") > 0), "\n")
-        .when((name == "w:p") & (F.col("closing") | F.col("self_closing")), "\n")
-        .when((name == "w:tc") & F.col("closing"), "\t")
+        F.when(state["fallback"] > 0, F.lit(None).cast("string"))
+        .when(name.isNull(), F.when(state["in_text"], decode_entities(token)))
+        .when((name == "w:tab") & in_run, "\t")
+        .when((name == "w:noBreakHyphen") & in_run, "-")
+        .when(name.isin("w:br", "w:cr") & in_run, "\n")
+        .when((name == "w:p") & (f["closing"] | f["single"]), "\n")
+        .when((name == "w:tc") & f["closing"], "\t")
     )
-    pieces = state.select("doc_id", "part_no", "pos", out.alias("out"))
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("out").isNotNull(), F.struct("pos", "out")))), lambda p: p["out"]), ""
-    )
-    return pieces.groupBy("doc_id", "part_no").agg(joined.alias("text"))
+    return F.array_compact(F.array(out))
+
+
+def part_text(parts: DataFrame) -> DataFrame:
+    """L1: ``(doc_id, part_no, text)`` of every part; no shuffle."""
+    return parts.select("doc_id", "part_no", read_part(F.col("xml"))["text"].alias("text"))
 
 
 def part_layout(parts: DataFrame) -> DataFrame:
-    """L3: ``(doc_id, part_no, tables, text_boxes, columns)`` from opening tags outside fallbacks."""
-    opened = part_tokens(parts).filter("name IS NOT NULL AND NOT closing")
-    wide = F.regexp_extract("token", r'(?<![A-Za-z0-9_])w:num="(\d{1,3})"', 1)
-    return opened.groupBy("doc_id", "part_no").agg(
-        F.count_if(F.col("name") == "w:tbl").alias("tables"),
-        F.count_if(F.col("name") == "w:txbxContent").alias("text_boxes"),
-        F.bool_or((F.col("name") == "w:cols") & (F.coalesce(F.nullif(wide, F.lit("")).cast("int"), F.lit(1)) > 1)).alias("columns"),
+    """L3: ``(doc_id, part_no, tables, text_boxes, columns)`` from opening tags outside fallbacks; no shuffle."""
+    return parts.select("doc_id", "part_no", read_part(F.col("xml")).alias("p")).select(
+        "doc_id", "part_no", F.col("p.tables").cast("bigint").alias("tables"), F.col("p.text_boxes").cast("bigint").alias("text_boxes"), "p.columns",
     )
 
 
-def route_parts(parts: DataFrame) -> DataFrame:
-    """L4: adds ``role`` (``body``, ``margin``, ``media``, ``types``); other parts are dropped."""
+def part_role() -> Column:
+    """L4: ``body``, ``margin``, ``media`` or ``types`` by the part's name, else NULL."""
     name = F.col("part_name")
-    role = (
+    return (
         F.when(name.rlike(BODY_PART), "body").when(name.rlike(HEADER_FOOTER_PART), "margin")
         .when(name.rlike(MEDIA_PART), "media").when(name == CONTENT_TYPES, "types")
     )
-    in_role = Window.partitionBy("doc_id", "role").orderBy("part_no")
-    ranked = parts.withColumn("role", role).filter("role IS NOT NULL").withColumn("rn", F.row_number().over(in_role))
-    return ranked.filter((F.col("role") != "body") | (F.col("rn") == 1)).drop("rn")
 
 
 def package_documents(parts: DataFrame) -> DataFrame:
-    """L1-L4: one row per package in the document schema, ``error_code`` set when it is unusable."""
-    routed = route_parts(parts)
-    status = routed.groupBy("doc_id").agg(
-        F.bool_or(F.col("role") == "types").alias("has_types"), F.bool_or(F.col("role") == "body").alias("has_body"),
-        F.count_if(F.col("role") == "media").cast("int").alias("images"),
-    )
-    textual = routed.filter(F.col("role").isin("body", "margin"))
-    texts = part_text(textual).join(textual.select("doc_id", "part_no", "role"), ["doc_id", "part_no"])
-    margin = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "margin", F.struct("part_no", "text")))), lambda p: p["text"]), "\n"
-    )
-    joined = texts.groupBy("doc_id").agg(
-        F.max(F.when(F.col("role") == "body", F.col("text"))).alias("text"), margin.alias("margin_text")
+    """L1-L4: one row per package in the document schema, ``error_code`` set when it is unusable.
+
+    Parts are read in their rows first; one aggregation puts a package together.  Its first body part counts.
+    """
+    read = parts.select("doc_id", "part_no", part_role().alias("role"), "xml").filter("role IS NOT NULL")
+    read = read.select("doc_id", "part_no", "role", F.when(F.col("role").isin("body", "margin"), read_part(F.col("xml"))).alias("p"))
+    is_role = lambda role: F.col("role") == role
+    margins = F.array_sort(F.collect_list(F.when(is_role("margin"), F.struct("part_no", F.col("p.text").alias("text")))))
+    packed = read.groupBy("doc_id").agg(
+        F.bool_or(is_role("types")).alias("has_types"), F.count_if(is_role("media")).cast("int").alias("images"),
+        F.min(F.when(is_role("body"), F.struct("part_no", F.col("p.text").alias("text"), F.col("p.tables").alias("tables"), F.col("p.text_boxes").alias("text_boxes"), F.col("p.columns").alias("columns")))).alias("body"),
+        margins.alias("margins"),
     )
-    layout = part_layout(routed.filter("role = 'body'")).drop("part_no")
-    bad = ~F.col("has_types") | ~F.col("has_body")
-    full = status.join(joined, "doc_id", "left").join(layout, "doc_id", "left")
-    return full.select(
+    bad = ~F.col("has_types") | F.col("body").isNull()
+    return packed.select(
         "doc_id",
-        F.when(~bad, F.coalesce("text", F.lit(""))).alias("text"),
-        F.when(~bad, normalize_text(F.col("margin_text"))).alias("header_footer_text"),
+        F.when(~bad, F.col("body.text")).alias("text"),
+        F.when(~bad, normalize_text(F.array_join(F.transform("margins", lambda m: m["text"]), "\n"))).alias("header_footer_text"),
         F.struct(
-            F.coalesce("tables", F.lit(0)).cast("int").alias("tables"),
-            F.coalesce("text_boxes", F.lit(0)).cast("int").alias("text_boxes"),
-            "images", F.coalesce("columns", F.lit(False)).alias("columns"), F.lit(None).cast("int").alias("page_count"),
+            F.coalesce("body.tables", F.lit(0)).alias("tables"), F.coalesce("body.text_boxes", F.lit(0)).alias("text_boxes"),
+            "images", F.coalesce("body.columns", F.lit(False)).alias("columns"), F.lit(None).cast("int").alias("page_count"),
         ).alias("layout"),
         F.lit(False).alias("truncated"),
         F.when(bad, "invalid_docx").alias("error_code"),

@@ -73,7 +73,8 @@ def _(spark, d):
 # ---- markup ---------------------------------------------------------------------------------
 _BODY_TEXT = f"""(name || ' & Co <' || k || '> é😀&nope;' || {TAB} || 'tab' || {NL} || repeat('Order line ' || segment || {NL} || 'next-part' || {NL}, n)
   || CASE WHEN k % 3 = 0 THEN 'cell ' || k || {NL} || {TAB} || {NL} || {TAB} ELSE '' END
-  || CASE WHEN k % 4 = 0 THEN 'box' || {NL} ELSE '' END || CASE WHEN k % 7 = 0 THEN 'late' || {NL} || {NL} ELSE '' END)"""
+  || CASE WHEN k % 4 = 0 THEN 'box' || {NL} ELSE '' END || CASE WHEN k % 7 = 0 THEN 'late' || {NL} || {NL} ELSE '' END
+  || CASE WHEN k % 11 = 0 THEN 'deep' || {NL} ELSE '' END)"""
 _HEAD, _FOOT = f"'h' || k || '@example.com' || {NL}", f"'Page 1' || {NL}"
 _PART_TEXTS = f"""SELECT k AS doc_id, 1 AS part_no, {_BODY_TEXT} AS text FROM {STATS} WHERE bal < 9500
   UNION ALL SELECT k, 2, 'second body' || {NL} FROM {STATS} WHERE bal < 500 OR bal > 9000

@@ -14,11 +14,9 @@ PUA = "\ue001\ue002\ue003"
 # one row per customer with order statistics
 CUSTOMER_STATS = """
 SELECT c.c_custkey AS k, c.c_name AS name, c.c_nationkey AS nationkey, c.c_mktsegment AS segment, c.c_acctbal AS bal,
-       CAST(COUNT(o.o_orderkey) AS INT) AS n,
-       CAST(COALESCE(MIN(YEAR(o.o_orderdate)), 1995) AS INT) AS y0,
-       CAST(COALESCE(MAX(YEAR(o.o_orderdate)), 1995) AS INT) AS y1
-FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey
-GROUP BY c.c_custkey, c.c_name, c.c_nationkey, c.c_mktsegment, c.c_acctbal
+       CAST(COALESCE(o.n, 0) AS INT) AS n, CAST(COALESCE(o.y0, 1995) AS INT) AS y0, CAST(COALESCE(o.y1, 1995) AS INT) AS y1
+FROM customer c LEFT JOIN (SELECT o_custkey, COUNT(o_orderkey) AS n, MIN(YEAR(o_orderdate)) AS y0, MAX(YEAR(o_orderdate)) AS y1
+                           FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey
 """
 
 _S = "CAST({} AS STRING)"
@@ -167,16 +165,20 @@ _BODY = f"""concat('<?xml version="1.0"?><!-- c --><w:document><w:body><w:pPr><w
  CASE WHEN k % 3 = 0 THEN concat('<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell ', {K}, '</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>') ELSE '' END,
  CASE WHEN k % 4 = 0 THEN '<mc:AlternateContent><mc:Choice><w:r><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent></w:r></mc:Choice><mc:Fallback><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent></mc:Fallback></mc:AlternateContent>' ELSE '' END,
  CASE WHEN k % 7 = 0 THEN '</w:r></mc:Fallback><w:p><w:r><w:t>late</w:t><w:cr/></w:r></w:p>' ELSE '' END,
+ CASE WHEN k % 11 = 0 THEN '<mc:Fallback/><mc:Fallback><mc:Fallback><w:tbl/><w:r><w:t>no</w:t></w:r></mc:Fallback><w:tbl><w:cols w:num="3"/><w:r><w:t>no</w:t></w:r></w:tbl></mc:Fallback></w:r><w:br/><w:p><w:r><w:r/><w:t>deep</w:t></w:r><w:tab/></w:p>' ELSE '' END,
  CASE WHEN k % 5 = 0 THEN '<w:sectPr><w:cols w:space="1" w:num="2"/></w:sectPr>' ELSE '<w:sectPr><w:cols w:num="1"/></w:sectPr>' END,
  '</w:body></w:document>')"""
+# one scan: every customer has seven candidate parts, of which some exist
 SYNTH_PARTS = f"""
-SELECT k AS doc_id, 0 AS part_no, '[Content_Types].xml' AS part_name, '<Types/>' AS xml FROM ({CUSTOMER_STATS}) s WHERE bal > -800
-UNION ALL SELECT k, 1, 'word/document.xml', {_BODY} FROM ({CUSTOMER_STATS}) s WHERE bal < 9500
-UNION ALL SELECT k, 2, 'word/document2.xml', '<w:p><w:r><w:t>second body</w:t></w:r></w:p>' FROM ({CUSTOMER_STATS}) s WHERE bal < 500 OR bal > 9000
-UNION ALL SELECT k, 3, 'word/header1.xml', concat('<w:hdr><w:p><w:r><w:t>h', {K}, '@example.com</w:t></w:r></w:p></w:hdr>') FROM ({CUSTOMER_STATS}) s WHERE bal > 4000
-UNION ALL SELECT k, 4, 'word/footer1.xml', '<w:ftr><w:p><w:r><w:t>Page </w:t></w:r><w:r><w:t>1</w:t></w:r></w:p></w:ftr>' FROM ({CUSTOMER_STATS}) s WHERE segment <> 'BUILDING'
-UNION ALL SELECT k, 5, 'word/media/image1.png', '' FROM ({CUSTOMER_STATS}) s WHERE segment = 'MACHINERY'
-UNION ALL SELECT k, 6, 'word/media/image2.png', '' FROM ({CUSTOMER_STATS}) s WHERE segment = 'MACHINERY' AND bal > 5000
+SELECT k AS doc_id, part_no,
+       CASE part_no WHEN 0 THEN '[Content_Types].xml' WHEN 1 THEN 'word/document.xml' WHEN 2 THEN 'word/document2.xml' WHEN 3 THEN 'word/header1.xml'
+         WHEN 4 THEN 'word/footer1.xml' WHEN 5 THEN 'word/media/image1.png' ELSE 'word/media/image2.png' END AS part_name,
+       CASE part_no WHEN 0 THEN '<Types/>' WHEN 1 THEN {_BODY} WHEN 2 THEN '<w:p><w:r><w:t>second body</w:t></w:r></w:p>'
+         WHEN 3 THEN concat('<w:hdr><w:p><w:r><w:t>h', {K}, '@example.com</w:t></w:r></w:p></w:hdr>')
+         WHEN 4 THEN '<w:ftr><w:p><w:r><w:t>Page </w:t></w:r><w:r><w:t>1</w:t></w:r></w:p></w:ftr>' ELSE '' END AS xml
+FROM (SELECT s.*, unnest(range(0, 7)) AS part_no FROM ({CUSTOMER_STATS}) s) p
+WHERE CASE part_no WHEN 0 THEN bal > -800 WHEN 1 THEN bal < 9500 WHEN 2 THEN bal < 500 OR bal > 9000 WHEN 3 THEN bal > 4000
+        WHEN 4 THEN segment <> 'BUILDING' WHEN 5 THEN segment = 'MACHINERY' ELSE segment = 'MACHINERY' AND bal > 5000 END
 """
 
 # ---- positioned page runs: one "document" per customer, one row of runs per order ---------
@@ -220,7 +222,7 @@ def spark_view(spark, sf_dir: str, name: str):
     for table in ("customer", "orders", "supplier", "nation", "lineitem"):
         if re.search(rf"\b{table}\b", sql):
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(sql.replace("unnest(range(0, 5))", "explode(sequence(0, 4))"))
+    return spark.sql(re.sub(r"unnest\(range\(0, (\d+)\)\)", r"explode(sequence(0, \1 - 1))", sql))
 
 
 def resume_documents(spark, sf_dir: str):
