@@ -22,6 +22,25 @@ CP1252 = {
 }
 
 
+ROW_GROUP = 128 << 20
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that is heavy for its bytes: one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table too small to give each task a row group of its own, dealt out over all tasks; larger ones stay as they are.
+
+    A row group is read by one task, so a small file keeps one core busy whatever is computed from it.  The shuffle this costs
+    is bounded by that size.
+    """
+    n = tasks(df.sparkSession)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(n) if int(str(size)) < n * ROW_GROUP else df
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, content)``; the filter on the length reaches the scan, so an empty file's content is not read."""
     found = spark.read.format("binaryFile").load(path)
