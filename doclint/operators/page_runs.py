@@ -1,30 +1,22 @@
 """Positioned page runs to lines, layout flags and text.
 
-Input is ``runs(doc_id, page_no, page_width, run_no, str, x, y, width, height)``.  Whether a run
-joins a row depends on the first run of that row, so row numbers come from one streaming pass over
-sorted pages that holds a single row at a time; everything after that is windows and aggregates.
+Input is ``runs(doc_id, page_no, page_width, run_no, str, x, y, width, height)``.  One shuffle gathers
+the runs of a page into one sorted array; everything else happens inside that row.  A first fold moves
+down the page with the row's anchor (its first run) and numbers the rows, a second one goes along
+the rows and puts segments together.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.dates import is_date_like
-from ..functions.text import trim_all
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+from ..functions.folds import fold_in_blocks
+from ..functions.text import let, trim_all
 
-_ROWS = (
-    "doc_id bigint, page_no int, page_width double, row_no int, str string, x double, width double, ord int, "
-    "row_start double, row_end double"
-)
+ROWS = "array<struct<row_no:int,segments:array<string>,start:double,stop:double>>"
 
 
 def all_pages(runs: DataFrame) -> DataFrame:
@@ -33,86 +25,108 @@ def all_pages(runs: DataFrame) -> DataFrame:
     return runs.withColumn("page_width", width)
 
 
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of runs from pages sorted by (document, page, y down, x): one pass, one row in memory.
+def _typed_runs(runs: DataFrame) -> DataFrame:
+    """``(doc_id, page_no, page_width, run)``; ``run`` is NULL without any ink, its numbers are doubles."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    run = F.struct((-number("y")).alias("down"), number("x"), F.col("run_no").cast("int").alias("run_no"), "str", number("width"), number("height"))
+    return all_pages(runs).select(
+        "doc_id", F.col("page_no").cast("int").alias("page_no"), F.col("page_width").cast("double").alias("page_width"),
+        F.when(trim_all(F.col("str")) != "", run).alias("run"),
+    )
+
+
+def number_rows(runs: Column) -> Column:
+    """Row numbers of runs sorted down the page and to the right.
 
-    Each finished row is ordered by x and loses runs drawn twice (same text less than two units
-    from the run kept before it).
+    A run belongs to the row while it is close enough to that row's first run; half of the taller of the two counts, two
+    units at least, and runs without a height count as ten high.
     """
-    key, row_no, anchor_y, anchor_h, row = None, -1, 0.0, 0.0, []
-    out: list[tuple] = []
-
-    def close() -> None:
-        if not row:
-            return
-        start, end = min(r[1] for r in row), max(r[1] + r[2] for r in row)
-        kept = None
-        for text, x, width, page_width in sorted(row, key=lambda r: r[1]):
-            if kept is not None and kept[0] == text and abs(x - kept[1]) < 2:
-                continue
-            kept = (text, x)
-            out.append((*key, page_width, row_no, text, x, width, len(out), start, end))
-        row.clear()
-
-    names = [c.split()[0] for c in _ROWS.split(", ")]
-    for batch in batches:
-        columns = [batch[c].tolist() for c in ("doc_id", "page_no", "page_width", "str", "x", "y", "width", "height")]
-        for doc_id, page_no, page_width, text, x, y, width, height in zip(*columns):
-            tall = max(height or 10.0, anchor_h or 10.0)
-            new_page = key != (doc_id, page_no)
-            if new_page or abs(anchor_y - y) > max(2.0, 0.5 * tall):
-                close()
-                row_no = 0 if new_page else row_no + 1
-                key, anchor_y, anchor_h = (doc_id, page_no), y, height
-            row.append((text, x, width, page_width))
-        yield pd.DataFrame(out, columns=names)
-        out.clear()
-    close()
-    yield pd.DataFrame(out, columns=names)
-
-
-def page_rows(runs: DataFrame) -> DataFrame:
-    """Runs with ``row_no``, duplicates of the previous kept run removed."""
-    solid = all_pages(runs).filter(trim_all(F.col("str")) != "").select(
-        F.col("doc_id").cast("bigint"), F.col("page_no").cast("int"), F.col("page_width").cast("double"),
-        F.col("run_no").cast("int"), "str", *[F.col(n).cast("double") for n in ("x", "y", "width", "height")],
+    tall = lambda h: F.when(h == 0, 10.0).otherwise(h)
+
+    def step(state: Column, run: Column) -> Column:
+        reach = F.greatest(F.lit(2.0), F.greatest(tall(run["height"]), tall(state["height"])) * 0.5)
+        stays = (state["row_no"] >= 0) & (F.abs(state["down"] - run["down"]) <= reach)
+        return let(stays, lambda same: F.struct(
+            F.when(same, state).otherwise(F.struct((state["row_no"] + 1).alias("row_no"), run["down"].alias("down"), run["height"].alias("height"))).alias("state"),
+            F.array(F.when(same, state["row_no"]).otherwise(state["row_no"] + 1)).alias("out"),
+        ))
+
+    begin = F.struct(F.lit(-1).alias("row_no"), F.lit(0.0).alias("down"), F.lit(0.0).alias("height"))
+    return fold_in_blocks(runs, begin, "array<int>", step)["out"]
+
+
+def _row_parts(runs: Column, page_width: Column) -> Column:
+    """One entry per row, ``struct<row_no, segments, start, stop>``, from runs sorted by row and x.
+
+    The same text less than two units right of the run kept before it is that run drawn twice.  A gap over 6 % of the
+    page ends a segment, one over a fifth of a character is a space.
+    """
+    nothing = F.array().cast("array<string>")
+
+    def finished(state: Column) -> Column:
+        return F.struct(state["row_no"].alias("row_no"), F.concat(state["segments"], F.array(state["text"])).alias("segments"), state["start"].alias("start"), state["stop"].alias("stop"))
+
+    def moved(state: Column, run: Column, segments: Column, text: Column) -> Column:
+        return F.struct(
+            run["row_no"].alias("row_no"), segments.alias("segments"), text.alias("text"), run["str"].alias("str"), run["x"].alias("x"), run["width"].alias("width"),
+            state["start"].alias("start"), F.greatest(state["stop"], run["x"] + run["width"]).alias("stop"),
+        )
+
+    def along(state: Column, run: Column) -> Column:
+        gap = run["x"] - (state["x"] + state["width"])
+        character = state["width"] / F.greatest(F.length(state["str"]), F.lit(1))
+        spaced = (gap > character * 0.2) & ~state["text"].endswith(" ") & ~run["str"].startswith(" ")
+        return (
+            F.when((run["str"] == state["str"]) & (F.abs(run["x"] - state["x"]) < 2), state.withField("stop", F.greatest(state["stop"], run["x"] + run["width"])))
+            .when(gap > page_width * 0.06, moved(state, run, F.concat(state["segments"], F.array(state["text"])), run["str"]))
+            .otherwise(moved(state, run, state["segments"], F.concat(state["text"], F.when(spaced, " ").otherwise(""), run["str"])))
+        )
+
+    def fresh(run: Column) -> Column:
+        return F.struct(
+            run["row_no"].alias("row_no"), nothing.alias("segments"), run["str"].alias("text"), run["str"].alias("str"), run["x"].alias("x"), run["width"].alias("width"),
+            run["x"].alias("start"), (run["x"] + run["width"]).alias("stop"),
+        )
+
+    def step(state: Column, run: Column) -> Column:
+        same = state["row_no"] == run["row_no"]
+        ended = F.when(same | (state["row_no"] < 0), F.array().cast(ROWS)).otherwise(F.array(finished(state)))
+        return F.struct(F.when(same, along(state, run)).otherwise(fresh(run)).alias("state"), ended.alias("out"))
+
+    none = F.struct(F.lit(-1).alias("row_no"), F.lit("").alias("str"), F.lit(0.0).alias("x"), F.lit(0.0).alias("width"))
+    return let(fold_in_blocks(runs, fresh(none), ROWS, step), lambda r: F.concat(r["out"], F.array(finished(r["state"]))))
+
+
+def _line(row: Column, page_width: Column) -> Column:
+    """A row's line and flags."""
+    clean = F.filter(F.transform(row["segments"], trim_all), lambda t: t != "")
+
+    def flags(segs: Column) -> Column:
+        first, last = F.get(segs, F.lit(0)), F.get(segs, F.size(segs) - 1)
+        split_line = (F.size(segs) >= 2) & (_word_count(first) >= 3) & (_word_count(last) >= 3) & ~is_date_like(last)
+        middle = F.abs((row["start"] + row["stop"]) / 2 - page_width / 2)
+        right = (row["start"] > page_width * 0.4) & ~(middle < page_width * 0.08)
+        return F.struct(
+            row["row_no"].alias("row_no"), F.array_join(segs, "\t").alias("line"),
+            F.coalesce(split_line, F.lit(False)).alias("split_line"), right.alias("right_start"),
+        )
+
+    return let(clean, flags)
+
+
+def page_table(runs: DataFrame) -> DataFrame:
+    """``(doc_id, page_no, lines)``, one row per page; one shuffle, of the runs by page."""
+    pages = _typed_runs(runs).groupBy("doc_id", "page_no").agg(F.max("page_width").alias("page_width"), F.array_sort(F.collect_list("run")).alias("runs"))
+    numbered = F.zip_with("runs", number_rows(F.col("runs")), lambda r, n: F.struct(n.alias("row_no"), r["x"].alias("x"), r["down"].alias("down"), r["run_no"].alias("run_no"), r["str"].alias("str"), r["width"].alias("width")))
+    rows = F.when(F.size("runs") > 0, _row_parts(F.array_sort(numbered), F.col("page_width"))).otherwise(F.array().cast(ROWS))
+    return pages.select("doc_id", "page_no", "page_width", rows.alias("rows")).select(
+        "doc_id", "page_no", F.transform("rows", lambda r: _line(r, F.col("page_width"))).alias("lines")
     )
-    pages = solid.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", F.desc("y"), "x", "run_no")
-    return pages.mapInPandas(_anchor_rows, _ROWS)
 
 
 def page_lines(runs: DataFrame) -> DataFrame:
     """``(doc_id, page_no, row_no, line, split_line, right_start)``."""
-    row = Window.partitionBy("doc_id", "page_no", "row_no").orderBy("ord")
-    rows = page_rows(runs)
-    prev = lambda c: F.lag(c).over(row)
-    gap = F.col("x") - (prev("x") + prev("width"))
-    char = prev("width") / F.greatest(F.length(prev("str")), F.lit(1))
-    far = gap > F.col("page_width") * 0.06
-    spaced = (gap > char * 0.2) & ~prev("str").endswith(" ") & ~F.col("str").startswith(" ")
-    marked = rows.select(
-        "*", F.when(F.coalesce(far, F.lit(False)), 1).otherwise(0).alias("new_seg"),
-        F.when(F.coalesce(~far & spaced, F.lit(False)), F.concat(F.lit(" "), F.col("str"))).otherwise(F.col("str")).alias("piece"),
-    ).withColumn("seg", F.sum("new_seg").over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    keys = ["doc_id", "page_no", "row_no"]
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda p: p["piece"]), "")
-    segments = marked.groupBy(*keys, "seg").agg(
-        trim_all(joined).alias("text"), F.first("page_width").alias("page_width"),
-        F.first("row_start").alias("row_start"), F.first("row_end").alias("row_end"),
-    )
-    solid = lambda c: F.when(F.col("text") != "", c)
-    per_row = segments.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(solid(F.struct("seg", "text")))), lambda s: s["text"]).alias("segs"),
-        F.first("page_width").alias("page_width"), F.first("row_start").alias("row_start"), F.first("row_end").alias("row_end"),
-    )
-    first, last = F.get("segs", F.lit(0)), F.get("segs", F.size("segs") - 1)
-    split_line = (F.size("segs") >= 2) & (_word_count(first) >= 3) & (_word_count(last) >= 3) & ~is_date_like(last)
-    middle = F.abs((F.col("row_start") + F.col("row_end")) / 2 - F.col("page_width") / 2)
-    right = (F.col("row_start") > F.col("page_width") * 0.4) & ~(middle < F.col("page_width") * 0.08)
-    return per_row.select(
-        *keys, F.array_join("segs", "\t").alias("line"),
-        F.coalesce(split_line, F.lit(False)).alias("split_line"), right.alias("right_start"),
-    )
+    return page_table(runs).select("doc_id", "page_no", F.inline("lines"))
 
 
 def _word_count(text: Column) -> Column:
@@ -124,8 +138,12 @@ def multi_column(lines: DataFrame) -> DataFrame:
     agg = lines.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.count_if("split_line").alias("split_lines"), F.count_if("right_start").alias("right_lines")
     )
+    return agg.withColumn("columns", _columns())
+
+
+def _columns() -> Column:
     many = lambda n: (F.col(n) >= 5) & (F.col(n) / F.col("n_lines") >= 0.25)
-    return agg.withColumn("columns", (F.col("n_lines") >= 8) & (many("split_lines") | many("right_lines")))
+    return (F.col("n_lines") >= 8) & (many("split_lines") | many("right_lines"))
 
 
 def run_documents(runs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -133,15 +151,17 @@ def run_documents(runs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 
     ``pages(doc_id, page_count)`` gives true page counts; by default the highest page number seen.
     """
-    counts = pages if pages is not None else runs.groupBy("doc_id").agg(F.max("page_no").cast("int").alias("page_count"))
-    lines = page_lines(runs)
-    page_text = lines.groupBy("doc_id", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda p: p["line"]), "\n").alias("t")
-    )
-    text = page_text.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "t"))), lambda p: p["t"]), "\n\n").alias("text")
+    many = lambda flag: F.size(F.filter("lines", lambda l: l[flag]))
+    page = F.when(F.size("lines") > 0, F.struct("page_no", F.array_join(F.transform("lines", lambda l: l["line"]), "\n").alias("text")))
+    read = page_table(runs).select(
+        "doc_id", "page_no", page.alias("page"), F.size("lines").alias("n_lines"), many("split_line").alias("split_lines"), many("right_start").alias("right_lines")
     )
-    full = counts.join(text, "doc_id", "left").join(multi_column(lines), "doc_id", "left")
+    full = read.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p["text"]), "\n\n").alias("text"),
+        F.max("page_no").alias("page_count"), *(F.sum(c).alias(c) for c in ("n_lines", "split_lines", "right_lines")),
+    ).withColumn("columns", _columns())
+    if pages is not None:
+        full = pages.join(full.drop("page_count"), "doc_id", "left")
     return full.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("header_footer_text"),
         F.struct(

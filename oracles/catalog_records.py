@@ -121,17 +121,24 @@ _DATE_LIKE = lambda x: (
     f"(length({x}) <= 40 AND len({_DATE_TOKENS.format(x=x)}) > 0 AND len(list_filter({_DATE_TOKENS.format(x=x)}, lambda t: NOT (regexp_full_match(t, '\\d{{1,4}}') "
     f"OR t IN {S.in_list(fv.ONGOING_WORDS)} OR (length(t) <= 9 AND regexp_matches(t, '^({'|'.join(fv.MONTH_PREFIXES)})'))))) = 0)"
 )
+_TALL = "(CASE WHEN {0}.height = 0 THEN 10.0 ELSE {0}.height END)"
 _RUN_CTES = [
     ("runs", fx.SYNTH_RUNS),
-    ("kept", """SELECT *, CAST(round((700 - y) / 20) AS INTEGER) AS row_no, MIN(x) OVER r AS x0, MAX(x + width) OVER r AS x1 FROM runs
-        WHERE page_no <= 10 WINDOW r AS (PARTITION BY doc_id, page_no, CAST(round((700 - y) / 20) AS INTEGER))"""),
+    ("paged", """SELECT doc_id, page_no, list({'str': str, 'x': x, 'y': y, 'width': width, 'height': height, 'run_no': run_no} ORDER BY y DESC, x, run_no) AS rs
+        FROM runs GROUP BY doc_id, page_no"""),
+    ("numbered", f"""SELECT doc_id, page_no, unnest(rs) AS r, unnest(list_reduce(rs, lambda a, r: CASE
+          WHEN a.n >= 0 AND abs(a.y - r.y) <= greatest(2.0, 0.5 * greatest({_TALL.format('r')}, {_TALL.format('a')})) THEN {{'n': a.n, 'y': a.y, 'height': a.height, 'rows': list_append(a.rows, a.n)}}
+          ELSE {{'n': a.n + 1, 'y': r.y, 'height': r.height, 'rows': list_append(a.rows, a.n + 1)}} END,
+        {{'n': -1, 'y': CAST(0 AS DOUBLE), 'height': CAST(0 AS DOUBLE), 'rows': []::INTEGER[]}}).rows) AS row_no FROM paged"""),
+    ("kept", """SELECT *, MIN(x) OVER r AS x0, MAX(x + width) OVER r AS x1 FROM (SELECT doc_id, page_no, row_no, r.str AS str, r.x AS x, r.y AS y, r.width AS width, r.run_no AS run_no FROM numbered) f
+        WINDOW r AS (PARTITION BY doc_id, page_no, row_no)"""),
     ("seen", """SELECT *, COALESCE(LAG(str) OVER w = str AND x - LAG(x) OVER w < 2, false) AS again FROM kept
-        WINDOW w AS (PARTITION BY doc_id, page_no, row_no ORDER BY x)"""),
+        WINDOW w AS (PARTITION BY doc_id, page_no, row_no ORDER BY x, y DESC, run_no)"""),
     ("gaps", """SELECT *, x - (LAG(x) OVER w + LAG(width) OVER w) AS gap, LAG(width) OVER w / LAG(length(str)) OVER w AS cw
-        FROM seen WHERE NOT again WINDOW w AS (PARTITION BY doc_id, page_no, row_no ORDER BY x)"""),
-    ("segs", """SELECT *, SUM(CASE WHEN gap > 36 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, row_no ORDER BY x) AS seg,
+        FROM seen WHERE NOT again WINDOW w AS (PARTITION BY doc_id, page_no, row_no ORDER BY x, y DESC, run_no)"""),
+    ("segs", """SELECT *, SUM(CASE WHEN gap > 36 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, row_no ORDER BY x, y DESC, run_no) AS seg,
         CASE WHEN gap <= 36 AND gap > cw * 0.2 THEN ' ' ELSE '' END || str AS piece FROM gaps"""),
-    ("segtext", """SELECT doc_id, page_no, row_no, seg, trim(string_agg(piece, '' ORDER BY x)) AS t, MIN(x0) AS x0, MAX(x1) AS x1 FROM segs GROUP BY ALL"""),
+    ("segtext", """SELECT doc_id, page_no, row_no, seg, trim(string_agg(piece, '' ORDER BY x, y DESC, run_no)) AS t, MIN(x0) AS x0, MAX(x1) AS x1 FROM segs GROUP BY ALL"""),
     ("plines", f"""SELECT doc_id, page_no, row_no, string_agg(t, {TAB} ORDER BY seg) AS line, COUNT(*) >= 2
           AND len(string_split(arg_min(t, seg), ' ')) >= 3 AND len(string_split(arg_max(t, seg), ' ')) >= 3 AND NOT {_DATE_LIKE('arg_max(t, seg)')} AS split_line,
         MIN(x0) > 240 AND NOT abs((MIN(x0) + MAX(x1)) / 2 - 300) < 48 AS right_start FROM segtext GROUP BY doc_id, page_no, row_no"""),

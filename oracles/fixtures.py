@@ -183,7 +183,9 @@ WHERE CASE part_no WHEN 0 THEN bal > -800 WHEN 1 THEN bal < 9500 WHEN 2 THEN bal
         WHEN 4 THEN segment <> 'BUILDING' WHEN 5 THEN segment = 'MACHINERY' ELSE segment = 'MACHINERY' AND bal > 5000 END
 """
 
-# ---- positioned page runs: one "document" per customer, one row of runs per order ---------
+# ---- positioned page runs: one "document" per customer, one row of runs per order; the baseline
+# ---- of every sixth document drifts down along its rows
+
 SYNTH_RUNS = """
 SELECT r.doc_id, r.page_no, 600.0 AS page_width, CAST(r.line_no * 10 + r.run_no AS INT) AS run_no,
        CASE r.run_no
@@ -194,7 +196,7 @@ SELECT r.doc_id, r.page_no, 600.0 AS page_width, CAST(r.line_no * 10 + r.run_no
          ELSE concat('Order of ', r.status) END AS str,
        CAST(CASE WHEN r.doc_id % 5 = 4 AND r.line_no % 2 = 0 THEN 280.0 ELSE 0.0 END
             + CASE r.run_no WHEN 0 THEN 20.0 WHEN 1 THEN CASE WHEN r.doc_id % 4 = 0 THEN 84.5 ELSE 88.0 END WHEN 2 THEN 400.0 WHEN 3 THEN 520.5 ELSE 20.5 END AS DOUBLE) AS x,
-       CAST(700.0 - 20.0 * r.line_no + CASE WHEN r.run_no = 3 THEN 3.0 WHEN r.run_no = 1 THEN -1.5 ELSE 0.0 END AS DOUBLE) AS y,
+       CAST(700.0 - 20.0 * r.line_no - CASE WHEN r.doc_id % 6 = 5 THEN 4.0 * r.run_no ELSE 0.0 END + CASE WHEN r.run_no = 3 THEN 3.0 WHEN r.run_no = 1 THEN -1.5 ELSE 0.0 END AS DOUBLE) AS y,
        CAST(CASE r.run_no WHEN 0 THEN 64.0 WHEN 1 THEN 120.0 WHEN 2 THEN 120.0 WHEN 3 THEN 8.0 ELSE 64.0 END AS DOUBLE) AS width,
        CAST(CASE WHEN r.run_no = 3 THEN 6.0 WHEN r.doc_id % 7 = 0 THEN 0.0 ELSE 10.0 END AS DOUBLE) AS height
 FROM (SELECT b.*, unnest(range(0, 5)) AS run_no FROM (SELECT o_custkey AS doc_id, 1 + CAST(floor((ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) / 5.0) AS INT) AS page_no,
