@@ -23,7 +23,7 @@ MAX_TERM_WEIGHT = 4.0
 STUFFING_COUNT, STUFFING_SHARE, STUFFING_PENALTY, STUFFING_CAP = 10, 0.03, 10, 30
 SHORT_JOB_TOKENS = 40
 #: Copies of an ad's packed keywords; its pairs are dealt over them.
-SALTS = 16
+PAIRS_PER_COPY = 1 << 16
 
 
 # ---- K1 ---------------------------------------------------------------------------------
@@ -279,21 +279,39 @@ def document_terms(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
 
 
 # ---- K13-K16 ----------------------------------------------------------------------------
-def keyword_hits(pairs: DataFrame, keywords: DataFrame, terms: DataFrame, doc_words: DataFrame) -> DataFrame:
+def crowded_ads(pairs: DataFrame, per_copy: int = PAIRS_PER_COPY) -> DataFrame:
+    """``(job_id, copies)`` of ads with more than ``per_copy`` pairs; counts are added up in the tasks first."""
+    copies = F.ceil(F.count("*") / per_copy).cast("int")
+    return pairs.groupBy("job_id").agg(copies.alias("copies")).filter("copies > 1")
+
+
+def deal_pairs(pairs: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Pairs with the ``copy`` of their ad they meet: 0, or one of as many as the ad is crowded."""
+    dealt = pairs.join(crowded, "job_id", "left")
+    return dealt.withColumn("copy", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("copies"))).cast("int")).drop("copies")
+
+
+def copy_ads(ads: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows of ads, once for each copy that :func:`deal_pairs` sends pairs to."""
+    known = ads.join(crowded, "job_id", "left")
+    return known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+
+
+def keyword_hits(pairs: DataFrame, keywords: DataFrame, terms: DataFrame, doc_words: DataFrame, per_copy: int = PAIRS_PER_COPY) -> DataFrame:
     """One row per (document, job, keyword) with its count and flags.
 
     ``doc_words`` is ``(doc_id, words)``.  A pair listed twice counts once.  Keywords travel packed,
-    one row per ad (at most 32 keywords), in ``SALTS`` copies, so the pairs of a popular ad are
-    spread over that many tasks.
+    one row per ad (at most 32 keywords); a crowded ad travels in copies, one for each ``per_copy`` of its
+    pairs, so these are spread over that many tasks.
     """
     packed = keywords.groupBy("job_id").agg(
         F.collect_list(F.struct("rank", "kind", "term", "key", "weight", "milli")).alias("kws")
     )
-    copies = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pairs.select("doc_id", "job_id").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    distinct = pairs.select("doc_id", "job_id").filter("job_id IS NOT NULL").distinct()
+    crowded = crowded_ads(distinct, per_copy)
     wanted = (
-        salted.join(doc_words, "doc_id")
-        .join(copies, ["job_id", "salt"])
+        deal_pairs(distinct.join(doc_words, "doc_id"), crowded)
+        .join(copy_ads(packed, crowded), ["job_id", "copy"])
         .select("doc_id", "job_id", "words", F.inline("kws"))
     )
     joined = wanted.join(terms, ["doc_id", "kind", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

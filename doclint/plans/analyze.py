@@ -1,7 +1,8 @@
 """Batch plans: documents (and job ads) in, features, scores and findings out.
 
 Everything about one document is a narrow projection over its row; the only shuffles are the
-joins of pairs with documents and ads and the aggregation of keyword hits per pair.
+joins of pairs with documents and ads and the aggregation of keyword hits per pair.  Documents without
+an ad take a branch of their own, so no exchange carries a missing ad.
 """
 
 from __future__ import annotations
@@ -122,6 +123,17 @@ def score_documents(features: DataFrame) -> DataFrame:
     )
 
 
+def unpaired_results(scored: DataFrame) -> DataFrame:
+    """Results of documents without any ad."""
+    return scored.select(
+        "doc_id", F.lit(None).cast("bigint").alias("job_id"), F.col("base_score").alias("score"),
+        "parseability_score", "sections_score", "contact_score", "content_score",
+        F.lit(None).cast("int").alias("keywords_score"), "lang", F.lit(None).cast("string").alias("job_lang"),
+        "words", "lines", "bullets", sc.sort_findings(F.col("findings")).alias("findings"),
+        F.lit(None).cast("array<string>").alias("matched"), F.lit(None).cast("array<string>").alias("missing"),
+    )
+
+
 @dataclass
 class Analysis:
     """Result tables of :func:`analyze`."""
@@ -153,36 +165,26 @@ def analyze(
     normalized = cut(with_tokens(normalize_documents(docs)), "documents_normalized")
     scored = cut(score_documents(document_features(normalized, lexicon)), "documents_scored")
     if jobs is None or pairs is None:
-        results = scored.select(
-            "doc_id", F.lit(None).cast("bigint").alias("job_id"), F.col("base_score").alias("score"),
-            "parseability_score", "sections_score", "contact_score", "content_score",
-            F.lit(None).cast("int").alias("keywords_score"), "lang", F.lit(None).cast("string").alias("job_lang"),
-            "words", "lines", "bullets", sc.sort_findings(F.col("findings")).alias("findings"),
-            F.lit(None).cast("array<string>").alias("matched"), F.lit(None).cast("array<string>").alias("missing"),
-        )
+        results = cut(unpaired_results(scored), "results")
         return Analysis(results, None, None, scored)
 
     ads = jobs.select("job_id", normalize_text(F.col("text")).alias("text"))
     job_kw = cut(kw.job_keywords(ads, lexicon), "job_keywords")
     job_info = kw.job_summary(ads, detect_language(F.col("text"), F.col("padded"), lexicon))
     ready = scored.filter(sc.readable()).select("doc_id", "words")
-    wanted_pairs = pairs.select("doc_id", "job_id").distinct()
+    wanted_pairs = pairs.select("doc_id", "job_id").dropna().distinct()
     hits = cut(
         kw.keyword_hits(
             wanted_pairs, job_kw, kw.document_terms(normalized, lexicon), ready
         ),
         "keyword_hits",
     )
-    matches = kw.match_scores(hits)
-    paired = wanted_pairs.join(scored, "doc_id")
-    alone = scored.join(wanted_pairs, "doc_id", "left_anti").withColumn("job_id", F.lit(None).cast("bigint"))
-    rows = (
-        paired.unionByName(alone)
-        .join(job_info, "job_id", "left")
-        .join(matches, ["doc_id", "job_id"], "left")
-    )
+    # small rows first: pairs meet their match, then the facts of their ad; documents with their findings come last
+    crowded = kw.crowded_ads(wanted_pairs)
+    matched = kw.deal_pairs(wanted_pairs.join(kw.match_scores(hits), ["doc_id", "job_id"], "left"), crowded)
+    paired = matched.join(kw.copy_ads(job_info, crowded), ["job_id", "copy"], "left").drop("copy").join(scored, "doc_id")
     keyword = F.when(sc.readable(), F.col("keyword_score"))
-    results = rows.select(
+    results = paired.select(
         "doc_id", "job_id",
         F.when(sc.readable(), sc.total_points(keyword)).otherwise(0).alias("score"),
         "parseability_score", "sections_score", "contact_score", "content_score",
@@ -190,4 +192,6 @@ def analyze(
         sc.sort_findings(F.concat("findings", sc.pair_findings())).alias("findings"),
         "matched", "missing",
     )
+    alone = scored.join(wanted_pairs.select("doc_id").distinct(), "doc_id", "left_anti")
+    results = cut(results.unionByName(unpaired_results(alone)), "results")
     return Analysis(results, hits, job_kw, scored)

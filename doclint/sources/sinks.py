@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.resume import valid_resumes
 from ..operators.scoring import params_text
+from ..plans.analyze import analyze
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -35,14 +36,61 @@ def table_cut(spark: SparkSession, folder: str | None = None):
     return cut
 
 
+class StageTables:
+    """A ``cut`` that writes stages as tables, and the tables' entries in the catalog while it is open.
+
+    A stage with documents is bucketed and sorted by ``doc_id``: whatever joins or groups it by document afterwards reads
+    it without another shuffle.  Files land in the shared folder; a local session without one uses the warehouse.
+
+        with StageTables(spark) as stages:
+            write_analysis(analyze(docs, jobs, pairs, cut=stages.cut), folder)
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark, self.run = spark, f"doclint_{uuid.uuid4().hex}"
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names: list[str] = []
+
+    def __enter__(self) -> StageTables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names.clear()
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        table = f"{self.run}_{name}"
+        writer = df.write.format("parquet")
+        if "doc_id" in df.columns:
+            # one task writes one bucket, so a bucket is one file
+            writer = df.repartition(self.buckets, "doc_id").write.format("parquet").bucketBy(self.buckets, "doc_id").sortBy("doc_id")
+        base = shared_folder(self.spark)
+        if base is not None:
+            writer = writer.option("path", f"{base.rstrip('/')}/{table}")
+        self.names.append(table)
+        writer.saveAsTable(table)
+        return self.spark.table(table)
+
+
 def write_analysis(analysis, folder: str, mode: str = "overwrite") -> None:
-    """O1: scores, findings and keyword hits as tables."""
+    """O1: scores, findings and keyword hits as tables.
+
+    Each output reads ``analysis.results`` or ``analysis.keyword_hits``; made with :class:`StageTables` these are written
+    stages, so one computation feeds them all.
+    """
     analysis.results.drop("findings").write.mode(mode).parquet(f"{folder}/scores")
     analysis.findings().write.mode(mode).parquet(f"{folder}/findings")
     if analysis.keyword_hits is not None:
         analysis.keyword_hits.write.mode(mode).parquet(f"{folder}/keyword_hits")
 
 
+def run_analysis(docs: DataFrame, jobs: DataFrame | None, pairs: DataFrame | None, folder: str, **options) -> None:
+    """O1 from the inputs: the analysis runs once, stage by stage, and its outputs are read off the stages."""
+    with StageTables(docs.sparkSession) as stages:
+        write_analysis(analyze(docs, jobs, pairs, cut=stages.cut, **options), folder)
+
+
 def write_documents(normalized: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """O2: the text a parser reads."""
     normalized.select("doc_id", "text").write.mode(mode).parquet(f"{folder}/documents_normalized")

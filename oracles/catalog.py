@@ -433,8 +433,12 @@ def _scored(spark, d):
     return an.score_documents(an.document_features(resumes(spark, d)))
 
 
+def pair_inputs(spark, d):
+    return fx.resume_documents(spark, d), fx.spark_view(spark, d, "synth_jobs"), fx.spark_view(spark, d, "synth_pairs")
+
+
 def analysis(spark, d):
-    return an.analyze(fx.resume_documents(spark, d), fx.spark_view(spark, d, "synth_jobs"), fx.spark_view(spark, d, "synth_pairs"))
+    return an.analyze(*pair_inputs(spark, d))
 
 
 for _name in ("parseability", "contact", "content"):

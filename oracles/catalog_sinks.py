@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from doclint.sources import sinks
 
 from . import catalog_records as records
-from .catalog import ORACLES, QUERIES, analysis, big, documents, query
+from .catalog import ORACLES, QUERIES, big, documents, pair, pair_inputs, query
 
 
 def _folder(spark) -> str:
@@ -23,21 +23,29 @@ def _folder(spark) -> str:
     return f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
 
 
+def _written(spark, d) -> str:
+    """The folder of an analysis of all pairs: computed once, read by every output."""
+    folder = _folder(spark)
+    sinks.run_analysis(*pair_inputs(spark, d), folder)
+    return folder
+
+
 @query("sink_scores", ORACLES["total_score"])
 def _(spark, d):
-    folder = _folder(spark)
-    sinks.write_analysis(analysis(spark, d), folder)
-    return spark.read.parquet(f"{folder}/scores").select("doc_id", "job_id", *big("score", "keywords_score"), "lang", "job_lang")
+    return spark.read.parquet(f"{_written(spark, d)}/scores").select("doc_id", "job_id", *big("score", "keywords_score"), "lang", "job_lang")
 
 
 @query("sink_findings", ORACLES["findings_sorted"])
 def _(spark, d):
-    folder = _folder(spark)
-    sinks.write_analysis(analysis(spark, d), folder)
-    rows = sinks.flat_findings(spark.read.parquet(f"{folder}/findings"))
+    rows = sinks.flat_findings(spark.read.parquet(f"{_written(spark, d)}/findings"))
     return rows.select("doc_id", "job_id", F.col("pos").cast("bigint").alias("pos"), "id", "severity", "category", "params")
 
 
+@query("sink_keyword_hits", pair("SELECT doc_id, job_id, term, CAST(n AS BIGINT) AS n, matched, stuffed FROM hits"))
+def _(spark, d):
+    return spark.read.parquet(f"{_written(spark, d)}/keyword_hits").select("doc_id", "job_id", "term", *big("n"), "matched", "stuffed")
+
+
 @query("sink_documents", ORACLES["normalize_text"])
 def _(spark, d):
     folder = _folder(spark)
