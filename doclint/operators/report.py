@@ -1,85 +1,65 @@
 """Localised messages and Markdown reports.
 
-Message texts are a replaceable table ``messages(locale, id, template)``; its size is fixed by
-the closed set of finding ids, so it is broadcast.
+Message templates are a map literal of the closed set of finding ids: a finding is rendered inside its
+row, and a report is put together from the row's own findings, without any join or shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.lexicon import sql_text
 from ..functions.text import let
 from .messages import LABELS, MESSAGES
 from .scoring import band
 
 
-def messages(spark: SparkSession) -> DataFrame:
-    """``(locale, id, template)``."""
-    rows = [(locale, key, text) for locale, texts in MESSAGES.items() for key, text in texts.items()]
-    return spark.createDataFrame(rows, "locale STRING, id STRING, template STRING")
+def _lookup(texts: dict[str, str], key: Column) -> Column:
+    """The text of a key, NULL for an unknown one."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in texts.items() for x in pair)), key)
 
 
-def _label(kind: str, locale: str, value: str) -> str:
-    """SQL text that localises one value; unknown values are shown as they are."""
-    arms = " ".join(f"WHEN {value} = {sql_text(k)} THEN {sql_text(v)}" for k, v in LABELS[locale][kind].items())
-    return f"(CASE {arms} ELSE {value} END)"
+def _label(kind: str, locale: str, value: Column) -> Column:
+    """A localised value; unknown values are shown as they are."""
+    return F.coalesce(_lookup(LABELS[locale][kind], value), value)
 
 
-def _localised(locale: str) -> str:
-    each = lambda kind: f"array_join(transform(split(v, ','), x -> {_label(kind, locale, 'x')}), ', ')"
+def _localised(name: Column, value: Column, locale: str) -> Column:
+    each = lambda kind: F.array_join(F.transform(F.split(value, ","), lambda x: _label(kind, locale, x)), ", ")
     return (
-        f"CASE WHEN k = 'sections' THEN {each('sections')} WHEN k = 'items' THEN {each('personal')} "
-        f"WHEN k IN ('section', 'suggestion') THEN {_label('sections', locale, 'v')} "
-        f"WHEN k IN ('resume', 'job') THEN {_label('languages', locale, 'v')} ELSE v END"
+        F.when(name == "sections", each("sections")).when(name == "items", each("personal"))
+        .when(name.isin("section", "suggestion"), _label("sections", locale, value))
+        .when(name.isin("resume", "job"), _label("languages", locale, value)).otherwise(value)
     )
 
 
-def render(template: str, params: str, locale: str) -> Column:
-    """F12 for two column names: one pass over the placeholders, values are never re-expanded."""
-    shown = F.expr(f"transform_values({params}, (k, v) -> {_localised(locale)})")
-    names = F.regexp_extract_all(F.col(template), F.lit(r"\{(\w+)\}"), F.lit(1))
+def message(finding_id: Column, params: Column, locale: str = "en", templates: dict[str, str] | None = None) -> Column:
+    """one pass over the template's placeholders; values are never expanded again, missing ones are empty."""
 
     def weave(s: Column) -> Column:
-        values = F.zip_with(
-            s["names"], F.array_repeat(s["shown"], F.size(s["names"])),
-            lambda n, m: F.coalesce(F.try_element_at(m, n), F.lit("")),
-        )
-        return F.array_join(F.zip_with(s["plain"], values, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        def value(name: Column) -> Column:
+            return F.coalesce(_localised(name, F.try_element_at(s["params"], name), locale), F.lit(""))
+
+        plain, names = F.split(s["template"], r"\{\w+\}"), F.regexp_extract_all(s["template"], F.lit(r"\{(\w+)\}"), F.lit(1))
+        return F.array_join(F.zip_with(plain, F.transform(names, value), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    plain = F.split(F.col(template), r"\{\w+\}")
-    return let(F.struct(names.alias("names"), shown.alias("shown"), plain.alias("plain")), weave)
+    template = _lookup(templates or MESSAGES[locale], finding_id)
+    return let(F.struct(template.alias("template"), params.alias("params")), lambda s: F.when(s["template"].isNotNull(), weave(s)))
 
 
 def rendered_findings(findings: DataFrame, locale: str = "en") -> DataFrame:
     """adds ``message`` to ``(…, id, params)`` rows."""
-    catalogue = messages(findings.sparkSession).filter(F.col("locale") == locale).select("id", "template")
-    joined = findings.join(F.broadcast(catalogue), "id", "left")
-    return joined.withColumn("message", render("template", "params", locale)).drop("template")
+    return findings.withColumn("message", message(F.col("id"), F.col("params"), locale))
 
 
 def markdown_reports(results: DataFrame, locale: str = "en") -> DataFrame:
-    """``(doc_id, job_id, markdown)`` from analysis results.
-
-    Findings are unpacked to join their templates and packed again per (document, job).
-    """
+    """``(doc_id, job_id, markdown)`` from analysis results; a narrow projection."""
     t = LABELS[locale]
     r = t["report"]
-    found = results.select("doc_id", "job_id", F.posexplode_outer("findings").alias("pos", "f")).select("doc_id", "job_id", "pos", "f.*")
-    lines = rendered_findings(found, locale).withColumn(
-        "line", F.concat(F.lit("- ["), F.expr(_label("severity", locale, "severity")), F.lit("] "), F.col("message"))
-    )
-    ordered = lambda cond: F.transform(
-        F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "line")))), lambda x: x["line"]
-    )
-    packed = lines.groupBy("doc_id", "job_id").agg(
-        ordered(F.col("severity") != "pass").alias("issues"), ordered(F.col("severity") == "pass").alias("passes")
-    )
-    full = results.join(packed, (results["doc_id"] == packed["doc_id"]) & results["job_id"].eqNullSafe(packed["job_id"])).select(
-        results["*"], "issues", "passes"
-    )
+    line = lambda f: F.concat(F.lit("- ["), _label("severity", locale, f["severity"]), F.lit("] "), message(f["id"], f["params"], locale))
+    listed = lambda passed: F.transform(F.filter("findings", lambda f: (f["severity"] == "pass") == passed), line)
+    full = results.withColumns({"issues": listed(F.lit(False)), "passes": listed(F.lit(True)), "band": band(F.col("score"))})
     with_job = F.col("keywords_score").isNotNull()
 
     def weight(name: str) -> Column:
@@ -96,10 +76,10 @@ def markdown_reports(results: DataFrame, locale: str = "en") -> DataFrame:
     ]
     title = F.concat(
         F.lit(f"# {r['title']}: "), F.col("score").cast("string"), F.lit("/100 ("),
-        F.expr(_label("bands", locale, "band")), F.lit(")"),
+        _label("bands", locale, F.col("band")), F.lit(")"),
     )
     stats = F.concat(
-        F.expr(_label("languages", locale, "lang")), F.lit(" · "), F.col("words").cast("string"), F.lit(f" {r['words']} · {r['note']}")
+        _label("languages", locale, F.col("lang")), F.lit(" · "), F.col("words").cast("string"), F.lit(f" {r['words']} · {r['note']}")
     )
     none = F.array().cast("array<string>")
     block = lambda head, items: F.when(F.size(items) > 0, F.concat(F.array(F.lit(""), head, F.lit("")), items)).otherwise(none)
@@ -114,6 +94,6 @@ def markdown_reports(results: DataFrame, locale: str = "en") -> DataFrame:
         F.array(title, F.lit(""), stats, F.lit("")), F.array_compact(F.array(*categories)),
         block(F.lit(f"## {r['issues']}"), F.col("issues")), block(F.concat(F.lit("## "), n_passed), F.col("passes")), keywords,
     )
-    return full.withColumn("band", band(F.col("score"))).select(
+    return full.select(
         "doc_id", "job_id", F.concat(F.array_join(out, "\n"), F.lit("\n")).alias("markdown")
     )

@@ -45,11 +45,6 @@ def complete_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def non_blank(docs: DataFrame) -> DataFrame:
-    """Pasted text that is all blank is refused."""
-    return docs.filter(F.col("text").rlike(r"\S"))
-
-
 def normalize_documents(docs: DataFrame) -> DataFrame:
     """T1 on every document (O2: what a parser reads)."""
     return (

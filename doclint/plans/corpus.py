@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..operators.scoring import band
 
 
@@ -20,21 +21,33 @@ def rank_candidates(results: DataFrame, k: int = 10) -> DataFrame:
 
 
 def scorecard(results: DataFrame) -> DataFrame:
-    """Documents and mean score by language and band, with subtotals."""
-    rows = results.select("lang", band(F.col("score")).alias("band"), "score")
-    return rows.rollup("lang", "band").agg(
-        F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.grouping_id().alias("level")
+    """Rows with a score and mean score by language, band and category, with subtotals.
+
+    Categories are the five scores and the total.  ``level`` tells subtotals apart: the bits of ``lang``, ``band`` and
+    ``category``, set where the row is over all of them.
+    """
+    points = [*(F.col(f"{c}_score").alias(c) for c in fv.CATEGORIES), F.col("score").alias("total")]
+    named = results.select("lang", band(F.col("score")).alias("band"), *points).unpivot(["lang", "band"], [*fv.CATEGORIES, "total"], "category", "points")
+    sets = [["lang", "band", "category"], ["lang", "category"], ["band", "category"], ["category"]]
+    return named.groupingSets([[F.col(c) for c in s] for s in sets], "lang", "band", "category").agg(
+        F.count("points").alias("n"), F.round(F.avg("points"), 6).alias("mean_score"), F.grouping_id().alias("level")
     )
 
 
 def finding_prevalence(findings: DataFrame) -> DataFrame:
-    """Documents that carry each finding."""
-    once = findings.select("doc_id", "id", "severity").distinct()
-    return once.groupBy("id", "severity").agg(F.count("*").alias("documents"))
+    """Documents that carry each finding, and their share of all documents."""
+    by_id = findings.groupingSets([[F.col("id"), F.col("severity")], []], "id", "severity").agg(
+        F.count_distinct("doc_id").alias("documents"), F.grouping_id().alias("level")
+    )
+    # one row per finding id and severity, both closed sets
+    every = F.max(F.when(F.col("level") > 0, F.col("documents"))).over(Window.partitionBy(F.lit(0)))
+    shared = by_id.withColumn("share", F.round(F.col("documents") / every, 6))
+    return shared.filter("level = 0").drop("level")
 
 
 def skill_gap(hits: DataFrame) -> DataFrame:
-    """Per ad and keyword, how many of its documents lack it."""
+    """Per ad and keyword, how many of its documents lack it, and their share."""
+    lacking = F.count_if(~F.col("matched"))
     return hits.groupBy("job_id", "kind", "term").agg(
-        F.count("*").alias("documents"), F.count_if(~F.col("matched")).alias("lacking")
+        F.count("*").alias("documents"), lacking.alias("lacking"), F.round(lacking / F.count("*"), 6).alias("share")
     )

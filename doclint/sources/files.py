@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import normalize_text
+from ..functions.text import normalize_text, trim_all
 from ..plans.analyze import complete_documents
 
 # File signatures (hex) and extensions
@@ -41,11 +41,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if int(str(size)) < n * ROW_GROUP else df
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, content)``; the filter on the length reaches the scan, so an empty file's content is not read."""
-    found = spark.read.format("binaryFile").load(path)
-    full = found.filter("length > 0").select("path", "length", "content")
-    return full.unionByName(found.filter("length = 0").select("path", "length", F.lit(None).cast("binary").alias("content")))
+def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """``(path, length, content)`` of every file below ``path``.
+
+    Lengths are compared in the scan: the content of a file over ``max_bytes``, where the caller sets that, is never read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    full = found.select("path", "length", "content")
+    if max_bytes is not None:
+        large = found.filter(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+        full = full.filter(F.col("length") <= max_bytes).unionByName(large)
+    return full.unionByName(_empty_files(found))
+
+
+def _empty_files(found: DataFrame) -> DataFrame:
+    """Files that the scan passes over because they hold nothing, from the paths in its file index."""
+    spark = found.sparkSession
+    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string")
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # listed as URIs, scanned as paths
+    local = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = listed.select(local(plain).alias("path"))
+    empty = listed.join(found.select(local(F.col("path")).alias("path")), "path", "left_anti")
+    return empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("binary").alias("content"))
 
 
 def admit(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -54,6 +71,17 @@ def admit(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return files.withColumn("error_code", F.when(F.col("length") == 0, "empty_file").when(large, "too_large"))
 
 
+def scan(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Files below ``path``, admitted and classified: ``(path, length, content, format, error_code)``."""
+    return classify(admit(read_files(spark, path, max_bytes), max_bytes))
+
+
+def pasted(texts: DataFrame) -> DataFrame:
+    """Pasted or written texts; all-blank ones, of whatever kind of white space, carry ``empty_text``."""
+    blank = trim_all(F.coalesce("text", F.lit(""))) == ""
+    return texts.withColumn("error_code", F.when(blank, "empty_text"))
+
+
 def extension(path: Column) -> Column:
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     return F.lower(F.when(F.contains(name, F.lit(".")), F.regexp_extract(name, r"\.([^.]*)$", 1)).otherwise(""))

@@ -330,18 +330,26 @@ def _(spark, d):
     return cp.rank_candidates(analysis(spark, d).results).select("job_id", "doc_id", *big("score", "rank"))
 
 
-@query("scorecard_rollup", pair("""SELECT lang, band, COUNT(*) AS n, round(AVG(score), 6) AS mean_score, CAST(GROUPING(lang, band) AS BIGINT) AS level FROM (SELECT lang, score,
-    CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS band FROM totals) x GROUP BY ROLLUP (lang, band)"""))
+_CATEGORY_ROWS = " UNION ALL ".join(
+    f"SELECT lang, score, '{c}' AS category, {col} AS points FROM totals" for c, col in [*((c, "keyword_score" if c == "keywords" else f"{c}_score") for c in fv.CATEGORIES), ("total", "score")]
+)
+
+
+@query("scorecard_rollup", pair(f"""SELECT lang, band, category, COUNT(points) AS n, round(AVG(points), 6) AS mean_score, CAST(GROUPING(lang, band, category) AS BIGINT) AS level
+    FROM (SELECT lang, category, points, CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS band FROM ({_CATEGORY_ROWS}) c) x
+    GROUP BY GROUPING SETS ((lang, band, category), (lang, category), (band, category), (category))"""))
 def _(spark, d):
     return cp.scorecard(analysis(spark, d).results)
 
 
-@query("finding_prevalence", pair("SELECT id, severity, COUNT(DISTINCT doc_id) AS documents FROM allfind GROUP BY id, severity"))
+@query("finding_prevalence", pair("""SELECT id, severity, COUNT(DISTINCT doc_id) AS documents,
+    round(COUNT(DISTINCT doc_id) / CAST((SELECT COUNT(DISTINCT doc_id) FROM allfind) AS DOUBLE), 6) AS share FROM allfind GROUP BY id, severity"""))
 def _(spark, d):
     return cp.finding_prevalence(analysis(spark, d).findings())
 
 
-@query("skill_gap", pair("SELECT job_id, kind, term, COUNT(*) AS documents, COUNT(*) FILTER (WHERE NOT matched) AS lacking FROM hits GROUP BY job_id, kind, term"))
+@query("skill_gap", pair("""SELECT job_id, kind, term, COUNT(*) AS documents, COUNT(*) FILTER (WHERE NOT matched) AS lacking,
+    round(COUNT(*) FILTER (WHERE NOT matched) / CAST(COUNT(*) AS DOUBLE), 6) AS share FROM hits GROUP BY job_id, kind, term"""))
 def _(spark, d):
     return cp.skill_gap(_hits(spark, d))
 

@@ -1,4 +1,4 @@
-"""Queries that write an output, read it back and compare it with the statement of the table written."""
+"""Queries that write an output or an input and read it back: sinks (O1-O5, R6), the file scan (I1), the stream."""
 
 from __future__ import annotations
 
@@ -7,12 +7,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from doclint.operators.scoring import band
+from doclint.sources import files as fl
 from doclint.sources import sinks
+from doclint.streaming import incremental as inc
 
 from . import catalog_records as records
+from . import fixtures as fx
 from .catalog import ORACLES, QUERIES, big, documents, pair, pair_inputs, query
 
 
+NL = "chr(10)"
+
+
 def _folder(spark) -> str:
     """A new folder in the shared one; a local session without any uses a temporary folder."""
     base = sinks.shared_folder(spark)
@@ -75,3 +82,51 @@ def _(spark, d):
     folder = _folder(spark)
     sinks.write_quarantine(records._imported(spark, d).filter("error_code IS NOT NULL").select("doc_id", "error_code"), folder)
     return spark.read.parquet(f"{folder}/quarantine")
+
+
+# ---- scans of written files -----------------------------------------------------------------
+MOST_BYTES = 900
+_AD_FILE = f"(SELECT job_id, text || {NL} AS content FROM ({fx.SYNTH_JOBS}) j) f"
+
+
+@query("file_scan", f"""SELECT job_id, CAST(octet_length(encode(content)) AS BIGINT) AS length, CASE WHEN octet_length(encode(content)) <= {MOST_BYTES} THEN 'txt' END AS format,
+    CASE WHEN octet_length(encode(content)) > {MOST_BYTES} THEN 'too_large' END AS error_code, CASE WHEN octet_length(encode(content)) <= {MOST_BYTES} THEN content END AS text FROM {_AD_FILE}""")
+def _(spark, d):
+    """Every ad is written as a text file of its own; the scan admits, classifies and decodes the files."""
+    folder = f"{_folder(spark)}/ads"
+    ads = fx.spark_view(spark, d, "synth_jobs").select("job_id", "text")
+    ads.repartition(fx.tasks(spark), "job_id").write.partitionBy("job_id").text(folder)
+    files = fl.scan(spark, folder, MOST_BYTES)
+    job = F.regexp_extract("path", r"/job_id=(\d+)/", 1).cast("bigint")
+    return files.select(job.alias("job_id"), "length", "format", "error_code", fl.decode_text(F.col("content")).alias("text"))
+
+
+_PASTED = """SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN concat(' ', chr(9), chr(10), '\u00a0\u3000', chr(13)) WHEN 1 THEN '' WHEN 2 THEN concat(chr(10), '\ufeff', text, ' ') ELSE text END AS text FROM documents"""
+
+
+@query("pasted_texts", f"SELECT doc_id, CASE WHEN doc_id % 11 < 2 THEN 'empty_text' END AS error_code, CAST(length(text) AS BIGINT) AS n_chars FROM ({_PASTED}) p")
+def _(spark, d):
+    fx.spark_view(spark, d, "documents").createOrReplaceTempView("documents")
+    return fl.pasted(spark.sql(_PASTED)).select("doc_id", "error_code", F.length("text").cast("bigint").alias("n_chars"))
+
+
+# ---- stream ---------------------------------------------------------------------------------
+class _Redelivered(inc.IncrementalAnalysis):
+    """Its first micro-batch comes twice, as after a driver that was lost before it could commit."""
+
+    def score(self, batch, batch_id):
+        for _ in range(2 if batch_id == 0 else 1):
+            super().score(batch, batch_id)
+
+
+@query("incremental_scores", ORACLES["base_score"])
+def _(spark, d):
+    """Documents land in two deliveries, each read in several micro-batches; for the second one the query starts again from
+    its checkpoint."""
+    folder = _folder(spark)
+    job = _Redelivered(f"{folder}/landed", f"{folder}/scores", f"{folder}/checkpoint", schema=inc.FULL_SCHEMA)
+    docs = fx.resume_documents(spark, d).select("doc_id", "text", "header_footer_text", "layout", "truncated")
+    for delivery in (0, 1):
+        docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == delivery).repartition(4).write.mode("append").parquet(job.source)
+        job.start(spark, max_files=2).awaitTermination()
+    return job.results(spark).select("doc_id", F.col("score").cast("bigint").alias("score"), band(F.col("score")).alias("band"))

@@ -87,20 +87,37 @@ def test_catalogue():
     assert set(MESSAGES["en"]) == set(MESSAGES["pt"]) == set(fv.FINDING_IDS) and len(fv.FINDING_IDS) == 44
 
 
-def test_partition_invariance(spark):
-    docs = spark.createDataFrame(list(VARIANTS.items()), "doc_id BIGINT, text STRING")
-    runs = [sorted((r.doc_id, r.score) for r in analyze(docs.repartition(n)).results.collect()) for n in (1, 7)]
-    assert runs[0] == runs[1]
+def test_both_locales_have_the_same_placeholders():
+    import re
+
+    names = lambda text: sorted(re.findall(r"\{(\w+)\}", text))
+    for key in fv.FINDING_IDS:
+        assert names(MESSAGES["en"][key]) == names(MESSAGES["pt"][key]), key
+
+
+def test_messages_are_rendered_once_and_as_plain_text(spark):
+    from doclint.operators import report as rp
 
+    rows = [("x", {"a": "$& {b}", "b": "__proto__"}), ("x", {"a": "1"}), ("y", {}), (None, None)]
+    frame = spark.createDataFrame(rows, "id string, params map<string,string>")
+    shown = frame.select(rp.message(F.col("id"), F.col("params"), "en", {"x": "{a}-{b}-{a}", "z": ""}).alias("m"))
+    assert [r.m for r in shown.collect()] == ["$& {b}-__proto__-$& {b}", "1--1", None, None]
 
-def test_stream_equals_batch(spark, tmp_path):
-    from doclint.streaming.incremental import lint_new_documents
+
+def test_reports_are_a_narrow_projection(spark):
+    from doclint.operators import report as rp
 
     docs = spark.createDataFrame(list(VARIANTS.items()), "doc_id BIGINT, text STRING")
-    docs.write.parquet(str(tmp_path / "in"))
-    lint_new_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = sorted((r.doc_id, r.score) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == sorted((r.doc_id, r.score) for r in analyze(docs).results.collect())
+    results = spark.createDataFrame(analyze(docs).results.collect(), analyze(docs).results.schema)
+    reports = rp.markdown_reports(results, "pt")
+    assert "Exchange" not in reports._jdf.queryExecution().executedPlan().toString()
+    assert all(r.markdown.startswith("# ") for r in reports.collect()) and reports.count() == len(VARIANTS)
+
+
+def test_partition_invariance(spark):
+    docs = spark.createDataFrame(list(VARIANTS.items()), "doc_id BIGINT, text STRING")
+    runs = [sorted((r.doc_id, r.score) for r in analyze(docs.repartition(n)).results.collect()) for n in (1, 7)]
+    assert runs[0] == runs[1]
 
 
 def test_labels_of_any_shape(spark):
