@@ -65,24 +65,56 @@ def declares(tag: str, name: str, value: str, inside: bool) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, region)`` per line; region is -1 in declared boilerplate, the article's number from 1, else 0."""
+    """Collects ``(text, tags, region)`` per line; region is -1 in declared boilerplate, the article's number from 1, else 0.
+
+    Every piece of text has the region of the element it stands in: a declared piece inside a line is left out of it, and
+    the line keeps the region of the others. A line of declared pieces alone is one of region -1.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.stack: list[tuple[str, int]] = [("", 0)]
-        self.parts: list[str] = []
+        self.places: dict[str, list[int]] = {}  # where elements of each name stand in the stack
+        self.holders: list[int] = [0]  # where articles stand in it
+        self.blocks: list[int] = [0]  # where block elements stand in it
+        self.parts: list[tuple[str, int]] = []
         self.tags = 0
         self.articles = 0
 
     def end_line(self) -> None:
         if self.parts:
-            text = WHITE.sub(" ", "".join(self.parts)).strip(" ")
+            region = max(r for _, r in self.parts)
+            text = WHITE.sub(" ", "".join(t for t, r in self.parts if r >= 0 or region < 0)).strip(" ")
+            if not text and region >= 0:  # nothing but white space beside declared pieces
+                region, text = -1, WHITE.sub(" ", "".join(t for t, _ in self.parts)).strip(" ")
             self.parts.clear()
             if text:
-                self.lines.append((text, self.tags, self.stack[-1][1]))
+                self.lines.append((text, self.tags, region))
                 self.tags = 0
 
+    def open(self, tag: str, region: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in CONTENT:
+            self.holders.append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, region))
+
+    def cut_stack(self, place: int) -> None:
+        """End the element at a place, and all it holds."""
+        for tag, _ in self.stack[place:]:
+            self.places[tag].pop()
+        del self.stack[place:]
+        for places in (self.holders, self.blocks):
+            while places[-1] >= place > 0:
+                places.pop()
+
+    def break_line(self) -> None:
+        """A block ends the line, unless it lies in a declared element that stands inside the line."""
+        if self.stack[-1][1] >= 0 or all(r < 0 for _, r in self.parts):
+            self.end_line()
+
     def close(self) -> None:
         super().close()
         self.end_line()
@@ -91,14 +123,14 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br" or tag == "hr":
-                self.parts.append(" ")
+                self.parts.append((" ", self.stack[-1][1]))
             if tag == "hr":
-                self.end_line()
+                self.break_line()
             return
         if tag in BLOCK:
-            self.end_line()
-            if tag in ENDS_TWIN and self.stack[-1][0] == tag:
-                self.stack.pop()
+            if tag in ENDS_TWIN and self.stack[self.blocks[-1]][0] == tag:
+                self.cut_stack(self.blocks[-1])
+            self.break_line()
         declared = self.stack[-1][1]
         if declared >= 0:
             if tag in SKIPPED:
@@ -115,7 +147,7 @@ class Lines(HTMLParser):
                         declared = -1
                     elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                         declared = -1
-        self.stack.append((tag, declared))
+        self.open(tag, declared)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -124,24 +156,16 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        places = self.places.get(tag)
+        # a stray end inside an article does not end it, nor does a paragraph's end the blocks in it
+        if places and (places[-1] >= self.holders[-1] or tag in CONTENT or tag == "body" or tag == "html") and (tag != "p" or places[-1] == self.blocks[-1]):
+            self.cut_stack(places[-1])
         if tag in BLOCK or tag == "head":
-            self.end_line()
-        stack = self.stack
-        if stack[-1][0] == tag:
-            stack.pop()
-            return
-        if tag == "p" or tag in VOID:
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-            if stack[i][0] in CONTENT and tag not in CONTENT and tag not in ("body", "html"):
-                return  # a stray end inside an article does not end it
+            self.break_line()
 
     def handle_data(self, data: str) -> None:
         if self.stack[-1][0] not in ("script", "style"):
-            self.parts.append(data)
+            self.parts.append((data, self.stack[-1][1]))
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
