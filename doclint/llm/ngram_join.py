@@ -11,6 +11,8 @@ nothing further. Two classes link when ``100 * |A & B| >= threshold * |A | B|``,
 3. Only classes that share such a shingle and are still in different components are compared with each other, in tiles of
    one shingle and one size band (sizes of linked sets differ by the threshold at most, hence lie in the same or the next
    band), with bounds by size, by position (as at the first shared shingle) and by parity sketch before a pair leaves the tile.
+   A class carries the shingles that come before the tile's own in its prefix (``EARLIER`` at most): two classes that share
+   one of these have met there already, so a pair leaves one tile, however many shingles it shares.
 
 A comparison first takes hashed bitmap signatures, as wide as the size band asks for: bits set in one and not in the other
 bound the overlap from above. Pairs that pass are intersected exactly as sorted arrays. No pair that could link is skipped
@@ -38,7 +40,8 @@ from .components import components
 
 BUCKETS = 18
 SKETCH = 4
-STARS = 2
+STARS = 1
+EARLIER = 32
 SLICES = 64
 
 
@@ -298,9 +301,13 @@ def links(rows: DataFrame, signed: DataFrame, k: int, threshold: int) -> DataFra
         labels = components(edges)
         at_hand = cut(_still_open(tokens, labels))
     sketch = signed.filter("n > 0").select("key", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH))).dropDuplicates(["key"])
+    # a class has at most its own prefix of tokens
+    own = at_hand.groupBy("key").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("met"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("int")
-    tiled = at_hand.join(sketch, "key").withColumn("band", band)
-    side = lambda x: [F.col(c).alias(x + c) for c in ("key", "n", "at", "label", *(f"s{i}" for i in range(SKETCH)))]
+    placed = own.join(sketch, "key").select("*", F.col("met.token").alias("tokens"), F.posexplode("met").alias("i", "m"))
+    earlier = F.slice("tokens", F.lit(1), F.least(F.col("i"), F.lit(EARLIER)))
+    tiled = placed.select("key", "n", "label", *(f"s{i}" for i in range(SKETCH)), "m.at", "m.token", earlier.alias("earlier"), band.alias("band"))
+    side = lambda x: [F.col(c).alias(x + c) for c in ("key", "n", "at", "label", "earlier", *(f"s{i}" for i in range(SKETCH)))]
     short = tiled.filter((100 + threshold) * (F.col("n") - F.col("at")) >= 2 * threshold * F.col("n"))  # the smaller set needs a shorter prefix
     left = short.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), *side("a"))  # the smaller set meets its own and the next band
     right = tiled.select("token", F.col("band").alias("tile"), *side("b"))
@@ -310,6 +317,7 @@ def links(rows: DataFrame, signed: DataFrame, k: int, threshold: int) -> DataFra
     enough = lambda n, at: (100 + threshold) * (F.col(n) - F.col(at)) >= threshold * both
     differ = sum((F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(SKETCH)), F.lit(0))
     possible = _size_ok(threshold) & enough("an", "aat") & enough("bn", "bat") & ((100 + threshold) * differ <= (100 - threshold) * both)
+    possible = possible & ~F.arrays_overlap("aearlier", "bearlier")
     crossed = left.join(right, ["token", "tile"]).filter(ordered & (F.col("alabel") != F.col("blabel")) & possible)
     crossed = crossed.select(F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
     found = verified(cut(crossed.join(tried, ["a", "b"], "left_anti")), classes, k, threshold)
