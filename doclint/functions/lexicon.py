@@ -23,17 +23,27 @@ def fold_word(text: str) -> str:
     return "".join(c for c in decomposed if not unicodedata.category(c).startswith("M")).lower()
 
 
+#: Marks a label that opens a sentence while labels are scanned; no text holds it, as control characters go first.
+OPENER = "\x01"
+INSIDE_TOKEN = "abcdefghijklmnopqrstuvwxyz0123456789+#./"
+
+
 def tokenize_entry(text: str) -> list[str]:
-    """Python twin of the tokenizer, for lexicon entries only (a test keeps both equal)."""
-    s = re.sub(r"(^|[^a-z0-9])\.net(?![a-z0-9])", r"\1dotnet", fold_word(text))
-    s = re.sub(r"['’]s(?![A-Za-z0-9_])", "", s)
-    s = re.sub(r"[-'’]", " ", s)
+    """The tokens of a lexicon entry, as the tokenizer's column function gives them (a test keeps both equal).
+
+    Words are cut at every character that no token holds; a word then loses what a token may not begin or end with.
+    """
+    # a possessive ending goes with its apostrophe, any other apostrophe is a gap
+    pieces = fold_word(text).replace("’", "'").split("'")
+    kept = [pieces[0], *(p[1:] if p == "s" or (p[:1] == "s" and not (p[1].isascii() and (p[1].isalnum() or p[1] == "_"))) else " " + p for p in pieces[1:])]
+    words = "".join(c if c in INSIDE_TOKEN else " " for c in "".join(kept)).split()
     out: list[str] = []
-    for token in re.findall(fv.TOKEN_PATTERN, s):
-        if "/" in token and token not in fv.SLASH_COMPOUNDS:
-            out.extend(p for p in (part.rstrip(".") for part in token.split("/")) if p)
-        else:
-            out.append(token)
+    for word in words:
+        if word == ".net" or (word.startswith(".net") and not word[4].isalnum()):
+            word = "dotnet" + word[4:]
+        token = word.lstrip("+#./").rstrip("./")
+        parts = [token] if token in fv.SLASH_COMPOUNDS else [part.rstrip(".") for part in token.split("/")]
+        out += filter(None, parts)
     return out
 
 
@@ -71,10 +81,18 @@ def trie_regex(words: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Skill:
+    """A skill; its bare label is matched in its own spelling only if ``exact_case`` is set.
+
+    ``before`` and ``after`` are patterns of what has to surround the bare label, for labels whose casing is not enough.
+    ``before`` is read, not looked back at, so it may be of any length.
+    """
+
     label: str
     aliases: tuple[str, ...] = ()
     exact_case: bool = False
     soft: bool = False
+    before: str | None = None
+    after: str | None = None
 
     @property
     def skill_id(self) -> str:
@@ -87,18 +105,10 @@ class Skill:
 
 
 def default_skills() -> list[Skill]:
-    out = []
-    for line in fv.SKILLS_TEXT.strip().splitlines():
-        label, _, aliases = line.partition(":")
-        out.append(
-            Skill(
-                label=label.lstrip("=~"),
-                aliases=tuple(a.strip() for a in aliases.split(";") if a.strip()),
-                exact_case=label.startswith("="),
-                soft=label.startswith("~"),
-            )
-        )
-    return out
+    return [
+        Skill(label, aliases, label in fv.EXACT_CASE_SKILLS, label in fv.SOFT_SKILLS, *fv.LABEL_SURROUNDINGS.get(label, ()))
+        for label, aliases in fv.SKILL_ALIASES.items()
+    ]
 
 
 @dataclass(frozen=True, eq=False)
@@ -135,6 +145,25 @@ class Lexicon:
     def exact_case_labels(self) -> list[str]:
         return [s.label for s in self.skills if s.exact_case]
 
+    @cached_property
+    def label_scan(self) -> tuple[str, str, str]:
+        """Three patterns: a line's start before a bare label that is no list item; all labels with what follows in group 1;
+        the label at the start of that group, in its own group 1.
+
+        The first finds sentence openers; the scan reads from the left, so a line's start is met before its label is.
+        """
+        usual = [s.label for s in self.skills if s.exact_case and s.before is None and s.after is None]
+        own = [s for s in self.skills if s.exact_case and s.label not in usual]
+        longest = lambda labels: "|".join(escape_regex(w) for w in sorted(labels, key=len, reverse=True)) or "(?!)"
+        begin = rf"^[ \t{escape_regex(fv.LABEL_LINE_START)}]*+"
+        label = rf"(?:{longest(usual)})(?![\w#+-])"
+        opener = rf"(?m)({begin})(?={label})(?!{label}\s*[,/|;])"
+        leads = [rf"(?:{begin}|(?<![.!?]\s{{1,3}}))(?<![\w.#+{OPENER}-])(?={label})"]
+        leads += [rf"{s.before or ''}(?={escape_regex(s.label)}{s.after or ''})" for s in own]
+        every = longest([*usual, *(s.label for s in own)])
+        first = rf"(?:{label}|{longest([s.label for s in own])})"
+        return opener, rf"(?m)(?:{'|'.join(leads)})(?=({first}[\s\S]{{0,40}})){first}", rf"^({every})(?![\w#+-])"
+
     @cached_property
     def ambiguous_tokens(self) -> list[str]:
         return [t for label in self.exact_case_labels for t in tokenize_entry(label)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.lexicon import DEFAULT, Lexicon, escape_regex
+from ..functions.lexicon import DEFAULT, OPENER, Lexicon, escape_regex
 from ..functions.text import WORD_END, WORD_START, count_tokens, fold, let, one_of, padded_tokens, stem_array, tokenize, trim_all
 
 COVERED = "\u0001"
@@ -51,12 +51,6 @@ def job_lines(jobs: DataFrame) -> DataFrame:
 
 
 # ---- K3-K5 ------------------------------------------------------------------------------
-def _list_item_label(label: str) -> str:
-    # literal first: the look-behind then runs only where the letter stands
-    word = escape_regex(label)
-    return rf"{word}(?<=(?:^|[,/|;:(])[ \t]{{0,8}}{word})(?=[ \t]*(?:[,/|;)]|$))"
-
-
 def alias_hits(padded: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """K3: aliases found leftmost-longest without overlap, in text order."""
     return F.regexp_extract_all(padded, F.lit(f"(?<= )({lexicon.alias_pattern})(?= )"), F.lit(1))
@@ -68,23 +62,17 @@ def mask_aliases(padded: Column, lexicon: Lexicon = DEFAULT) -> Column:
 
 
 def label_hits(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """K4/K5: exact-case labels that are no sentence opener and do not start a longer skill."""
-    words = [label for label in lexicon.exact_case_labels if label not in fv.LIST_ITEM_LABELS]
-    items = [label for label in lexicon.exact_case_labels if label in fv.LIST_ITEM_LABELS]
-    any_word = "|".join(escape_regex(w) for w in sorted(words, key=len, reverse=True)) or "(?!)"
-    first = "".join(sorted({w[0] for w in words})) or "A"
-    label = rf"(?:{any_word})(?![\w#+-])"
-    start = rf"^[ \t{escape_regex(fv.LABEL_LINE_START)}]{{0,400}}"
-    pattern = (
-        rf"(?m)(?=[{escape_regex(first)}])(?<![\w.#+-])(?={label})"
-        rf"(?:(?<![.!?]\s{{1,3}})(?<!{start})|(?<={start})(?={label}\s*[,/|;]))(?=({label}[\s\S]{{0,40}})){label}"
-    )
-    context = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    """K4/K5: exact-case labels that are no sentence opener and do not start a longer skill, in one scan for all of them."""
+    opener, scan, own = lexicon.label_scan
+    if not lexicon.exact_case_labels:
+        return F.array().cast("array<string>")
+    marked = F.regexp_replace(text, opener, f"$1{OPENER}")
+    context = F.regexp_extract_all(marked, F.lit(scan), F.lit(1))
     blocked = [f"{label} {following}" for label, following in lexicon.blocked_next]
 
     def split_context(c: Column) -> Column:
         return let(
-            F.regexp_extract(c, rf"^({any_word})(?![\w#+-])", 1),
+            F.regexp_extract(c, own, 1),
             lambda l: F.struct(
                 l.alias("label"),
                 F.get(let(F.substring(c, F.length(l) + 1, F.lit(40)), tokenize), F.lit(0)).alias("next"),
@@ -95,23 +83,13 @@ def label_hits(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
         F.transform(context, split_context),
         lambda h: h["next"].isNull() | ~one_of(F.concat_ws(" ", h["label"], h["next"]), blocked),
     )
-    found = F.transform(kept, lambda h: h["label"])
-    for label in items:
-        singles = F.regexp_extract_all(text, F.lit("(?m)" + _list_item_label(label)), F.lit(0))
-        follow = sorted({b for a, b in lexicon.blocked_next if a == label})
-        if follow:
-            after = "|".join(escape_regex(f) for f in follow)
-            # "C" followed within 40 characters by "sharp" / "language" names another skill
-            ahead = rf"(?![^A-Za-z0-9]{{0,39}}(?i:{after})(?![A-Za-z0-9+#]))"
-            singles = F.regexp_extract_all(text, F.lit("(?m)" + _list_item_label(label) + ahead), F.lit(0))
-        found = F.concat(found, singles)
-    return found
+    return F.transform(kept, lambda h: h["label"])
 
 
 def _with_skill(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Replace ``alias`` by ``skill``; the alias table has a fixed size, so it is broadcast."""
+    """Replace ``alias`` by ``skill``.  Spark broadcasts the alias table while its size allows that; a lexicon may be larger."""
     dim = lexicon.alias_dim(hits.sparkSession).select("alias", "skill")
-    return hits.join(F.broadcast(dim), "alias").drop("alias")
+    return hits.join(dim, "alias").drop("alias")
 
 
 def skill_counts(rows: DataFrame, keys: list[str], lexicon: Lexicon = DEFAULT) -> DataFrame:

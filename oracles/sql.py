@@ -388,7 +388,7 @@ SEV = "CASE severity WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 WHEN 'info' TH
 # ---- keywords -----------------------------------------------------------------------------
 _ALIASES = sorted((row[0] for row in LEX.alias_rows), key=lambda a: (-len(a.split(" ")), a))
 ALIAS_RX = " (" + "|".join("  ".join(rx(t) for t in a.split(" ")) for a in _ALIASES) + ") "
-_LABELS = [(s.label, s.label in fv.LIST_ITEM_LABELS) for s in LEX.skills if s.exact_case]
+_LABELS = [(s.label, s.before is not None) for s in LEX.skills if s.exact_case]
 
 
 def skill_ctes(source: str, keys: str, p: str) -> list[tuple[str, str]]:
