@@ -454,10 +454,11 @@ def _(spark, d):
     return _scored(spark, d).select("doc_id", F.col("base_score").cast("bigint").alias("score"), sc.band(F.col("base_score")).alias("band"))
 
 
-@query("documents_score", None)
+@query("documents_score", S.query(S.DOC_ALL, """SELECT doc_id, CAST(words AS BIGINT) AS words, lang, CAST(parseability_score AS BIGINT) AS parseability_score, CAST(sections_score AS BIGINT) AS sections_score,
+    CAST(contact_score AS BIGINT) AS contact_score, CAST(content_score AS BIGINT) AS content_score, CAST(base_score AS BIGINT) AS base_score FROM based"""))
 def _(spark, d):
     scored = an.score_documents(an.document_features(documents(spark, d)))
-    return scored.select("doc_id", "words", "lang", "parseability_score", "sections_score", "contact_score", "content_score", "base_score")
+    return scored.select("doc_id", "lang", *big("words", "parseability_score", "sections_score", "contact_score", "content_score", "base_score"))
 
 
 @query("document_findings", res("SELECT doc_id, CAST(ord AS BIGINT) AS ord, CAST(sub AS BIGINT) AS sub, id, severity, category, params FROM docfind"))

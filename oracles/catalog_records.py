@@ -58,8 +58,8 @@ def _(spark, d):
     return fl.classify(fl.admit(files, 5 * 1024 * 1024)).select("doc_id", "format", "error_code")
 
 
-@query("text_decode", "SELECT doc_id, text, CASE WHEN doc_id % 5 = 4 THEN 'invalid_text' END AS error_code FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE text END AS text FROM documents) x")
-def _(spark, d):
+def _decoded(spark, d):
+    """Text files of five encodings, one per document."""
     content = """CASE doc_id % 5 WHEN 0 THEN concat(unhex('FFFE'), encode(text, 'UTF-16LE')) WHEN 1 THEN concat(unhex('FEFF'), encode(text, 'UTF-16BE'))
         WHEN 2 THEN concat(unhex('EFBBBF'), encode(text, 'UTF-8')) WHEN 3 THEN
           CASE WHEN text RLIKE '^[\\\\x00-\\\\x7F\\\\xA0-\\\\xFF]*$' THEN encode(text, 'ISO-8859-1') ELSE encode(text, 'UTF-8') END
@@ -67,7 +67,12 @@ def _(spark, d):
     files = fx.spark_view(spark, d, "documents").select(
         "doc_id", F.concat(F.lit("f/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.expr(content).alias("content")
     ).withColumn("length", F.octet_length("content").cast("bigint"))
-    return fl.text_documents(fl.classify(fl.admit(files))).select("doc_id", "text", "error_code")
+    return fl.text_documents(fl.classify(fl.admit(files)))
+
+
+@query("text_decode", "SELECT doc_id, text, CASE WHEN doc_id % 5 = 4 THEN 'invalid_text' END AS error_code FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE text END AS text FROM documents) x")
+def _(spark, d):
+    return _decoded(spark, d).select("doc_id", "text", "error_code")
 
 
 # ---- markup ---------------------------------------------------------------------------------
@@ -354,11 +359,34 @@ def _(spark, d):
     return cp.skill_gap(_hits(spark, d))
 
 
-@query("page_documents_score", None)
+# packages, page runs and text files, assembled into one table of documents
+_PACKAGES = f"""SELECT k AS doc_id, CASE WHEN bal < 9500 THEN {_BODY_TEXT} ELSE 'second body' || {NL} END AS text,
+    CASE WHEN bal > 4000 THEN {_HEAD} ELSE '' END || CASE WHEN bal > 4000 AND segment <> 'BUILDING' THEN {NL} ELSE '' END || CASE WHEN segment <> 'BUILDING' THEN {_FOOT} ELSE '' END AS margin,
+    CAST(bal < 9500 AND k % 3 = 0 AS INTEGER) AS l_tables, CAST(bal < 9500 AND k % 4 = 0 AS INTEGER) AS l_boxes,
+    CAST(CASE WHEN segment = 'MACHINERY' THEN CASE WHEN bal > 5000 THEN 2 ELSE 1 END ELSE 0 END AS INTEGER) AS l_images, bal < 9500 AND k % 5 = 0 AS l_columns
+    FROM {STATS} WHERE bal > -800 AND (bal < 9500 OR bal > 9000)"""
+_ASSEMBLED = [
+    *_RUN_CTES,
+    ("packages", _PACKAGES),
+    ("pagetext", "SELECT doc_id, page_no, string_agg(line, E'\\n' ORDER BY row_no) AS t FROM plines GROUP BY doc_id, page_no"),
+    ("runtext", "SELECT doc_id, string_agg(t, E'\\n\\n' ORDER BY page_no) AS text FROM pagetext GROUP BY doc_id"),
+    ("runpages", "SELECT doc_id, CAST(MAX(page_no) AS INTEGER) AS n FROM runs GROUP BY doc_id"),
+    ("assembled", f"""SELECT doc_id, text, margin AS header_footer_text, l_tables, l_boxes, l_images, l_columns, CAST(NULL AS INTEGER) AS l_pages, false AS truncated FROM packages
+        UNION ALL SELECT p.doc_id + 10000000, text, '', 0, 0, 0, n_lines >= 8 AND ((split_lines >= 5 AND split_lines / CAST(n_lines AS DOUBLE) >= 0.25)
+          OR (right_lines >= 5 AND right_lines / CAST(n_lines AS DOUBLE) >= 0.25)), n, n > 10 FROM runpages p JOIN runtext USING (doc_id) JOIN pcols USING (doc_id)
+        UNION ALL SELECT {S.PLAIN.format(id='doc_id + 20000000', text='text')} FROM documents WHERE doc_id % 5 <> 4"""),
+    *S.analysis_ctes("SELECT * FROM assembled"),
+]
+
+
+@query("page_documents_score", S.query(_ASSEMBLED, """SELECT b.doc_id, CAST(any_value(base_score) AS BIGINT) AS score, CAST(any_value(parseability_score) AS BIGINT) AS parseability_score,
+    CAST(any_value(words) AS BIGINT) AS words, COUNT(*) FILTER (WHERE severity <> 'pass') AS issues FROM based b JOIN docfind f ON f.doc_id = b.doc_id GROUP BY b.doc_id"""))
 def _(spark, d):
-    """Package and page-run documents assembled into one table and scored."""
+    """Package, page-run and text-file documents assembled into one table and scored."""
     from doclint.plans.analyze import analyze
 
     packages = mk.package_documents(_parts(spark, d))
     pages = pr.run_documents(_runs(spark, d)).withColumn("doc_id", F.col("doc_id") + 10_000_000)
-    return analyze(fl.assemble(packages, pages)).results.select("doc_id", "score", "parseability_score", "words", F.size(sc.issues(F.col("findings"))).alias("issues"))
+    texts = _decoded(spark, d).withColumn("doc_id", F.col("doc_id") + 20_000_000)
+    results = analyze(fl.assemble(packages, pages, texts)).results
+    return results.select("doc_id", *big("score", "parseability_score", "words"), F.size(sc.issues(F.col("findings"))).cast("bigint").alias("issues"))

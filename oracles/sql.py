@@ -544,7 +544,15 @@ def query(ctes: list[tuple[str, str]], final: str) -> str:
 
 
 DOC = text_ctes("SELECT doc_id, text FROM documents")
-RES_BASE = text_ctes(fx.SYNTH_RESUMES)
-RES = RES_BASE + contact_ctes("norm") + BROKEN + PII + CONTENT + SECTIONS + SCORES + FINDINGS
+
+
+def analysis_ctes(source: str) -> list[tuple[str, str]]:
+    """Everything about documents from ``source``: doc_id, text, header_footer_text, l_tables, l_boxes, l_images, l_columns, l_pages, truncated."""
+    return text_ctes(source) + contact_ctes("norm") + BROKEN + PII + CONTENT + SECTIONS + SCORES + FINDINGS
+
+
+PLAIN = "{id} AS doc_id, {text} AS text, '' AS header_footer_text, 0 AS l_tables, 0 AS l_boxes, 0 AS l_images, false AS l_columns, CAST(NULL AS INTEGER) AS l_pages, false AS truncated"
+DOC_ALL = analysis_ctes(f"SELECT {PLAIN.format(id='doc_id', text='text')} FROM documents")
+RES = analysis_ctes(fx.SYNTH_RESUMES)
 JOB = job_ctes()
 ALL = RES + JOB + MATCH + TOTALS
