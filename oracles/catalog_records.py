@@ -261,7 +261,26 @@ def _(spark, d):
     return _flat(_imported(spark, d))
 
 
-@query("resume_export", None)
+_LOOSE_JSON = """to_json({'version': 1, 'meta': {'language': lg, 'template': 'classic'},
+    'basics': {'name': name, 'label': CASE WHEN k % 8 = 0 THEN '42' ELSE 'Analyst' END, 'email': 'p' || k || '@example.com', 'phone': '', 'location': 'Lisbon, PT',
+      'url': 'https://example.com/' || k, 'summary': trim(repeat('Data work. ', CAST(1 + k % 3 AS INT))),
+      'profiles': [{'network': 'GitHub', 'url': 'github.com/p' || k}, {'network': 'Bad', 'url': 'javascript:alert(1)'}]},
+    'work': [{'company': segment, 'position': 'Analyst', 'location': '', 'startDate': y0 || '-03', 'endDate': CASE WHEN k % 4 = 0 THEN '' ELSE CAST(y1 AS VARCHAR) END,
+      'current': k % 4 = 0, 'highlights': CASE WHEN k % 6 = 0 THEN ['Ran the shop'] ELSE ['Led ' || k || ' people', '7', 'Cut cost'] END}],
+    'education': [{'institution': 'State University', 'area': 'Statistics', 'studyType': 'BSc', 'startDate': '1991', 'endDate': '1995-12'}],
+    'skills': [{'name': 'Data', 'keywords': ['Python', '42', 'SQL']}, {'name': '', 'keywords': []}], 'projects': [],
+    'certificates': [{'name': 'Cert', 'issuer': 'Org', 'date': '2020-03', 'url': ''}], 'languages': [{'language': 'English', 'fluency': 'Fluent'}]})"""
+_STRICT_JSON = """to_json({'version': 1, 'meta': {'language': lg, 'template': CASE WHEN mixed THEN 'classic' ELSE 'modern' END},
+    'basics': {'name': repeat(name, CAST(1 + k % 11 AS INT)), 'label': '', 'email': 'p' || k || '@example.com', 'phone': '+55 11 4002-8922',
+      'location': CASE WHEN mixed THEN '' ELSE 'Recife' END, 'url': 'EXAMPLE.com/a/', 'summary': '', 'profiles': []},
+    'work': [{'company': segment, 'position': 'Lead', 'location': 'Recife', 'startDate': y0 || '-03', 'endDate': '', 'current': NOT mixed, 'highlights': ['Built things', '']}],
+    'education': [], 'skills': [{'name': '', 'keywords': ['Go', 'Rust']}],
+    'projects': [{'name': 'Tool', 'description': 'A tool', 'url': 'http://tool.example.com/x/', 'highlights': ['Used by ' || n || ' teams']}], 'certificates': [],
+    'languages': list_concat(list_transform(range(CASE WHEN k % 37 = 0 THEN 10 ELSE 1 END), lambda i: {'language': 'English', 'fluency': 'Good'}), [{'language': 'German', 'fluency': ''}])})"""
+
+
+@query("resume_export", f"""SELECT doc_id, CAST(CASE WHEN loose THEN {_LOOSE_JSON} WHEN strict OR mixed THEN {_STRICT_JSON} END AS VARCHAR) AS json
+    FROM (SELECT *, CASE WHEN k % 3 = 0 THEN 'pt' ELSE 'en' END AS lg FROM ({_RECS}) r) z""")
 def _(spark, d):
     return _imported(spark, d).select("doc_id", rs.export_json(F.col("resume")).alias("json"))
 
