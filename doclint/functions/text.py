@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
+from .compat import compose_compat
 from .lexicon import DEFAULT, Lexicon, escape_regex, trie_regex
+from .rows import let
 
 # White space in the Unicode sense (the \s of Java patterns is ASCII only).
 SPACE_CLASS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -30,11 +31,6 @@ WORD_END = r"(?![A-Za-z0-9_])"
 WORD_START = r"(?<![A-Za-z0-9_])"
 
 
-def let(expr: Column, fn: Callable[[Column], Column]) -> Column:
-    """Evaluate ``expr`` once per row and use it several times inside ``fn``."""
-    return F.get(F.transform(F.array(expr), fn), F.lit(0))
-
-
 def one_of(value: Column, words: list[str]) -> Column:
     """Membership in a fixed word list, as one anchored pattern over the words' shared prefixes."""
     return value.rlike(f"^(?:{trie_regex(words)})$")
@@ -65,14 +61,6 @@ def strip_unsafe(text: Column) -> Column:
     return F.regexp_replace(text, fv.UNSAFE_CHARS, "")
 
 
-def compose_compat(text: Column) -> Column:
-    """NFKC through the ICU library that ships with Spark; pure ASCII rows skip it."""
-    composed = F.java_method(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)
-    )
-    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
-
-
 def _clean_lines(text: Column) -> Column:
     s = F.regexp_replace(text, "\r\n?", "\n")
     s = strip_unsafe(s)
