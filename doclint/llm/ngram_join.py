@@ -13,6 +13,8 @@ nothing further. Two classes link when ``100 * |A & B| >= threshold * |A | B|``,
    band), with bounds by size, by position (as at the first shared shingle) and by parity sketch before a pair leaves the tile.
    A class carries the shingles that come before the tile's own in its prefix (``EARLIER`` at most): two classes that share
    one of these have met there already, so a pair leaves one tile, however many shingles it shares.
+4. Of the pairs of each component the ``CLOSEST`` by sketch are compared first; most of the others then lie inside one
+   component. What is left between components is compared whole.
 
 A comparison first takes hashed bitmap signatures, as wide as the size band asks for: bits set in one and not in the other
 bound the overlap from above. Pairs that pass are intersected exactly as sorted arrays. No pair that could link is skipped
@@ -42,6 +44,7 @@ BUCKETS = 18
 SKETCH = 4
 STARS = 1
 EARLIER = 32
+CLOSEST = 4
 SLICES = 64
 
 
@@ -319,9 +322,24 @@ def links(rows: DataFrame, signed: DataFrame, k: int, threshold: int) -> DataFra
     possible = _size_ok(threshold) & enough("an", "aat") & enough("bn", "bat") & ((100 + threshold) * differ <= (100 - threshold) * both)
     possible = possible & ~F.arrays_overlap("aearlier", "bearlier")
     crossed = left.join(right, ["token", "tile"]).filter(ordered & (F.col("alabel") != F.col("blabel")) & possible)
-    crossed = crossed.select(F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
-    found = verified(cut(crossed.join(tried, ["a", "b"], "left_anti")), classes, k, threshold)
-    return components(edges.union(found))
+    crossed = crossed.select(F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b"), differ.alias("differ")).distinct()
+    crossed = cut(crossed.join(tried, ["a", "b"], "left_anti"))
+    # of each component the pairs that look closest go first: most of the others are inside one component afterwards
+    apart = _apart(crossed, labels)
+    ends = apart.select("a", "b", "differ", F.explode(F.array("alabel", "blabel")).alias("label"))
+    lots = ends.groupBy("label", F.pmod(F.xxhash64("a", "b"), F.lit(CLOSEST))).agg(F.min(F.struct("differ", "a", "b")).alias("p"))
+    closest = cut(lots.select("p.a", "p.b").distinct())
+    edges = cut(edges.union(verified(closest, classes, k, threshold)))
+    rest = _apart(crossed, components(edges)).select("a", "b").join(closest, ["a", "b"], "left_anti")
+    return components(edges.union(verified(cut(rest), classes, k, threshold)))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components, with both labels."""
+    for side in ("a", "b"):
+        named = labels.select(F.col("key").alias(side), F.col("label").alias(f"{side}label"))
+        pairs = pairs.join(named, side, "left").withColumn(f"{side}label", F.coalesce(f"{side}label", side))
+    return pairs.filter("alabel != blabel")
 
 
 def join(docs: DataFrame, k: int = 4, threshold: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
