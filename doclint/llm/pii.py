@@ -40,7 +40,10 @@ KINDS = (*BASE, *ADDED)
 ACCEPT = 0.9
 # Gazetteers and cues.
 TOP_DOMAINS = "com net org edu gov mil int info biz io co de fr es it uk us eu ch at nl be pt br mx ar ca au jp cn in".split()
-BANK_COUNTRIES = "AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
+BANK_COUNTRIES = (
+    "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY "
+    "MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK"
+).split()
 CUES = {
     "email": "mail|contact|write|reach|kontakt|correo|courriel", "masked_email": "mail|contact|write|reach|kontakt|correo|courriel",
     "ip": "ip|address|host|server|from|client|login", "card": "card|visa|amex|master|credit|carte|tarjeta|karte|pay",
@@ -81,6 +84,18 @@ def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def account_check(value: Column) -> Column:
+    """The check digits of a bank account: the number, country last and letters as 10 to 35, leaves 1 by 97."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    signs = F.split(F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(4))), "")
+    digit = lambda c: c.cast("int")
+    rest = F.aggregate(
+        F.filter(signs, lambda c: c != ""), F.lit(0),
+        lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + digit(c)) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97),
+    )
+    return rest == 1
+
+
 def _valid(kind: str, value: Column) -> Column:
     """The kind's own test."""
     n = F.length(digits_of(value))
@@ -97,18 +112,20 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Base spans that pass their tests, and all candidates of the added kinds."""
-    base = [
+    """Base spans that pass their tests, and all candidates of the added kinds that touch none of them."""
+    base = F.concat(
         located(text, EMAIL, "@", "email"),
         F.filter(located(text, IP, r"[0-9]\.[0-9]", "ip"), lambda s: _valid("ip", s["value"])),
         F.filter(located(text, CARD, r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "card"), lambda s: _valid("card", s["value"])),
         F.filter(located(text, PHONE, r"\+[0-9]", "phone"), lambda s: _valid("phone", s["value"])),
-    ]
+    )
     added = [located(text, pattern, present, kind) for kind, (pattern, present) in ADDED.items() if kind != "card_like"]
     added.append(F.filter(
         located(text, CARD, r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "card_like"), lambda s: ~_valid("card", s["value"])
     ))
-    return F.concat(*base, *added)
+    touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    free = lambda b: F.filter(F.concat(*added), lambda a: ~F.exists(b, lambda x: touches(a, x)))
+    return let(base, lambda b: F.concat(b, free(b)))
 
 
 def _by_kind(kind: Column, cases: dict[str, Column]) -> Column:
@@ -131,7 +148,7 @@ def features(text: Column, span: Column) -> Column:
         "bank_account": n >= 10, "ip": ~value.rlike(r"(?:^|\.)0[0-9]"), "email": value.rlike("^[A-Za-z0-9]"),
     })
     cue = _by_kind(kind, {k: before.rlike(rf"(?:^|[^a-z])(?:{cues})") for k, cues in CUES.items()})
-    valid = F.when(kind == "card_like", False).when(kind == "social_number", _valid("social_number", value)).when(kind.isin("masked_email", *BASE), True)
+    valid = F.when(kind == "card_like", False).when(kind == "social_number", _valid("social_number", value)).when(kind == "bank_account", account_check(value)).when(kind.isin("masked_email", *BASE), True)
     vote = lambda c: c.cast("int")
     return F.struct(
         kind.alias("kind"), vote(valid).alias("valid"), vote(known).alias("gazetteer"), vote(F.when(cue, True)).alias("context"),
@@ -141,9 +158,11 @@ def features(text: Column, span: Column) -> Column:
 
 
 def expectation_maximisation(patterns: list[tuple[dict, float]], rounds: int = 25) -> tuple[dict, list[float]]:
-    """Reliability ``P(vote = 1 | class)`` of each labeler, and the posterior of every pattern.
+    """Reliabilities of each labeler, ``P(vote | span)`` and ``P(vote | no span)`` by vote, and the posterior of every pattern.
 
-    ``patterns``: votes by labeler (1, 0 or None) and their count. Starts from majority votes; abstaining says nothing.
+    ``patterns``: votes by labeler (1, 0 or None) and their count. Starts from majority votes. A labeler that abstains says
+    nothing, but how often it votes in either class counts: one that only ever votes 0 speaks against. No vote ever speaks
+    for the other side.
     """
     belief = []
     for votes, _ in patterns:
@@ -151,19 +170,20 @@ def expectation_maximisation(patterns: list[tuple[dict, float]], rounds: int = 2
         belief.append((sum(cast) + 0.5) / (len(cast) + 1.0))
     rates: dict = {}
     for _ in range(rounds):
-        prior = (1 + sum(b * n for b, (_, n) in zip(belief, patterns, strict=True))) / (2 + sum(n for _, n in patterns))
+        yes = sum(b * n for b, (_, n) in zip(belief, patterns, strict=True))
+        no = sum(n for _, n in patterns) - yes
         for name in LABELERS:
-            seen = [(b, v[name], n) for b, (v, n) in zip(belief, patterns, strict=True) if v[name] is not None]
-            right = (4 + sum(b * n for b, x, n in seen if x)) / (5 + sum(b * n for b, _, n in seen))
-            wrong = (1 + sum((1 - b) * n for b, x, n in seen if x)) / (5 + sum((1 - b) * n for b, _, n in seen))
-            rates[name] = (max(right, 0.5), min(wrong, 0.5))  # a labeler is better than chance, or says nothing
+            for vote in (1, 0):
+                said = [(b, n) for b, (v, n) in zip(belief, patterns, strict=True) if v[name] == vote]
+                among = (1 + sum(b * n for b, n in said)) / (3 + yes), (1 + sum((1 - b) * n for b, n in said)) / (3 + no)
+                rates[name, vote] = among if (among[0] > among[1]) == bool(vote) else (1.0, 1.0)
         belief = []
         for votes, _ in patterns:
-            odds = math.log(prior / (1 - prior))
+            odds = math.log((1 + yes) / (1 + no))
             for name, x in votes.items():
                 if x is not None:
-                    right, wrong = rates[name]
-                    odds += math.log(right / wrong) if x else math.log((1 - right) / (1 - wrong))
+                    right, wrong = rates[name, x]
+                    odds += math.log(right / wrong)
             belief.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
     return rates, belief
 
