@@ -1,15 +1,17 @@
-"""Removal of repeated byte strings with a logarithmic family of sparse suffix arrays.
+"""Removal of repeated byte strings by fingerprints of strings at content-chosen anchors.
+
+This takes the place of suffix arrays: no suffix is ordered, only equality of long strings is decided.
 
 Every ``length``-byte string holds one anchor: the place of its least ``GRAM``-byte hash, leftmost first. Equal strings have
-their anchor at the same place, so the suffixes at anchors, about one in 180 bytes, see every repeat; they are the sampled
-suffixes. The strings around one anchor whose starts lie in one stretch of ``STRETCH`` places form a cell. All of them
-contain its core (the bytes common to the whole stretch); together they cover its full extent. A batch's suffix array holds
-its cells in the order of (core, full), as fingerprints, with the number of times each occurs.
+their anchor at the same place, so strings at anchors, about one in 180 bytes, see every repeat. The strings around one
+anchor whose starts lie in one stretch of ``STRETCH`` places form a cell. All of them contain its core (the bytes common to
+the whole stretch); together they cover its full extent. A level holds the cells of a batch as fingerprints (core, full), with
+the number of times each occurs.
 
-New batches become level 0. Two levels of equal rank are merge-scanned into one of the next rank: one sorted pass adds up
-equal entries and shows which cores meet more than one extent. After the last batch the remaining levels are merge-scanned
-too. Then a cell whose extent occurs twice is repeated as a whole; where one core has several extents, the ``length``-byte
-strings of one cell for each extent are compared one by one; all other cells are unique.
+New batches become level 0; two levels of equal rank are added up into one of the next rank, and after the last batch so are
+the remaining levels. There are ``BATCHES`` batches at every size. Then a cell whose extent occurs twice is repeated as a whole;
+where one core has several extents, the ``length``-byte strings of one cell for each extent are compared one by one; all other
+cells are unique.
 
 Fingerprints are 64 bits; deciding takes two of them (core and extent, or core and string), 128 bits in all.
 
@@ -93,7 +95,7 @@ def with_row_ids(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _level(entries: DataFrame) -> DataFrame:
-    """A suffix array as a table: entries added up and sorted, with the number of extents and the total of each core."""
+    """A level as a table: entries added up, with the number of extents of each core."""
     summed = entries.repartition("core").groupBy("core", "full").agg(F.sum("n").alias("n"))
     own = W.partitionBy("core")
     return cut(summed.select("core", "full", "n", F.count("*").over(own).alias("extents")).sortWithinPartitions("core", "full"))
