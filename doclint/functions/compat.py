@@ -36,7 +36,12 @@ def _ranges(chars) -> str:
             out.append(f"\\x{{{run[0]:X}}}-\\x{{{run[-1]:X}}}")
             run = []
         run.append(code)
-    return "[" + "".join(out) + "]"
+    return "[\\x{80}-\\x{10FFFF}&&[" + "".join(out) + "]]"  # plain characters fail the first part at once
+
+
+def _has(text: Column, chars: str) -> Column:
+    """Whether any of many characters occurs: a look into a hash table for each character, where a class tries its ranges in turn."""
+    return F.length(F.translate(text, chars, "")) < F.length(text)
 
 
 def _table(entries: dict[str, str]) -> Column:
@@ -61,7 +66,7 @@ def tables() -> dict:
         if unicodedata.combining(ch):
             ranks[ch] = str(unicodedata.combining(ch))
     followers = {p[1] for p in pairs} | set(ranks) | {chr(VOWEL + i) for i in range(VOWELS)} | {chr(TAIL + i) for i in range(1, TAILS)}
-    return {"one": ("".join(one), "".join(one.values())), "several": several, "whole": whole, "pairs": pairs, "ranks": ranks, "followers": _ranges(followers)}
+    return {"one": ("".join(one), "".join(one.values())), "several": several, "whole": whole, "pairs": pairs, "ranks": ranks, "followers": "".join(sorted(followers))}
 
 
 def _weave(text: Column, pattern: str, value) -> Column:
@@ -71,6 +76,13 @@ def _weave(text: Column, pattern: str, value) -> Column:
     return F.array_join(F.zip_with(plain, changed, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
+def _expand(text: Column, pattern: str, table: Column) -> Column:
+    """The text with characters of a class replaced by their longer forms: one pass for each that occurs, however often."""
+    only = F.regexp_replace(F.array_join(F.regexp_extract_all(text, F.lit(f"({pattern})\\1*"), F.lit(1)), ""), r"(?s)(.)\1+", "$1")
+    met = F.array_distinct(F.filter(F.split(only, ""), lambda c: c != ""))
+    return F.aggregate(met, text, lambda t, c: F.replace(t, c, F.try_element_at(table, c)))
+
+
 def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
 
@@ -117,11 +129,11 @@ def _compose(sequence: Column) -> Column:
 def compose_compat(text: Column) -> Column:
     """NFKC; rows of plain ASCII skip it."""
     t = tables()
-    several, sequences = _ranges(t["several"]), rf"(?s).?{t['followers']}+"
+    long_forms, followers = "".join(t["several"]), _ranges(t["followers"])
 
     def steps(s: Column) -> Column:
         simple = F.translate(s, *t["one"])
-        wide = let(simple, lambda x: F.when(x.rlike(several), _weave(x, several, lambda c: F.try_element_at(_table(t["several"]), c))).otherwise(x))
-        return let(wide, lambda x: F.when(x.rlike(t["followers"]), _weave(x, sequences, _compose)).otherwise(x))
+        wide = let(simple, lambda x: F.when(_has(x, long_forms), _expand(x, _ranges(t["several"]), _table(t["several"]))).otherwise(x))
+        return let(wide, lambda x: F.when(_has(x, t["followers"]), _weave(x, f"(?s).?{followers}+", _compose)).otherwise(x))
 
     return F.when(text.rlike(r"[^\x00-\x7F]"), steps(text)).otherwise(text)
