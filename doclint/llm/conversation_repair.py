@@ -382,3 +382,67 @@ def repair(rows: DataFrame, conv_ids: DataFrame, size: int = SEGMENT) -> DataFra
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return repair(damaged(given), given.select("conv_id"))
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB: a shortest path over every conversation's rows, folded from left to right.
+
+    The fold keeps, for each of the four states, the least (cost, initials) and the text repaired so far; two possible inserts
+    stand before each row and at the end.
+    """
+    white = " || ".join(f"chr({ord(c)})" for c in WHITE)
+    sep = "CASE WHEN {0}.t = '' THEN '' ELSE chr(10) END"
+
+    def edit(x: str, letter: str, cost: str, said: str | None) -> str:
+        text = f"{x}.t || {sep.format(x)} || {said}" if said else f"{x}.t"
+        return f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {text}}}"
+
+    best = lambda *options: f"list_min([{', '.join(options)}])"
+    state = [f"acc[{i + 1}]" for i in range(4)]
+    to_user, to_assistant = (0, 1, 3), (2,)
+    inserts = [
+        state[0], state[1], best(state[2], *(edit(state[i], "I", "2", "'user:'") for i in to_user)),
+        best(state[3], *(edit(state[i], "I", "2", "'assistant:'") for i in to_assistant)),
+    ]
+    gone = [edit(x, "D", "3", None) for x in state]
+    never = "{'c': 1000000000, 'a': '', 't': ''}"
+    kept = lambda i, initial: f"CASE WHEN r.i = '{initial}' THEN {edit(state[i], 'K', 'r.e', 'r.said')} ELSE {never} END"
+    stays = [
+        gone[0], best(gone[1], kept(0, "s")),
+        best(gone[2], *(edit(state[i], "R", "2 + r.e", "'user:' || r.text") for i in to_user), *(kept(i, "u") for i in to_user)),
+        best(gone[3], *(edit(state[i], "R", "2 + r.e", "'assistant:' || r.text") for i in to_assistant), *(kept(i, "a") for i in to_assistant)),
+    ]
+    as_list = lambda options: f"[{', '.join(options)}]"
+    insert = "{'k': 'I', 'i': '', 'e': 0, 'said': '', 'text': ''}"
+    return f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), fated AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+         lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) % 20 AS fate FROM given, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM fated WHERE fate <> 0
+), placed AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n, rtrim(text, {white}) AS body FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+         WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         COALESCE(LAG(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS jars FROM placed
+), gathered AS (
+  SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (WHERE fault = 'blank') AS blank,
+         COUNT(*) FILTER (WHERE fault = 'duplicate') AS duplicate, COUNT(*) FILTER (WHERE fault = 'truncated') AS truncated, COUNT(*) FILTER (WHERE jars) AS illegal,
+         flatten(list([{insert}, {insert}, {{'k': CASE WHEN fault IN ('blank', 'duplicate') THEN 'D' ELSE 'K' END, 'i': left(role, 1),
+           'e': CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'said': role || ':' || text, 'text': text}}] ORDER BY n)) AS steps
+  FROM judged GROUP BY conv_id
+), folded AS (
+  SELECT *, list_reduce(list_concat(steps, [{insert}, {insert}]), lambda acc, r: CASE r.k WHEN 'I' THEN {as_list(inserts)} WHEN 'D' THEN {as_list(gone)} ELSE {as_list(stays)} END,
+         [{{'c': 0, 'a': '', 't': ''}}, {never}, {never}, {never}]) AS ends FROM gathered
+)
+SELECT c.conv_id, CAST(COALESCE(gaps, 0) AS BIGINT) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated,
+       COALESCE(illegal, 0) AS illegal, CAST(COALESCE(e.c, 0) AS BIGINT) AS cost, COALESCE(e.a, '') AS audit, sha256(COALESCE(e.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT *, list_min([ends[1], ends[4]]) AS e FROM folded) f ON f.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -21,4 +21,5 @@ QUERIES = {
 }
 ORACLES = {
     "op7_quality_rules": quality_rules.oracle_sql(),
+    "op12_conversation_repair": conversation_repair.oracle_sql(),
 }
