@@ -1,11 +1,12 @@
 """Secret scans by grammar inference.
 
-One scan finds the base spans of every text and other tokens of six characters or more with a letter and a digit, dots included. A bounded, hash-ordered sample of the base
-spans' values (``SAMPLE`` distinct values of each kind, ``LONGEST`` characters at most) are the labelled credentials: for
-each kind a prefix tree over character classes is built, and states whose outgoing frequencies agree within Hoeffding's
-bound are merged into a probabilistic automaton. Every candidate is then scored by its log-likelihood for each character,
-under each automaton, against uniform characters; a token is added when its score reaches the lowest hundredth of what the
-automaton gives its own labelled values. Base spans always stay.
+One scan finds the base spans of every text and other tokens of six characters or more with a letter and a digit, dots included. All distinct
+values of the base spans are the labelled credentials. Tasks count, over every value of a kind, which character class follows
+each place and class before it (places past ``PLACES`` are one); these counts, of a size that does not grow with the input,
+are an acyclic automaton but for its last place. States whose outgoing frequencies agree within Hoeffding's bound, there and
+at all states reached from them, are merged. Every candidate is then scored by its log-likelihood for each character, under
+each automaton, against uniform characters; a token is added when its score, in thousandths, reaches the lowest hundredth of
+what the automaton gives all labelled values of its kind. Base spans always stay.
 
 Defined results: a null or empty text has no spans. Positions are code points, ends exclusive. Repeated rows are handled one
 by one. Without labelled values nothing is added. Other columns of the input are not read.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +34,7 @@ BASE = ("assign", "access", "hex")
 LEARNED = "learned"
 #: Other tokens worth a score: of the labelled values' alphabet and least length, with a letter and a digit. A full stop at the end is none's.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[+/_.=A-Za-z-]*[0-9])(?=[+/_.=0-9-]*[A-Za-z])[A-Za-z0-9+/_.=-]{5,}[A-Za-z0-9+/_=-]")
-SAMPLE, LONGEST = 400, 128
+PLACES = 128
 ALPHA = 0.01
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
@@ -74,38 +76,46 @@ def classes(value: str) -> list[int]:
 CLASS_SIZES = (10, 6, 20, 6, 20, 1, 1, 1, 1, 1, 1)
 
 
+def steps(value: str) -> Iterator[tuple[int, int, int]]:
+    """Place, class before it (-1 at the start) and class there, for each character; the end's class is -1."""
+    last = -1
+    for place, symbol in enumerate([*classes(value), -1]):
+        yield min(place, PLACES), last, symbol
+        last = symbol
+
+
 class Automaton:
-    """A probabilistic automaton: per state the ending count and, per symbol, count and next state."""
-
-    def __init__(self, samples: list[list[int]], alpha: float = ALPHA) -> None:
-        self.ends: list[int] = [0]
-        self.moves: list[dict[int, list[int]]] = [{}]
-        for s in samples:
-            state = 0
-            for symbol in s:
-                move = self.moves[state].get(symbol)
-                if move is None:
-                    self.ends.append(0)
-                    self.moves.append({})
-                    move = self.moves[state][symbol] = [0, len(self.ends) - 1]
-                move[0] += 1
-                state = move[1]
-            self.ends[state] += 1
+    """A probabilistic automaton from counted :func:`steps`: per state the visits, the ending count and, per symbol, count and next state."""
+
+    def __init__(self, counts: dict[tuple[int, int, int], int], alpha: float = ALPHA) -> None:
+        named = {name: i for i, name in enumerate(sorted({(place, last) for place, last, _ in counts}))}  # the start comes first
+        self.ends = [0] * len(named)
+        self.moves: list[dict[int, list[int]]] = [{} for _ in named]
+        for (place, last, symbol), n in sorted(counts.items()):
+            state = named[place, last]
+            if symbol < 0:
+                self.ends[state] = n
+            else:
+                self.moves[state][symbol] = [n, named[min(place + 1, PLACES), symbol]]
+        self.visits = [e + sum(n for n, _ in m.values()) for e, m in zip(self.ends, self.moves, strict=True)]
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self._into = list(range(len(named)))
         self._merge()
 
-    def visits(self, state: int) -> int:
-        return self.ends[state] + sum(n for n, _ in self.moves[state].values())
+    def _find(self, state: int) -> int:
+        while self._into[state] != state:
+            self._into[state] = state = self._into[self._into[state]]
+        return state
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return bool(n and m) and abs(a / n - b / m) > self._bound * (n**-0.5 + m**-0.5)
 
     def _compatible(self, red: int, blue: int) -> bool:
         """Hoeffding's test for the ending and each symbol, at this pair and all pairs reached from it."""
-        waiting = [(red, blue)]
+        waiting, seen = [(red, blue)], {(red, blue)}
         while waiting:
             a, b = waiting.pop()
-            n, m = self.visits(a), self.visits(b)
+            n, m = self.visits[a], self.visits[b]
             if self._differ(self.ends[a], n, self.ends[b], m):
                 return False
             for symbol in self.moves[a].keys() | self.moves[b].keys():
@@ -113,14 +123,23 @@ class Automaton:
                 if self._differ(x[0] if x else 0, n, y[0] if y else 0, m):
                     return False
                 if x and y:
-                    waiting.append((x[1], y[1]))
+                    pair = self._find(x[1]), self._find(y[1])
+                    if pair[0] != pair[1] and pair not in seen:
+                        seen.add(pair)
+                        waiting.append(pair)
         return True
 
-    def _fold(self, red: int, blue: int) -> None:
+    def _fold(self, red: int, blue: int, known: set[int]) -> None:
         waiting = [(red, blue)]
         while waiting:
-            a, b = waiting.pop()
+            a, b = (self._find(x) for x in waiting.pop())
+            if a == b:
+                continue
+            if b in known and a not in known:
+                a, b = b, a
+            self._into[b] = a
             self.ends[a] += self.ends[b]
+            self.visits[a] += self.visits[b]
             for symbol, (n, to) in self.moves[b].items():
                 if symbol in self.moves[a]:
                     self.moves[a][symbol][0] += n
@@ -132,19 +151,22 @@ class Automaton:
         """Red states are final; each blue successor, most visited first, joins a compatible red state or turns red."""
         red = [0]
         while True:
-            known = set(red)
-            blue = [(self.visits(to), a, symbol, to) for a in red for symbol, (_, to) in self.moves[a].items() if to not in known]
+            known = {self._find(r) for r in red}
+            red = [r for r in red if r in known]
+            blue = {self._find(to) for r in red for _, to in self.moves[r].values()} - known
             if not blue:
                 break
-            _, a, symbol, to = max(blue, key=lambda x: (x[0], -x[3]))
+            to = max(blue, key=lambda x: (self.visits[x], -x))
             for r in red:
                 if self._compatible(r, to):
-                    self.moves[a][symbol][1] = r
-                    self._fold(r, to)
+                    self._fold(r, to, known)
                     break
             else:
                 red.append(to)
         self.states = red
+        for r in red:
+            for move in self.moves[r].values():
+                move[1] = self._find(move[1])
 
     def score(self, value: str) -> float:
         """Log-likelihood for each character, less that of uniform characters; minus infinity for an unknown format."""
@@ -153,7 +175,7 @@ class Automaton:
             move = self.moves[state].get(symbol)
             if move is None:
                 return -math.inf
-            total += math.log(move[0] / self.visits(state) / CLASS_SIZES[symbol]) + math.log(sum(CLASS_SIZES))
+            total += math.log(move[0] / self.visits[state] / CLASS_SIZES[symbol]) + math.log(sum(CLASS_SIZES))
             state = move[1]
         return total / max(1, len(value)) if self.ends[state] else -math.inf
 
@@ -175,16 +197,45 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, base {SPAN}, tokens {SPAN}")
 
 
-def learn(scanned: DataFrame) -> dict[str, tuple[Automaton, float]]:
-    """An automaton and its least score for each kind, from the bounded sample of distinct labelled values."""
-    values = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").filter(F.length("value") <= LONGEST).distinct()
+def thousandths(score: float) -> float:
+    """A score rounded down, so that the scores of any number of values are few; minus infinity stays."""
+    return math.floor(1000 * score) if score > -math.inf else score
+
+
+def learn(scanned: DataFrame) -> dict[str, tuple[Automaton, int]]:
+    """An automaton and its least score, in thousandths, for each kind, from all distinct labelled values."""
+    values = cut(scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Counter()
+        for b in batches:
+            for kind, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total.update((kind, *step) for step in steps(value))
+        names = ["kind", "place", "last", "symbol", "n"]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, (*k, n), strict=True)) for k, n in total.items()], pa.schema(
+            [("kind", pa.string()), ("place", pa.int32()), ("last", pa.int32()), ("symbol", pa.int32()), ("n", pa.int64())]))
+
+    counted = values.mapInArrow(count, "kind string, place int, last int, symbol int, n long")
+    rows = counted.groupBy("kind", "place", "last", "symbol").agg(F.sum("n").alias("n")).collect()  # (PLACES + 1) * 12 * 12 for each kind at most
+    automata = {kind: Automaton(found) for kind in BASE if (found := {(r["place"], r["last"], r["symbol"]): r["n"] for r in rows if r["kind"] == kind})}
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Counter()
+        for b in batches:
+            total.update((k, thousandths(automata[k].score(v))) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_pylist([{"kind": k, "score": x, "n": n} for (k, x), n in total.items()], pa.schema(
+            [("kind", pa.string()), ("score", pa.int32()), ("n", pa.int64())]))
+
+    met = values.mapInArrow(scores, "kind string, score int, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).orderBy("score").collect()
     model = {}
-    for kind in BASE:
-        rows = values.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
-        if rows:
-            automaton = Automaton([classes(r["value"]) for r in rows])
-            scores = sorted(automaton.score(r["value"]) for r in rows)
-            model[kind] = automaton, scores[len(scores) // 100]
+    for kind, automaton in automata.items():
+        of_kind = [(r["score"], r["n"]) for r in met if r["kind"] == kind]
+        below = sum(n for _, n in of_kind) // 100
+        for least, n in of_kind:
+            below -= n
+            if below < 0:
+                model[kind] = automaton, least
+                break
     return model
 
 
@@ -197,7 +248,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         for b in batches:
             spans = []
             for base, tokens in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                more = [t for t in tokens if any(a.score(t["value"]) >= least for a, least in model.values())]
+                more = [t for t in tokens if any(thousandths(a.score(t["value"])) >= least for a, least in model.values())]
                 spans.append(sorted(base + more, key=lambda s: (s["start"], (*BASE, LEARNED).index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, ARROW_SPAN)], ["doc_id", "base", "spans"])
 

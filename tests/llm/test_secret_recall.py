@@ -32,3 +32,16 @@ def test_recall_of_keys_without_their_cue(spark, make, plain):
     caught = [i for i, t in planted.items() if any(s.kind == secret_scan.LEARNED and t[s.start : s.end] == t.split()[1] for s in found[i])]
     assert len(caught) >= 90
     assert sum(not found[i] for i in clean) >= 90
+
+
+def test_every_labelled_value_is_learned(spark):
+    rng = random.Random(5)
+    long = lambda: "".join(short(rng) for _ in range(14))
+    rows = [(i, f"token: {short(rng)} end") for i in range(1200)]
+    rows += [(5000 + i, f"secret = {long()} end") for i in range(30)]
+    docs = spark.createDataFrame([*rows, (9000, f"see {long()} here")], "doc_id long, text string")
+    automaton, least = secret_scan.learn(secret_scan.cut(secret_scan.scan(docs)))["assign"]
+    assert automaton.visits[0] == 1230
+    assert all(automaton.score(t.split()[-2]) > float("-inf") for _, t in rows)
+    found = {r.doc_id: r.spans for r in secret_scan.find(docs).collect()}
+    assert [(s.kind, s.start, s.end) for s in found[9000]] == [(secret_scan.LEARNED, 4, 144)]
