@@ -3,7 +3,9 @@
 Input is ``doc_parts(doc_id, part_no, part_name, xml)``: unpacked parts of a document package.
 A part is read inside its row: its tokens pass through one state machine that carries the fallback
 depth, the run depth, whether text is shown, and the layout counts.  Text and layout come from that
-one pass without any shuffle; a package costs one, of its parts' results.
+one pass without any shuffle; a package costs one, of its parts' results.  Where fallbacks are not
+nested, and runs not deeper than in text boxes, as in most parts, the machine has so few states that patterns
+over the whole part do its work.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ WIDE_COLUMNS = r'(?<![A-Za-z0-9_])w:num="(\d{1,3})"'
 ENTITY = r"&(?:#x[0-9a-fA-F]{1,6}|#[0-9]{1,7}|lt|gt|amp|quot|apos);"
 
 
-def decode_entities(text: Column) -> Column:
-    """L2: named and numeric entities, decoded in one pass; invalid code points vanish."""
+def decode_entities(text: Column, apart: str = "") -> Column:
+    """L2: named and numeric entities, decoded in one pass; invalid code points vanish, and so does the mark ``apart`` between pieces."""
     def code_point(name: Column) -> Column:
         hexed = name.startswith("#x")
         code = F.when(hexed, F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("bigint")
@@ -43,16 +45,90 @@ def decode_entities(text: Column) -> Column:
         )
 
     def build(t: Column) -> Column:
-        plain = F.split(t, ENTITY)
+        plain = F.transform(F.split(t, ENTITY), joined) if apart else F.split(t, ENTITY)
         coded = F.transform(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), value)
         woven = F.zip_with(plain, coded, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
         return F.array_join(woven, "")
 
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), build(t)).otherwise(t))
+    joined = lambda t: F.replace(t, F.lit(apart), F.lit("")) if apart else t
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), build(t)).otherwise(joined(t)))
 
 
 def read_part(xml: Column) -> Column:
     """L1 and L3: ``struct<text, tables, text_boxes, columns>`` of one part."""
+    return let(without_fallbacks(xml), lambda m: let(
+        F.struct(m["flat"].alias("flat"), _marked(m["seen"]).alias("marked"), m["seen"].alias("seen")),
+        lambda r: F.when(r["flat"] & ~_nested(r["marked"], RUN_ON, RUN_OFF), F.struct(
+            _shown_text(r["marked"]).alias("text"), F.regexp_count(r["seen"], F.lit(_tag("<w:tbl"))).alias("tables"),
+            F.regexp_count(r["seen"], F.lit(_tag("<w:txbxContent"))).alias("text_boxes"),
+            F.exists(F.regexp_extract_all(r["seen"], F.lit(_tag("<w:cols")), F.lit(0)), _wide).alias("columns"),
+        )).otherwise(folded_part(xml)),
+    ))
+
+
+# ---- parts without nesting: tags become marks of one character -----------------------------
+APART, TEXT_ON, TEXT_OFF, RUN_ON, RUN_OFF, TAB, HYPHEN, BREAK, LINE, CELL, SKIP_ON, SKIP_OFF = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11"
+MARKS = r"\x01-\x08\x0e-\x11"
+
+
+def _tag(start: str, end: str = ">") -> str:
+    return rf"{start}(?![\w:.-])[^<>]*{end}"
+
+
+def _nested(marks: Column, on: str, off: str) -> Column:
+    """Whether something opens again before it is closed; what closes without being open counts for nothing."""
+    return F.contains(F.regexp_replace(marks, f"[^{on}{off}]+", ""), F.lit(on + on))
+
+
+def without_fallbacks(xml: Column) -> Column:
+    """``struct<flat, seen>``: the part's counting tags and text outside fallbacks; ``flat`` unless fallbacks are nested or marks occur."""
+    named = F.regexp_replace(xml, rf"<(?!/?(?:{NAMES})(?![\w:.-])[^<>]*>)(?:[^<>]*>)?", APART)
+
+    def drop(t: Column) -> Column:
+        for pattern, mark in ((_tag("</?mc:Fallback", "/>"), APART), (_tag("</mc:Fallback"), SKIP_OFF), (_tag("<mc:Fallback"), SKIP_ON)):
+            t = F.regexp_replace(t, pattern, mark)
+        return let(t, lambda m: F.struct(
+            (~_nested(m, SKIP_ON, SKIP_OFF)).alias("flat"),
+            F.regexp_replace(m, f"{SKIP_ON}[^{SKIP_OFF}]*+{SKIP_OFF}?|{SKIP_OFF}", APART).alias("seen"),
+        ))
+
+    kept = let(named, lambda t: F.when(F.contains(t, F.lit("mc:Fallback")), drop(t)).otherwise(F.struct(F.lit(True).alias("flat"), t.alias("seen"))))
+    return F.when(~xml.rlike(f"[{MARKS}]"), kept).otherwise(F.struct(F.lit(False).alias("flat"), F.lit("").alias("seen")))
+
+
+def _marked(seen: Column) -> Column:
+    for pattern, mark in (
+        (rf"{_tag('</w:t')}|{_tag('<w:t', '/>')}", TEXT_OFF), (_tag("<w:t"), TEXT_ON),
+        (_tag("</?w:r", "/>"), APART), (_tag("</w:r"), RUN_OFF), (_tag("<w:r"), RUN_ON),
+        (_tag("<w:tab"), TAB), (_tag("<w:noBreakHyphen"), HYPHEN), (_tag("<w:(?:br|cr)"), BREAK),
+        (rf"{_tag('</w:p')}|{_tag('<w:p', '/>')}", LINE), (_tag("</w:tc"), CELL), ("<[^<>]*>", APART),
+    ):
+        seen = F.regexp_replace(seen, pattern, mark)
+    return let(seen, lambda m: F.when(_nested(m, RUN_ON, RUN_OFF), _outer_runs(_outer_runs(m))).otherwise(m))
+
+
+def _outer_runs(marks: Column) -> Column:
+    """Without the runs that open and close, with no other run between, inside an open one, as those of text boxes do."""
+    rest = f"[^{RUN_ON}{RUN_OFF}]*+"
+    return F.regexp_replace(marks, rf"((?:{RUN_ON}|(?!\A)\G){rest}){RUN_ON}({rest}){RUN_OFF}", "$1$2")
+
+
+def _shown_text(marked: Column) -> Column:
+    """The text: marks that count inside runs only, and text that is shown inside text tags only, are dropped elsewhere."""
+    inside = TAB + HYPHEN + BREAK
+    t = F.regexp_replace(marked, f"((?:{RUN_OFF}|\\G)[^{RUN_ON}{RUN_OFF}{inside}]*+)[{inside}]", f"$1{APART}")
+    t = F.regexp_replace(t, f"((?:{TEXT_OFF}|\\G)[{MARKS}&&[^{TEXT_ON}{TEXT_OFF}]]*+)[^{MARKS}]++", "$1")
+    t = F.translate(t, inside + LINE + CELL + TEXT_ON + TEXT_OFF + RUN_ON + RUN_OFF, "\t-\n\n\t" + APART * 4)
+    return decode_entities(t, APART)
+
+
+def _wide(token: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(token, WIDE_COLUMNS, 1), F.lit("")).cast("int"), F.lit(1)) > 1
+
+
+# ---- any part: a state machine over its tokens ----------------------------------------------
+def folded_part(xml: Column) -> Column:
+    """:func:`read_part` for parts nested in any way."""
 
     def step(state: Column, token: Column) -> Column:
         is_tag = token.startswith("<")
@@ -80,14 +156,13 @@ def _depth(before: Column, f: Column) -> Column:
 def _next(state: Column, f: Column, token: Column) -> Column:
     """The state after a token; inside a fallback only fallback tags count."""
     name, seen = f["name"], state["fallback"] == 0
-    wide = F.coalesce(F.nullif(F.regexp_extract(token, WIDE_COLUMNS, 1), F.lit("")).cast("int"), F.lit(1)) > 1
     moved = F.struct(
         F.when((name == "mc:Fallback") & ~f["single"], _depth(state["fallback"], f)).otherwise(state["fallback"]).alias("fallback"),
         F.when(seen & (name == "w:r") & ~f["single"], _depth(state["run"], f)).otherwise(state["run"]).alias("run"),
         F.when(seen & (name == "w:t"), f["opens"] & ~f["single"]).otherwise(state["in_text"]).alias("in_text"),
         (state["tables"] + F.when(seen & f["opens"] & (name == "w:tbl"), 1).otherwise(0)).alias("tables"),
         (state["boxes"] + F.when(seen & f["opens"] & (name == "w:txbxContent"), 1).otherwise(0)).alias("boxes"),
-        F.when(seen & f["opens"] & (name == "w:cols"), state["columns"] | wide).otherwise(state["columns"]).alias("columns"),
+        F.when(seen & f["opens"] & (name == "w:cols"), state["columns"] | _wide(token)).otherwise(state["columns"]).alias("columns"),
     )
     return F.when(name.isNull(), state).otherwise(moved)
 
